@@ -1,0 +1,32 @@
+"""Enough tasks for small inputs, no shuffle for large ones."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# Below this size per core an input is cut into fewer pieces than there are
+# cores (a small parquet file is often one row group, hence one task).
+_SMALL_PER_CORE = 32 * 1024 * 1024
+_PIECES_PER_CORE = 3
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a small table by its key so that all cores share the work.
+
+    The size is the optimizer's estimate from the files.  A large input already
+    has many splits, and shuffling it would cost more than it gains, so it is
+    returned as it is.
+    """
+    session = df.sparkSession
+    cores = session.sparkContext.defaultParallelism
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) >= cores * _SMALL_PER_CORE:
+        return df
+    return df.repartition(cores * _PIECES_PER_CORE, *keys)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """The optimizer's size estimate is below the session's broadcast limit."""
+    limit = int(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("bB"))
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return 0 <= int(str(estimate)) <= limit

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("redaction", "audit", "words")
+_MODULES = ("redaction", "audit", "words", "reporting")
 
 
 def _merged(attribute: str) -> dict:

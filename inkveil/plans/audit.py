@@ -97,8 +97,8 @@ ORACLES = {
     " count(*) AS documents FROM (SELECT doc_id, tag, count(*) AS n FROM log GROUP BY doc_id, tag)"
     " JOIN labels USING (doc_id) GROUP BY tag, quality, toxic",
     "masked_values": f"{oracle.tokens()} SELECT token, {oracle.mask('token')} AS masked FROM tokens",
-    "context_window": "SELECT doc_id, email, substr(text, greatest(at - 50, 1),"
-    " at + length(email) + 50 - greatest(at - 50, 1)) AS context FROM (SELECT doc_id, text,"
-    f" {_FOUND} AS email, length({_BEFORE}) + 1 AS at FROM documents"
+    "context_window": "SELECT doc_id, email, substr(text, greatest(spot - 50, 1),"
+    " spot + length(email) + 50 - greatest(spot - 50, 1)) AS context FROM (SELECT doc_id, text,"
+    f" {_FOUND} AS email, length({_BEFORE}) + 1 AS spot FROM documents"
     " WHERE contains(text, '@')) WHERE email <> ''",
 }

@@ -132,7 +132,7 @@ def log(source: str, key: str, column: str, *more: str) -> str:
 
 
 def words(column: str) -> str:
-    return f"list_filter(regexp_split_to_array({column}, {text(BLANK + '+')}), w -> w <> '')"
+    return f"list_filter(regexp_split_to_array({column}, {text(BLANK + '+')}), lambda w: w <> '')"
 
 
 def tokens() -> str:
@@ -148,7 +148,7 @@ def bits(column: str) -> str:
     share = f"((length({column}) - length(replace({column}, c, ''))) / length({column}))"
     return (
         f"list_sum(list_transform(list_distinct(string_split({column}, '')),"
-        f" c -> -{share} * log2({share})))"
+        f" lambda c: -{share} * log2({share})))"
     )
 
 

@@ -139,7 +139,7 @@ ORACLES = {
     f" {oracle.looks_random('token')} AS is_random FROM tokens",
     "documents_with_secrets": "SELECT doc_id, source, CAST(len(secrets) AS INTEGER) AS n,"
     " list_min(secrets) AS first_secret FROM (SELECT doc_id, source,"
-    f" list_filter({oracle.words('text')}, w -> {oracle.looks_random('w')}) AS secrets"
+    f" list_filter({oracle.words('text')}, lambda w: {oracle.looks_random('w')}) AS secrets"
     " FROM documents) WHERE len(secrets) > 0",
     "whitelist_filter": f"{_TOKENS} SELECT token FROM tokens"
     f" WHERE NOT {oracle.whitelisted('token')} AND lower(token) NOT IN"

@@ -21,16 +21,13 @@ from inkveil.functions.sql import Sql, any_of, matches, string, strings
 _FOLDED = ("\u017f", "\u212a", "\u0130", "\u0131")
 
 
-def facts(text: Sql, more: dict[str, Sql] | None = None) -> Sql:
+def facts(text: Sql) -> Sql:
     """What the tests need to know about a text, found out once per text."""
-    fields = {
-        "text": text,
-        "low": f"lower({text})",
-        "folded": _contains(text, _FOLDED),
-        "digit": matches(text, r"\p{Nd}"),
-    }
-    fields.update(more or {})
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+    digit = matches(text, r"\p{Nd}")
+    return (
+        f"named_struct('text', {text}, 'low', lower({text}),"
+        f" 'folded', {_contains(text, _FOLDED)}, 'digit', {digit})"
+    )
 
 
 def has_whole_word(low: Sql, words: Iterable[str]) -> Sql:

@@ -44,7 +44,7 @@ EMPTY_LOG = f"CAST(array() AS {LOG_TYPE})"
 
 # Steps of one projection at most; longer chains resolve slowly.
 _SEGMENT_SIZE = 8
-_FACTS, _WORK = "__facts_", "__work_"
+_FACTS, _WORK, _WORDS = "__facts_", "__work_", "__words_"
 
 Test = Callable[[Sql], Sql]
 
@@ -184,18 +184,17 @@ def keyword_steps(rules: RuleSet) -> list[Step]:
     return steps
 
 
-def _phase_facts(rules: RuleSet, phases: Sequence[str], low: Sql) -> dict[str, Sql]:
+def _keyword_test(rules: RuleSet, text: Sql) -> Sql:
     """Whether the keyword phase can do anything: one look for all keywords.
 
-    A keyword stands by itself in the text, so its first word does.
+    A keyword stands by itself, so its first word does.  The text is the one the
+    phase starts with, as a tag put in next to a word sets the word free.
     """
-    out = {}
     words = [word for _, word, redacts in rules.keyword_rows() if redacts]
-    if "keyword" in phases and words:
-        first = [re.match(r"[a-z0-9]+(?=\W|\Z)", word.lower()) for word in words]
-        tested = all(first) and all(_word_test(word, rules) for word in words)
-        out["keyword"] = has_whole_word(low, [m[0] for m in first]) if tested else "true"
-    return out
+    first = [re.match(r"[a-z0-9]+(?=\W|\Z)(?=.*[a-z0-9]\Z)", word.lower()) for word in words]
+    if not all(first) or not all(_word_test(word, rules) for word in words):
+        return "true"
+    return has_whole_word(f"lower({text})", [m[0] for m in first])
 
 
 def _word_test(word: str, rules: RuleSet | None = None) -> Test | None:
@@ -216,20 +215,15 @@ class Segment:
     steps: tuple[Step, ...]
 
     def may(self, f: Sql) -> Sql:
-        may = any_of(dict.fromkeys(step.may(f) for step in self.steps))
-        if self.steps[0].phase == KEYWORD:
-            may = f"(({f}.keyword OR {f}.folded) AND {may})"
-        return may
+        return any_of(dict.fromkeys(step.may(f) for step in self.steps))
 
-    def on_text(self, text: Sql, f: Sql) -> Sql:
-        out = text
+    def on_text(self, text: Sql) -> Sql:
         for step in self.steps:
-            out = step.replaced(out)
-        return f"if({self.may(f)}, {out}, {text})"
+            text = step.replaced(text)
+        return text
 
-    def on_state(self, state: Sql, f: Sql) -> Sql:
+    def on_state(self, out: Sql) -> Sql:
         """The same on struct(text, log), with an entry for each replacement."""
-        out = state
         for step in self.steps:
             logged = f"named_struct('text', new, 'log', concat(s.log, {step.entries('s.text')}))"
             out = let(
@@ -237,7 +231,7 @@ class Segment:
                 out,
                 let("new", step.replaced("s.text"), f"if(new = s.text, s, {logged})"),
             )
-        return f"if({self.may(f)}, {out}, {state})"
+        return out
 
 
 def _segments(rules: RuleSet, phases: Sequence[str]) -> list[Segment]:
@@ -277,21 +271,32 @@ def redact(
         text = name(target)
         start = f"named_struct('text', {text}, 'log', {EMPTY_LOG})" if log else text
         eligible = has_content(text, 3)
-        more = _phase_facts(rules, phases, f"lower({text})")
         return [
-            f"named_struct('of', {facts(text, more)}, 'eligible', {eligible})"
+            f"named_struct('of', {facts(text)}, 'eligible', {eligible})"
             f" AS {name(_FACTS + target)}",
             f"{start} AS {name(_WORK + target)}",
         ]
 
     def run(segment: Segment, target: str) -> Sql:
         work, f = name(_WORK + target), name(_FACTS + target) + ".of"
-        changed = segment.on_state(work, f) if log else segment.on_text(work, f)
-        return f"{changed} AS {work}"
+        may = segment.may(f)
+        if segment.steps[0].phase == KEYWORD:
+            may = f"(({name(_WORDS + target)} OR {f}.folded) AND {may})"
+        changed = segment.on_state(work) if log else segment.on_text(work)
+        return f"if({may}, {changed}, {work}) AS {work}"
+
+    def look_again(target: str) -> Sql:
+        work = name(_WORK + target)
+        text = f"{work}.text" if log else work
+        return f"{_keyword_test(rules, text)} AS {name(_WORDS + target)}"
 
     staged = df.selectExpr(*kept, *[c for t in targets for c in look(t)])
     found = [name(_FACTS + t) for t in targets]
     for segment in _segments(rules, phases):
+        if segment.steps[0].phase == KEYWORD and name(_WORDS + targets[0]) not in found:
+            work = [name(_WORK + t) for t in targets]
+            staged = staged.selectExpr(*kept, *found, *work, *map(look_again, targets))
+            found += [name(_WORDS + t) for t in targets]
         staged = staged.selectExpr(*kept, *found, *[run(segment, t) for t in targets])
 
     def finish(target: str) -> list[Sql]:

@@ -44,3 +44,13 @@ def replace_all(text: Sql, pattern: str, replacement: str) -> Sql:
 
 def matches(text: Sql, pattern: str) -> Sql:
     return f"({text} RLIKE {string(pattern)})"
+
+
+def fenced(fields: dict[str, Sql]) -> Sql:
+    """Named expressions that the optimizer keeps in one place.
+
+    One row in, one row out: what is done with the results later, a filter above
+    all, cannot be merged into the expressions and repeat them.
+    """
+    listed = ", ".join(f"{string(field)}, {value}" for field, value in fields.items())
+    return f"inline_outer(array(named_struct({listed})))"

@@ -39,6 +39,14 @@ def audit_log(df: DataFrame, log: str, file_name: Sql) -> DataFrame:
     )
 
 
+def masked_log(log: Sql) -> Sql:
+    """The log with masked originals, fit to be stored beside the text."""
+    return (
+        f"transform({log}, e -> named_struct('masked_original', {masked('e.original')},"
+        " 'redacted_to', e.tag, 'reason', e.reason))"
+    )
+
+
 def append_audit(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append to the audit table; as CSV with a header if asked for."""
     writer = rows.select(*AUDIT_COLUMNS).write.mode("append")

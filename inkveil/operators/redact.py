@@ -26,7 +26,7 @@ from inkveil.functions.regex import (
     quote_replacement,
     rule_pattern,
 )
-from inkveil.functions.sql import Sql, any_of, let, name, replace_all, string
+from inkveil.functions.sql import Sql, any_of, fenced, let, name, replace_all, string
 from inkveil.functions.text import has_content
 from inkveil.operators.verdict import reason, whitelisted
 from inkveil.rules import DEFAULT_RULES, REST_OF_LINE, ContextRule, PatternRule, RuleSet
@@ -299,22 +299,19 @@ def redact(
             found += [name(_WORDS + t) for t in targets]
         staged = staged.selectExpr(*kept, *found, *[run(segment, t) for t in targets])
 
-    def finish(target: str) -> list[Sql]:
+    def finish(target: str) -> dict[str, Sql]:
         work, eligible = name(_WORK + target), name(_FACTS + target) + ".eligible"
         text = f"{work}.text" if log else work
         done = merge_tags(text) if "merge" in phases else text
-        out = [f"{string(target)}, if({eligible}, {done}, {name(target)})"]
+        out = {target: f"if({eligible}, {done}, {name(target)})"}
         if log:
-            out.append(f"{string(target + '_log')}, if({eligible}, {work}.log, {EMPTY_LOG})")
+            out[target + "_log"] = f"if({eligible}, {work}.log, {EMPTY_LOG})"
         return out
 
-    # One row in, one row out: a filter on the result cannot be pushed below this,
-    # where it would repeat the whole cascade inside its condition.
-    fields = ", ".join(field for t in targets for field in finish(t))
+    results = {field: value for t in targets for field, value in finish(t).items()}
     others = [name(c) for c in df.columns if c not in targets]
-    fenced = staged.selectExpr(*others, f"inline_outer(array(named_struct({fields})))")
-    logs = [name(t + "_log") for t in targets] if log else []
-    return fenced.select(*kept, *logs)
+    logs = [name(c) for c in results if c not in df.columns]
+    return staged.selectExpr(*others, fenced(results)).select(*kept, *logs)
 
 
 def merge_tags(text: Sql) -> Sql:

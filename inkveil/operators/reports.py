@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.sql import Sql, string
+from inkveil.functions.sql import Sql, fenced, string
 from inkveil.functions.text import strip
 from inkveil.rules import reports as texts
 from inkveil.rules.reports import REPORT_FIELDS, PromptTemplates
@@ -134,13 +134,13 @@ def parse_reports(df: DataFrame, column: str) -> DataFrame:
     """
     data = df.withColumn("data", F.expr(f"try_parse_json({column})"))
     kept = [c for c in df.columns if c != column]
-    typed = [f"{value} AS {field}" for field, value in _typed_fields().items()]
-    return data.selectExpr(
-        *kept,
-        "coalesce(startswith(schema_of_variant(data), 'OBJECT'), false) AS readable",
-        *typed,
-        f"try_cast(nullif(regexp_extract({_as_text(_get('people_count', 'variant'))},"
-        f" {string(r'^[0-9]+')}, 0), '') AS bigint) AS people_count_num",
+    fields = {
+        "readable": "coalesce(startswith(schema_of_variant(data), 'OBJECT'), false)",
+        **_typed_fields(),
+    }
+    leading = f"nullif(regexp_extract(people_count, {string(r'^[0-9]+')}, 0), '')"
+    return data.selectExpr(*kept, fenced(fields)).withColumn(
+        "people_count_num", F.expr(f"try_cast({leading} AS bigint)")
     )
 
 
@@ -170,35 +170,39 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     )
     about = {"source_file_name": "file_name", "source_file_type": "file_type"}
     by = {**about, "model_used": "model_used"}
-    structured = _report(**{**fields, **by, "analysis_timestamp": "analysis_timestamp"})
     start = f"left(answer, {texts.SUMMARY_CHARACTERS})"
-    unstructured = _report(
-        **by,
-        document_summary=f"concat({string(texts.UNSTRUCTURED_SUMMARY)}, file_type, ': ',"
-        f" if(answer = '', {string(texts.UNSTRUCTURED_EMPTY)}, {start}))",
-        key_security_findings=f"array({string(texts.UNSTRUCTURED_FINDING)},"
-        " concat('Raw response length: ', char_length(answer), ' characters'))",
-        raw_analysis=f"nullif(left(answer, {texts.RAW_ANALYSIS_CHARACTERS}), '')",
-    )
-    broken = _report(
-        **by,
-        document_summary=string(texts.BROKEN_SUMMARY),
-        key_security_findings=f"array({string(texts.BROKEN_FINDING + texts.BROKEN_CAUSE)})",
-        raw_response=f"left(response, {texts.RAW_RESPONSE_CHARACTERS})",
-    )
-    failed = _report(**about, error=final_error("failure", "file_name"))
+    branches: dict[str, dict[str, Sql]] = {
+        "failed": {**about, "error": final_error("failure", "file_name")},
+        "unstructured": {
+            **by,
+            "document_summary": f"concat({string(texts.UNSTRUCTURED_SUMMARY)}, file_type, ': ',"
+            f" if(answer = '', {string(texts.UNSTRUCTURED_EMPTY)}, {start}))",
+            "key_security_findings": f"array({string(texts.UNSTRUCTURED_FINDING)},"
+            " concat('Raw response length: ', char_length(answer), ' characters'))",
+            "raw_analysis": f"nullif(left(answer, {texts.RAW_ANALYSIS_CHARACTERS}), '')",
+        },
+        "broken": {
+            **by,
+            "document_summary": string(texts.BROKEN_SUMMARY),
+            "key_security_findings":
+                f"array({string(texts.BROKEN_FINDING + texts.BROKEN_CAUSE)})",
+            "raw_response": f"left(response, {texts.RAW_RESPONSE_CHARACTERS})",
+        },
+        "structured": {**fields, **by, "analysis_timestamp": "analysis_timestamp"},
+    }
     branch = (
         "CASE WHEN failure IS NOT NULL THEN 'failed' WHEN braced = '' THEN 'unstructured'"
         " WHEN data IS NULL THEN 'broken' ELSE 'structured' END"
     )
-    report = (
-        f"CASE branch WHEN 'failed' THEN {failed} WHEN 'unstructured' THEN {unstructured}"
-        f" WHEN 'broken' THEN {broken} ELSE {structured} END"
-    )
-    return (
-        parsed.withColumn("branch", F.expr(branch))
-        .selectExpr("branch", f"{report} AS report")
-        .selectExpr("branch", "report.*")
+
+    def chosen(field: str, kind: str) -> Sql:
+        cases = " ".join(
+            f"WHEN '{b}' THEN {values[field]}" for b, values in branches.items() if field in values
+        )
+        return f"CAST({f'CASE branch {cases} END' if cases else 'null'} AS {kind})"
+
+    return parsed.withColumn("branch", F.expr(branch)).selectExpr(
+        "branch", fenced({field: chosen(field, kind) for field, kind in REPORT_FIELDS.items()})
     )
 
 
@@ -239,11 +243,13 @@ def latest_reports(reports: DataFrame) -> DataFrame:
     named = reports.where("error IS NULL").withColumn(
         "report_file", F.expr(report_file("source_file_name"))
     )
-    newest = F.max_by(
-        F.struct(*reports.columns),
-        F.struct(F.coalesce("analysis_timestamp", F.lit("")), "source_file_name"),
+    ordered = named.select(
+        "report_file",
+        F.struct(F.coalesce("analysis_timestamp", F.lit("")), "source_file_name").alias("age"),
+        F.struct(*reports.columns).alias("report"),
     )
-    return named.groupBy("report_file").agg(newest.alias("r")).selectExpr("report_file", "r.*")
+    newest = ordered.groupBy("report_file").agg(F.max_by("report", "age").alias("report"))
+    return newest.selectExpr("report_file", "report.*")
 
 
 def consolidated(reports: DataFrame, order: str = "report_file") -> DataFrame:

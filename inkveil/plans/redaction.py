@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.functions.sql import let
 from inkveil.operators.cells import redact_cells
 from inkveil.operators.entities import redact_entities, redact_with_entities
 from inkveil.operators.redact import PATTERN_PHASES, merge_tags, redact
@@ -108,19 +109,21 @@ _LABELS = ("PERSON", "ORG", "GPE", "LOC", "DATE", "MONEY", "CARDINAL", "FAC", "P
 
 
 def spans_of(texts: DataFrame) -> DataFrame:
-    """Made-up entity spans over (doc_id, text), as many as the text has room for."""
+    """Made-up entity spans over (doc_id, text), as many as the text has room for.
+
+    The spans are cut out of the text before they become rows, so that no row
+    carries the whole text along.
+    """
     labels = ", ".join(f"'{label}'" for label in _LABELS)
-    return (
-        texts.where("char_length(text) >= 60")
-        .selectExpr("doc_id", "text AS whole",
-                    "explode(sequence(0L, char_length(text) DIV 40 - 1)) AS k")
-        .selectExpr("doc_id", "k * 40 + doc_id % 20 AS start_char",
-                    "k * 40 + doc_id % 20 + 2 + k % 7 AS end_char",
-                    f"array({labels})[int((k + doc_id) % {len(_LABELS)})] AS label", "whole")
-        .where("end_char <= char_length(whole)")
-        .selectExpr("doc_id", "start_char", "end_char", "label",
-                    "substring(whole, int(start_char) + 1, int(end_char - start_char)) AS text")
+    start, size = "k * 40 + doc_id % 20", "2 + k % 7"
+    span = (
+        f"named_struct('start_char', {start}, 'end_char', {start} + {size},"
+        f" 'label', array({labels})[int((k + doc_id) % {len(_LABELS)})],"
+        f" 'text', array_join(slice(chars, int({start}) + 1, int({size})), ''))"
     )
+    spans = f"transform(sequence(0L, size(chars) DIV 40 - 1), k -> {span})"
+    inside = let("chars", "split(text, '')", f"filter({spans}, s -> s.end_char <= size(chars))")
+    return texts.where("char_length(text) >= 60").selectExpr("doc_id", f"inline({inside})")
 
 
 def spans_sql(source: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkveil.operators import reports as R
 from inkveil.operators.cells import leading_text, rows_to_lines
 from inkveil.plans import oracle
-from inkveil.plans.tables import table
+from inkveil.plans.tables import documents, table
 from inkveil.rules import reports as texts
 from inkveil.rules.files import CLEANSERS, FILE_LABELS, IMAGE_SUFFIXES, UNKNOWN_LABEL
 from inkveil.rules.reports import PromptTemplates
@@ -40,8 +40,12 @@ _TEXT = (
 )
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf, "text", "lang", "source", "n_chars")
+
+
 def _files(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = _documents(spark, sf)
     return route(docs.selectExpr("doc_id", f"{_NAME} AS file_name", f"{_TEXT} AS text"))
 
 
@@ -53,11 +57,7 @@ def file_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def units_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as sheets, one per customer, rendered to the text a prompt may hold.
-
-    The lines of a sheet are numbered by a window; the turns of a conversation
-    bring their number.
-    """
+    """Each conversation as a file of lines, cut to what a prompt may hold."""
     turns = table(spark, sf, "conversations").selectExpr(
         "conv_id", "turn", "concat(role, ': ', text) AS line"
     )
@@ -65,6 +65,7 @@ def units_to_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order as a line of tab-separated cells."""
     return rows_to_lines(table(spark, sf, "orders"), ["o_orderkey"])
 
 
@@ -105,7 +106,7 @@ def _responses(spark: SparkSession, sf: str) -> DataFrame:
         "CASE WHEN doc_id % 7 <> 6 THEN null WHEN doc_id % 3 = 0 THEN 'HTTP 429 from server'"
         " WHEN doc_id % 3 = 1 THEN 'Bad API KEY given' ELSE concat('timeout after ', n_chars) END"
     )
-    docs = table(spark, sf, "documents").selectExpr(
+    docs = _documents(spark, sf).selectExpr(
         "doc_id", f"{_NAME} AS file_name", "'model' AS model_used",
         f"{_TIME_SPARK} AS analysis_timestamp", f"{response} AS response", f"{error} AS error",
     )
@@ -146,7 +147,7 @@ def classify_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_load(spark: SparkSession, sf: str) -> DataFrame:
     """Reports read back from JSON text in their shapes, broken ones included."""
-    made = table(spark, sf, "documents").selectExpr(
+    made = _documents(spark, sf).selectExpr(
         "doc_id",
         "CASE doc_id % 5 WHEN 0 THEN to_json(named_struct('document_summary', left(text, 30),"
         " 'people_count', 7, 'source_file_name', source, 'potential_vulnerabilities',"

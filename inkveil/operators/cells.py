@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkveil.functions.sql import name
 from inkveil.operators.redact import ALL_PHASES, redact
 from inkveil.rules import DEFAULT_RULES, RuleSet
+from inkveil.sources.spread import fits_broadcast
 
 
 def redact_cells(
@@ -40,6 +41,43 @@ def rows_to_lines(df: DataFrame, keys: Sequence[str], separator: str = "\t") ->
     return df.select(*keys, F.concat_ws(separator, *cells).alias("line"))
 
 
+def workbook_lines(
+    rows: DataFrame, file: str, sheet_number: str, sheet: str, row_number: str, line: str
+) -> DataFrame:
+    """The rows of all sheets of a file as one run of numbered lines.
+
+    Each sheet starts with its heading and ends with an empty line.  Sheets, and
+    rows within a sheet, are numbered from 0 without gaps.  Only the row counts
+    of the sheets are put in order; the rows themselves are joined to them.
+    """
+    counts = rows.groupBy(file, sheet_number).agg(F.count("*").alias("__rows"))
+    earlier = Window.partitionBy(file).orderBy(sheet_number).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    # A heading and an empty line come on top of the rows.
+    offsets = counts.withColumn(
+        "__offset", F.coalesce(F.sum(F.col("__rows") + 2).over(earlier), F.lit(0))
+    )
+    if fits_broadcast(rows):
+        offsets = F.broadcast(offsets)
+    placed = rows.join(offsets, [file, sheet_number])
+    at = F.col("__offset") + F.col(row_number) + 1
+    own = F.struct(at.alias("number"), F.col(line).alias("line"))
+    heading = F.struct(
+        F.col("__offset").alias("number"),
+        F.concat(F.lit("--- Sheet: "), F.col(sheet).cast("string"), F.lit(" ---")).alias("line"),
+    )
+    closing = F.struct((at + 1).alias("number"), F.lit("").alias("line"))
+    lines = F.array_compact(
+        F.array(
+            F.when(F.col(row_number) == 0, heading),
+            own,
+            F.when(F.col(row_number) + 1 == F.col("__rows"), closing),
+        )
+    )
+    return placed.select(file, F.inline(lines))
+
+
 def leading_text(
     lines: DataFrame, file: str, number: str, line: str, size: int = 15000
 ) -> DataFrame:

@@ -85,20 +85,22 @@ def redact_entities(
         )
     )
     joined = df.join(grouped, F.col(name(key)) == F.col("__key"), "left").drop("__key")
-    # One pass over the sorted spans: keep a span that starts where the last kept
-    # one ended, or later.
+    # One pass over the sorted spans: a span that starts where the last kept one
+    # ended, or later, is kept.  The places of both kinds are noted.
     fits = f"s.first >= acc.done AND s.first < -s.back AND -s.back <= char_length({text})"
-    kept = (
-        "aggregate(__spans, named_struct('done', 0L, 'kept', CAST(array() AS array<int>), 'n', 0),"
+    none = "CAST(array() AS array<int>)"
+    sorted_out = (
+        f"aggregate(__spans, named_struct('done', 0L, 'kept', {none}, 'rest', {none}, 'n', 0),"
         f" (acc, s) -> if({fits},"
         " named_struct('done', bigint(-s.back), 'kept', concat(acc.kept, array(acc.n)),"
-        " 'n', acc.n + 1),"
-        " named_struct('done', acc.done, 'kept', acc.kept, 'n', acc.n + 1)), acc -> acc.kept)"
+        " 'rest', acc.rest, 'n', acc.n + 1),"
+        " named_struct('done', acc.done, 'kept', acc.kept,"
+        " 'rest', concat(acc.rest, array(acc.n)), 'n', acc.n + 1)))"
     )
-    chosen = joined.withColumn("__kept", F.expr(kept)).selectExpr(
-        "* EXCEPT (__kept, __spans)",
-        "transform(__kept, n -> __spans[n]) AS __kept",
-        "filter(__spans, (s, n) -> NOT array_contains(__kept, n)) AS __rejected",
+    chosen = joined.withColumn("__sorted", F.expr(sorted_out)).selectExpr(
+        "* EXCEPT (__sorted, __spans)",
+        "transform(__sorted.kept, n -> __spans[n]) AS __kept",
+        "transform(__sorted.rest, n -> __spans[n]) AS __rejected",
     )
     cut = chosen.withColumn(
         "__chars", F.expr(f"if(size(__kept) > 0, split({text}, ''), null)")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import reports as R
-from inkveil.operators.cells import leading_text, rows_to_lines
+from inkveil.operators.cells import leading_text, rows_to_lines, workbook_lines
 from inkveil.plans import oracle
 from inkveil.plans.tables import documents, table
 from inkveil.rules import reports as texts
@@ -64,6 +64,16 @@ def units_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return leading_text(turns, "conv_id", "turn", "line")
 
 
+def sheets_to_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Four conversations each as the sheets of one workbook, cut to what a prompt may hold."""
+    rows = table(spark, sf, "conversations").selectExpr(
+        "conv_id DIV 4 AS file", "conv_id % 4 AS sheet_number", "concat('conv ', conv_id) AS sheet",
+        "turn", "concat(role, chr(9), text) AS line",
+    )
+    lines = workbook_lines(rows, "file", "sheet_number", "sheet", "turn", "line")
+    return leading_text(lines, "file", "number", "line")
+
+
 def table_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Each order as a line of tab-separated cells."""
     return rows_to_lines(table(spark, sf, "orders"), ["o_orderkey"])
@@ -197,6 +207,7 @@ def report_names(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "file_routing": file_routing,
     "units_to_text": units_to_text,
+    "sheets_to_text": sheets_to_text,
     "table_lines": table_lines,
     "empty_gate": empty_gate,
     "build_prompts": build_prompts,
@@ -287,6 +298,11 @@ ORACLES = {
     " FROM files GROUP BY ALL",
     "units_to_text": "SELECT conv_id, left(string_agg(role || ': ' || text || chr(10), ''"
     f" ORDER BY turn), {texts.PROMPT_CHARACTERS}) AS text FROM conversations GROUP BY conv_id",
+    "sheets_to_text": "SELECT file, left(string_agg(sheet, '' ORDER BY conv_id),"
+    f" {texts.PROMPT_CHARACTERS}) AS text FROM (SELECT conv_id // 4 AS file, conv_id,"
+    " '--- Sheet: conv ' || conv_id || ' ---' || chr(10) || string_agg(role || chr(9) || text ||"
+    " chr(10), '' ORDER BY turn) || chr(10) AS sheet FROM conversations GROUP BY conv_id)"
+    " GROUP BY file",
     "table_lines": "SELECT o_orderkey, concat_ws(chr(9), CAST(o_custkey AS VARCHAR),"
     " o_orderstatus, CAST(o_totalprice AS VARCHAR), CAST(o_orderdate AS VARCHAR),"
     " o_orderpriority) AS line FROM orders",

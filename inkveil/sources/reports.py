@@ -11,9 +11,8 @@ from inkveil.operators.reports import parse_reports
 def read_report_files(spark: SparkSession, directory: str) -> DataFrame:
     """One JSON object per ``*_analysis.json`` file; broken files have ``readable`` false."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*_analysis.json")
-        .text(directory)
+        spark.read.option("pathGlobFilter", "*_analysis.json")
+        .text(directory, wholetext=True)
         .select(F.col("_metadata.file_name").alias("report_file"), F.col("value").alias("json"))
     )
     return parse_reports(files, "json")

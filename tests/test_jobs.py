@@ -13,6 +13,7 @@ from inkveil.operators.entities import redact_entities, redact_with_entities, te
 from inkveil.operators.redact import redact
 from inkveil.operators.regions import span_boxes, word_boxes
 from inkveil.operators.tokens import drop_whitelisted
+from inkveil.plans.redaction import spans_of
 from inkveil.rules import DEFAULT_RULES, PatternRule, RuleSet
 from inkveil.rules.files import CLEANSERS, FILE_LABELS
 from inkveil.sources.files import (
@@ -22,6 +23,7 @@ from inkveil.sources.reports import read_report_files, read_reports, write_repor
 from inkveil.sources.spread import spread
 from inkveil.streaming.corpus import redact_available
 from tests import twin
+from tests.conftest import DATA
 
 
 def rows(df):
@@ -244,3 +246,27 @@ def test_redaction_needs_no_shuffle(spark):
     df = spark.range(10).withColumn("t", F.lit("x 10.0.0.1"))
     plan = redact(df, "t", log=True)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_cascade_with_tagger_equals_twin_on_documents(spark):
+    texts = spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "text")
+    after = redact(texts, "text", phases=("context", "pattern"))
+    tagged = spans_of(after)
+    found = {}
+    for span in tagged.collect():
+        found.setdefault(span["doc_id"], []).append(span)
+    got = dict(rows(redact_with_entities(texts, "doc_id", "text", tagged)))
+    for doc_id, text in rows(texts):
+        want = twin.redact(text, phases=("context", "pattern"))
+        for span in sorted(found.get(doc_id, []), key=lambda s: -s["start_char"]):
+            hit = want[span["start_char"]:span["end_char"]]
+            assert hit == span["text"]
+            tag = DEFAULT_RULES.entity_tags.get(span["label"])
+            person = span["label"] != "PERSON" or (
+                len(hit) >= 3 and hit.lower() not in ("the", "and", "for")
+            )
+            if tag and "<" not in hit and not twin.whitelisted(hit) and person:
+                want = want[:span["start_char"]] + tag + want[span["end_char"]:]
+        if len(text.strip()) >= 3:
+            want = twin.merge(twin.keyword_phase(want))
+        assert got[doc_id] == want

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from inkveil.functions.sql import name
 from inkveil.operators.redact import ALL_PHASES, redact
 from inkveil.rules import DEFAULT_RULES, RuleSet
-from inkveil.sources.spread import fits_broadcast
 
 
 def redact_cells(
@@ -58,8 +57,6 @@ def workbook_lines(
     offsets = counts.withColumn(
         "__offset", F.coalesce(F.sum(F.col("__rows") + 2).over(earlier), F.lit(0))
     )
-    if fits_broadcast(rows):
-        offsets = F.broadcast(offsets)
     placed = rows.join(offsets, [file, sheet_number])
     at = F.col("__offset") + F.col(row_number) + 1
     own = F.struct(at.alias("number"), F.col(line).alias("line"))

@@ -12,7 +12,6 @@ from inkveil.functions.sql import Sql, name, string
 from inkveil.functions.text import strip, words
 from inkveil.operators.verdict import verdict, whitelisted
 from inkveil.rules import DEFAULT_RULES, RuleSet
-from inkveil.sources.spread import fits_broadcast
 
 
 def distinct_words(df: DataFrame, text: str) -> DataFrame:
@@ -49,12 +48,10 @@ def is_whitelisted(tokens: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFra
 def drop_whitelisted(tokens: DataFrame, whitelist: DataFrame) -> DataFrame:
     """Tokens not in a whitelist table of any size (column ``word``).
 
-    Tokens are unique, so the join has no hot key; it is a broadcast one only if
-    the table is known to be small.
+    Tokens are unique, so the join has no hot key; Spark broadcasts the list if
+    its size is below the session's limit.
     """
     listed = whitelist.select("word").distinct()
-    if fits_broadcast(whitelist):
-        listed = F.broadcast(listed)
     keyed = tokens.withColumn("__word", F.expr(f"lower({strip('token')})"))
     return keyed.join(listed, keyed["__word"] == listed["word"], "left_anti").drop("__word")
 

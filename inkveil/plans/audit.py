@@ -30,7 +30,7 @@ def audit_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redactions_per_document(spark: SparkSession, sf: str) -> DataFrame:
-    counted = _logged(spark, sf).selectExpr("doc_id", f"{audit.counted('text_log')} AS n")
+    counted = _logged(spark, sf).selectExpr("doc_id", f"bigint({audit.counted('text_log')}) AS n")
     return counted.where("n > 0")
 
 
@@ -38,7 +38,7 @@ def first_five_redactions(spark: SparkSession, sf: str) -> DataFrame:
     first = _logged(spark, sf).selectExpr(
         "doc_id", f"posexplode({audit.first_entries('text_log')}) AS (rank, e)"
     )
-    return first.selectExpr("doc_id", "rank + 1 AS rank", "left(e.original, 20) AS preview",
+    return first.selectExpr("doc_id", "bigint(rank + 1) AS rank", "left(e.original, 20) AS preview",
                             "e.tag AS tag")
 
 

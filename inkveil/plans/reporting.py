@@ -127,7 +127,7 @@ _REPORT_COLUMNS = [
     "branch", "source_file_name", "source_file_type", "document_summary",
     "concat_ws('|', key_security_findings) AS findings", "environment_type", "people_count",
     "redacted_content_noted", "size(compliance_frameworks_referenced) AS frameworks",
-    "model_used", "analysis_timestamp", "char_length(raw_analysis) AS raw_analysis_length",
+    "model_used", "analysis_timestamp", "bigint(char_length(raw_analysis)) AS raw_analysis_length",
     "raw_response", "error",
 ]
 

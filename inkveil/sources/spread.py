@@ -24,9 +24,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
         return df
     return df.repartition(cores * _PIECES_PER_CORE, *keys)
 
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """The optimizer's size estimate is below the session's broadcast limit."""
-    limit = int(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("bB"))
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return 0 <= int(str(estimate)) <= limit

@@ -52,6 +52,15 @@ def to_java(pattern: str, ignore_case: bool = False, starts: str = "") -> str:
     return head + flags + _translate(pattern)
 
 
+def starting_with(word: str) -> str:
+    """Lookahead for the first letter of a word in any case; empty if there is none."""
+    first = word[0].lower()
+    if not (first.isascii() and first.isalnum()):
+        return ""
+    alike = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}.get(first, "")
+    return f"(?=[{first}{first.upper()}{alike}])"
+
+
 def rule_pattern(rule: PatternRule) -> str:
     return to_java(rule.pattern, rule.ignore_case, rule.starts)
 

@@ -25,6 +25,7 @@ from inkveil.functions.regex import (
     quote,
     quote_replacement,
     rule_pattern,
+    starting_with,
 )
 from inkveil.functions.sql import Sql, any_of, fenced, let, name, replace_all, string
 from inkveil.functions.text import has_content
@@ -110,18 +111,18 @@ def context_steps(rules: RuleSet) -> list[Step]:
 
 
 def _context_step(rule: ContextRule) -> Step:
-    trigger = quote(rule.trigger)
+    trigger, start = quote(rule.trigger), starting_with(rule.trigger)
     if rule.target == REST_OF_LINE:
         # The value may not hold a tag; blanks after the trigger may hold line
         # breaks, so that an empty line hands over to the next one.
         same_line = SPACE.replace(r"\t-\r", r"\t\x0b-\r")
         pattern = (
-            rf"(?iu)({trigger}[{SPACE}]*+:?+[{SPACE}]*+)"
+            rf"{start}(?iu)({trigger}[{SPACE}]*+:?+[{SPACE}]*+)"
             rf"([^\n<]*[^<{SPACE}])(?=[{same_line}]*(?:\n|\z))"
         )
     else:
         # The next number, wherever it is; a comma counts as one.
-        pattern = rf"(?iu)({trigger}[^,{DIGIT}]*+)([,{DIGIT}]+(?:\.[{DIGIT}]{{2}})?)"
+        pattern = rf"{start}(?iu)({trigger}[^,{DIGIT}]*+)([,{DIGIT}]+(?:\.[{DIGIT}]{{2}})?)"
     may = _word_test(rule.trigger)
     return Step(
         phase=CONTEXT,
@@ -174,7 +175,7 @@ def keyword_steps(rules: RuleSet) -> list[Step]:
                 Step(
                     phase=KEYWORD,
                     ord=n,
-                    pattern=f"(?iu){EDGE}{quote(word)}{EDGE}",
+                    pattern=f"{starting_with(word)}{EDGE}(?iu){quote(word)}{EDGE}",
                     tag=keyword_tag(category),
                     reason=f"Keyword: {category}",
                     key="keyword" if may else f"keyword {n}",

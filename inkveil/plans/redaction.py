@@ -53,34 +53,33 @@ def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redact_page_urls(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread(table(spark, sf, "pages").select("page_id", "url"), "page_id")
+    pages = spread(table(spark, sf, "pages").select("page_id", "url"))
     return redact(pages, "url", phases=PATTERN_PHASES).withColumnRenamed("url", "redacted")
 
 
 def redact_pages_html(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
     return redact(pages, "html", phases=("pattern",)).withColumnRenamed("html", "redacted")
 
 
 def redact_pages_html_merged(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
     return redact(pages, "html", phases=PATTERN_PHASES).withColumnRenamed("html", "redacted")
 
 
 def redact_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"),
-                   "conv_id", "turn")
+    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
     return redact(turns, "text", phases=PATTERN_PHASES).withColumnRenamed("text", "redacted")
 
 
 def redact_full_cascade(spark: SparkSession, sf: str) -> DataFrame:
     records = table(spark, sf, "customer").selectExpr("c_custkey", f"{CUSTOMER_RECORD} AS text")
-    return redact(spread(records, "c_custkey"), "text").withColumnRenamed("text", "redacted")
+    return redact(spread(records), "text").withColumnRenamed("text", "redacted")
 
 
 def contextual_rules(spark: SparkSession, sf: str) -> DataFrame:
     records = table(spark, sf, "orders").selectExpr("o_orderkey", f"{ORDER_RECORD} AS text")
-    done = redact(spread(records, "o_orderkey"), "text", phases=("context",))
+    done = redact(spread(records), "text", phases=("context",))
     return done.withColumnRenamed("text", "redacted")
 
 
@@ -180,7 +179,7 @@ def redact_with_tagger(spark: SparkSession, sf: str) -> DataFrame:
 
 def cells(name: str, key: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = spread(table(spark, sf, name), key)
+        rows = spread(table(spark, sf, name))
         return redact_cells(rows, keep=[key], phases=PATTERN_PHASES)
 
     return query

@@ -13,4 +13,4 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
     """The documents, spread over the cores: their work is in the processor."""
-    return spread(table(spark, directory, "documents").select("doc_id", *columns), "doc_id")
+    return spread(table(spark, directory, "documents").select("doc_id", *columns))

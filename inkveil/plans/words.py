@@ -55,8 +55,7 @@ def sensitivity_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 def verdict_in_context(spark: SparkSession, sf: str) -> DataFrame:
     """The last word of each turn, judged in the context of the turn."""
-    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"),
-                   "conv_id", "turn")
+    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
     last = turns.selectExpr(
         "conv_id", "turn", "text", "element_at(split(text, ' '), -1) AS token",
         "concat(text, if(conv_id % 2 = 0, ' Login', '')) AS context",

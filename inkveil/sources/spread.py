@@ -10,9 +10,10 @@ _SMALL_PER_CORE = 32 * 1024 * 1024
 _PIECES_PER_CORE = 3
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a small table by its key so that all cores share the work.
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a small table so that all cores share the work.
 
+    Rows are dealt out in turn, so a key that many rows share does not matter.
     The size is the optimizer's estimate from the files.  A large input already
     has many splits, and shuffling it would cost more than it gains, so it is
     returned as it is.
@@ -22,5 +23,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     if int(str(estimate)) >= cores * _SMALL_PER_CORE:
         return df
-    return df.repartition(cores * _PIECES_PER_CORE, *keys)
+    return df.repartition(cores * _PIECES_PER_CORE)
 

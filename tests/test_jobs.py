@@ -237,9 +237,9 @@ def test_stream_equals_batch_and_sees_each_text_once(spark, tmp_path):
 
 def test_small_tables_are_spread_and_large_ones_left(spark):
     small = spark.range(10)
-    assert "REPARTITION_BY_NUM" in spread(small, "id")._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in spread(small)._jdf.queryExecution().toString()
     large = spark.range(10**12)
-    assert "REPARTITION" not in spread(large, "id")._jdf.queryExecution().toString()
+    assert "REPARTITION" not in spread(large)._jdf.queryExecution().toString()
 
 
 def test_redaction_needs_no_shuffle(spark):

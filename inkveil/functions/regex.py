@@ -9,6 +9,7 @@ also keeps the result the same on every Java version.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from inkveil.rules.patterns import PatternRule
 
@@ -61,6 +62,14 @@ def starting_with(word: str) -> str:
     return f"(?=[{first}{first.upper()}{alike}])"
 
 
+def any_word(words: Iterable[str]) -> str:
+    """A pattern for any of the words, sorted into branches by first letter."""
+    branches: dict[str, list[str]] = {}
+    for word in words:
+        branches.setdefault(word[0], []).append(quote(word[1:]))
+    return "|".join(f"{quote(first)}(?:{'|'.join(rest)})" for first, rest in branches.items())
+
+
 def rule_pattern(rule: PatternRule) -> str:
     return to_java(rule.pattern, rule.ignore_case, rule.starts)
 

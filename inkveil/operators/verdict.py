@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkveil.functions.entropy import looks_random
 from inkveil.functions.guards import facts, may_match
-from inkveil.functions.regex import rule_pattern
+from inkveil.functions.regex import any_word, rule_pattern
 from inkveil.functions.sql import Sql, any_of, let, matches, string, strings
 from inkveil.functions.text import all_digits, strip
 from inkveil.rules import DEFAULT_RULES, RuleSet
@@ -51,7 +51,10 @@ def first_keyword(
         hits.append(f"WHEN {found} THEN {string(f'{category}_{keyword}')}")
     if not hits:
         return "string(null)"
-    return let("low", f"lower({text})", f"CASE {' '.join(hits)} END")
+    cases = f"CASE {' '.join(hits)} END"
+    # Most words hold none; one search settles that.
+    held = matches(f"lower({text})", any_word(k.lower() for _, k, _ in rules.keyword_rows()))
+    return f"if({held}, {let('low', f'lower({text})', cases)}, null)"
 
 
 def reason(

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from inkveil.llm import bitsliced
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
 QUERIES = {
     "op1_quality": quality_of_documents,
+    "op2_topk": bitsliced.topk_of_embeddings,
     "op8_bpe": encoding_of_documents,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_topk": bitsliced.ORACLE,
+}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced
+from inkveil.llm import bitsliced, kmtree
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
 QUERIES = {
     "op1_quality": quality_of_documents,
     "op2_topk": bitsliced.topk_of_embeddings,
+    "op5_ann": kmtree.neighbours_of_embeddings,
     "op8_bpe": encoding_of_documents,
 }
 

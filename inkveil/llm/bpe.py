@@ -24,13 +24,12 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from inkveil.llm.common import table
+from inkveil.llm.common import table, text_rows
 
 NONE = np.int32(2**31 - 1)
 _SHIFT = 21
@@ -294,28 +293,14 @@ def _mapped(docs, vocabulary, keys, text, fields, each) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch in batches:
-            for part in by_length(batch, last):
-                texts = [t or "" for t in part.column(last).to_pylist()]
-                columns = each(list(encoder.encode(texts)))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(last)), *columns], names=names)
+        for part in text_rows(batches, last, CHARS_AT_ONCE):
+            texts = [t or "" for t in part.column(last).to_pylist()]
+            columns = each(list(encoder.encode(texts)))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(last)), *columns], names=names)
 
     return chosen.mapInArrow(run, schema)
 
 
-def by_length(batch: pa.RecordBatch, column: int, chars: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about so many bytes of text, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    start, total = 0, 0
-    for i, size in enumerate(sizes.tolist()):
-        if i > start and total + size > chars:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += size
-    if batch.num_rows > start:
-        yield batch.slice(start)
-
-
 def encoding_of_documents(spark: SparkSession, directory: str, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for every document."""
     vocabulary = load(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts that are Python strings at one time; the Arrow batch itself is bounded by the session.
-ROWS_AT_ONCE = 256
+#: Bytes of text that are Python strings at one time (one row at least); the Arrow batch itself is bounded by the session.
+BYTES_AT_ONCE = 1_000_000
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -24,11 +25,22 @@ def fold(column: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % parts, F.lit(0))
 
 
-def text_rows(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """The batches in small pieces."""
+def by_size(batch: pa.RecordBatch, column: int, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about so many bytes of text, one row at least."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and total + size > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
+def text_rows(batches: Iterator[pa.RecordBatch], column: int, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        yield from by_size(batch, column, most)
 
 
 def map_texts(
@@ -52,7 +64,7 @@ def map_texts(
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         each = work()
-        for batch in text_rows(batches):
+        for batch in text_rows(batches, len(kept)):
             columns = each(batch.column(len(kept)).to_pylist())
             arrays = [batch.column(i) for i in range(len(kept))]
             arrays += [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]

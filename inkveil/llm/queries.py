@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced, kmtree
+from inkveil.llm import bitsliced, kmtree, langid
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
@@ -10,6 +10,7 @@ QUERIES = {
     "op1_quality": quality_of_documents,
     "op2_topk": bitsliced.topk_of_embeddings,
     "op5_ann": kmtree.neighbours_of_embeddings,
+    "op6_langid": langid.languages_of_documents,
     "op8_bpe": encoding_of_documents,
 }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced, kmtree, langid
+from inkveil.llm import bitsliced, kmtree, langid, secret_scan
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
@@ -11,6 +11,7 @@ QUERIES = {
     "op2_topk": bitsliced.topk_of_embeddings,
     "op5_ann": kmtree.neighbours_of_embeddings,
     "op6_langid": langid.languages_of_documents,
+    "op7_secrets": secret_scan.secrets_of_documents,
     "op8_bpe": encoding_of_documents,
 }
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced, kmtree, langid, secret_scan
+from inkveil.llm import bitsliced, kmtree, langid, mixing, secret_scan
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
 QUERIES = {
     "op1_quality": quality_of_documents,
     "op2_topk": bitsliced.topk_of_embeddings,
+    "op4_mixing": mixing.mix_of_documents,
     "op5_ann": kmtree.neighbours_of_embeddings,
     "op6_langid": langid.languages_of_documents,
     "op7_secrets": secret_scan.secrets_of_documents,

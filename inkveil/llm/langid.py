@@ -43,79 +43,126 @@ _WORD = r"\p{L}+"
 _RESCALE = 16
 
 
+_BASE, _SLOT = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+_BITS = 18
+#: Characters of equally long words that are worked on together; words up to this length need no logarithms.
+_TOGETHER, _PLAIN = 65_536, 24
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points (words, characters); the words are equally long."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
 @dataclass(frozen=True)
 class Pieces:
-    """Numbers of the pieces, and of the pieces that stand for single bytes."""
+    """Numbers of the pieces by a hash of their characters, and of the pieces that stand for single bytes."""
 
-    number: dict[str, int]
+    keys: np.ndarray  # by number; 0 for those that are no text
+    slots: np.ndarray  # open addressing; -1 where empty
     of_byte: tuple[int, ...]
-    size: int
     longest: int
 
+    @property
+    def size(self) -> int:
+        return len(self.keys)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the piece with each hash, -1 for none."""
+        shape, hashes = hashes.shape, hashes.ravel()
+        slot = (hashes * _SLOT >> np.uint64(64 - _BITS)).astype(np.int64)
+        out = self.slots[slot]
+        again = np.flatnonzero((out >= 0) & (self.keys[out] != hashes))
+        while len(again):
+            slot[again] = slot[again] + 1 & (1 << _BITS) - 1
+            out[again] = self.slots[slot[again]]
+            again = again[(out[again] >= 0) & (self.keys[out[again]] != hashes[again])]
+        return out.reshape(shape)
+
+
+def make_pieces(texts: dict[int, str], of_byte: dict[int, int], size: int) -> Pieces:
+    """``texts``: number and characters of each piece that is a text."""
+    keys, slots = np.zeros(size, np.uint64), np.full(1 << _BITS, -1, np.int32)
+    if 2 * len(texts) > len(slots):
+        raise ValueError("too many pieces")
+    for number, text in texts.items():
+        h = 0
+        for c in text:
+            h = (h * int(_BASE) + ord(c)) % 2**64
+        keys[number] = h
+        slot = h * int(_SLOT) % 2**64 >> 64 - _BITS
+        while slots[slot] >= 0:
+            slot = slot + 1 & (1 << _BITS) - 1
+        slots[slot] = number
+    return Pieces(keys, slots, tuple(of_byte[b] for b in range(256)), max(map(len, texts.values())))
+
 
 def load_pieces(path: str) -> Pieces:
     """The vocabulary of a sentencepiece model that has byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    number, of_byte = {}, {}
+    texts, of_byte = {}, {}
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         if model.is_byte(i):
             of_byte[int(piece[3:5], 16)] = i
         elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-            number[piece] = i
-    return Pieces(number, tuple(of_byte[b] for b in range(256)), model.get_piece_size(), max(map(len, number)))
+            texts[i] = piece
+    return make_pieces(texts, of_byte, model.get_piece_size())
 
 
 class Lattice:
-    """All segmentations of words into pieces."""
+    """All segmentations of words, each with a word start before it, into pieces."""
 
-    def __init__(self, pieces: Pieces, probability: np.ndarray) -> None:
+    def __init__(self, pieces: Pieces, probability: np.ndarray, start: str = _START) -> None:
         """``probability``: (pieces, columns); a column is a language."""
-        self.pieces, self.columns = pieces, probability.shape[1]
-        self.rare: dict[str, int] = {}  # characters that are no piece
+        self.pieces, self.columns, self.start = pieces, probability.shape[1], start
+        self.rare: dict[int, int] = {}  # code points that are no piece
         self.table = np.vstack((probability, np.zeros((1, self.columns))))  # the last row: no such piece
 
-    def _number(self, text: str, at: int, end: int) -> int:
-        found = self.pieces.number.get(text[at:end], -1)
-        if found < 0 and end == at + 1:
-            c = text[at]
-            found = self.rare.get(c, -1)
-            if found < 0:
-                row = self.table[[self.pieces.of_byte[b] for b in c.encode()]].prod(0)
-                self.rare[c] = found = self.pieces.size + len(self.rare)
-                self.table = np.vstack((self.table[:-1], row, self.table[-1:]))
+    def _rare(self, code: int) -> int:
+        """The number of a character that is no piece: its bytes' probabilities multiplied."""
+        found = self.rare.get(code)
+        if found is None:
+            row = self.table[[self.pieces.of_byte[b] for b in chr(code).encode("utf-8", "surrogatepass")]].prod(0)
+            self.rare[code] = found = self.pieces.size + len(self.rare)
+            self.table = np.vstack((self.table[:-1], row, self.table[-1:]))
         return found
 
-    def edges(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
-        """(from, to) and the piece's number in each word (-1: none); the words are equally long."""
-        n, get = len(words[0]), self.pieces.number.get
-        out = {}
-        for at in range(n):
-            for end in range(at + 1, min(n, at + self.pieces.longest) + 1):
-                if end == at + 1:
-                    out[at, end] = np.array([self._number(w, at, end) for w in words])
-                else:
-                    numbers = [get(w[at:end], -1) for w in words]
-                    if max(numbers) >= 0:
-                        out[at, end] = np.array(numbers)
+    def edges(self, words: list[str]) -> list[np.ndarray]:
+        """For each length from 1 the numbers (words, places) of the pieces that begin there, -1 for none."""
+        codes = _codes([self.start + w for w in words])
+        n = codes.shape[1]
+        hashes, out = codes, []
+        for length in range(1, min(n, self.pieces.longest) + 1):
+            if length > 1:
+                hashes = hashes[:, :-1] * _BASE + codes[:, length - 1 :]
+            numbers = self.pieces.find(hashes)
+            if length == 1 and (numbers < 0).any():
+                numbers = numbers.copy()
+                for code in np.unique(codes[numbers < 0]).tolist():
+                    numbers[(numbers < 0) & (codes == code)] = self._rare(code)
+            out.append(numbers)
         return out
 
-    def forward(self, n: int, edges: dict) -> tuple[list[np.ndarray], np.ndarray]:
-        """Scaled sums at every position, and the logarithm of the whole sum."""
-        into: list[list[int]] = [[] for _ in range(n + 1)]
-        for at, end in edges:
-            into[end].append(at)
-        words = len(edges[0, 1])
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        """(words, columns)."""
+        out = np.empty((len(words), self.columns))
+        for rows, same in _by_length(words):
+            out[rows] = self._forward(self.edges(same))
+        return out
+
+    def _forward(self, edges: list[np.ndarray]) -> np.ndarray:
+        weight = [self.table[e] for e in edges]
+        words, n = edges[0].shape
         sums, scale = [np.ones((words, self.columns))], np.zeros((words, self.columns))
         for end in range(1, n + 1):
-            total = np.zeros((words, self.columns))
-            for at in into[end]:
-                total += sums[at] * self.table[edges[at, end]]
+            total = sums[end - 1] * weight[0][:, end - 1]
+            for length in range(2, min(end, len(edges)) + 1):
+                total += sums[end - length] * weight[length - 1][:, end - length]
             sums.append(total)
-            if end % _RESCALE == 0:
-                # What later positions can still reach is brought back to size.
+            if end % _RESCALE == 0:  # what later positions can still reach is brought back to size
                 recent = range(max(0, end - self.pieces.longest), end + 1)
                 top = np.maximum.reduce([sums[i] for i in recent])
                 top = np.where(top > 0, top, 1)
@@ -123,14 +170,7 @@ class Lattice:
                     sums[i] = sums[i] / top
                 scale += np.log(top)
         with np.errstate(divide="ignore"):
-            return sums, np.log(sums[n]) + scale
-
-    def log_probability(self, words: list[str]) -> np.ndarray:
-        """(words, columns)."""
-        out = np.empty((len(words), self.columns))
-        for rows, same in _by_length(words):
-            out[rows] = self.forward(len(same[0]), self.edges(same))[1]
-        return out
+            return np.log(sums[n]) + scale
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected numbers of pieces, (pieces, columns of counts).
@@ -143,38 +183,37 @@ class Lattice:
             edges = self.edges(same)
             for first in range(self.columns):
                 every = slice(None) if self.columns == 1 else slice(first, first + 1)
-                self._add(out[:, every], len(same[0]), edges, first, counts[rows][:, every])
+                self._add(out[:, every], edges, first, counts[rows][:, every])
         return out
 
-    def _add(self, out: np.ndarray, n: int, edges: dict, column: int, counts: np.ndarray) -> None:
-        p = self.table[:, column]
+    def _add(self, out: np.ndarray, edges: list[np.ndarray], column: int, counts: np.ndarray) -> None:
+        """Forward and backward sums; long words in logarithms."""
+        words, n = edges[0].shape
+        plain = n <= _PLAIN
+        plus, times = (np.add, np.multiply) if plain else (np.logaddexp, np.add)
         with np.errstate(divide="ignore"):
-            weight = {e: np.log(p[ids]) for e, ids in edges.items()}
-        words = len(counts)
-        ahead, behind = [np.zeros(words)], {n: np.zeros(words)}
-        into: list[list[int]] = [[] for _ in range(n + 1)]
-        outof: list[list[int]] = [[] for _ in range(n + 1)]
-        for at, end in edges:
-            into[end].append(at)
-            outof[at].append(end)
+            weight = [self.table[e, column] if plain else np.log(self.table[e, column]) for e in edges]
+        one = np.full(words, 1.0 if plain else 0.0)
+        ahead, behind = [one], {n: one}
         for end in range(1, n + 1):
-            ahead.append(np.logaddexp.reduce([ahead[at] + weight[at, end] for at in into[end]]))
+            parts = [times(ahead[end - k - 1], weight[k][:, end - k - 1]) for k in range(min(end, len(edges)))]
+            ahead.append(plus.reduce(parts))
         for at in range(n - 1, -1, -1):
-            behind[at] = np.logaddexp.reduce([behind[end] + weight[at, end] for end in outof[at]])
-        share = np.concatenate([np.exp(ahead[a] + w + behind[b] - ahead[n]) for (a, b), w in weight.items()])
-        numbers = np.concatenate(list(edges.values()))
-        some = numbers >= 0
-        times = np.tile(np.arange(words), len(edges))[some]
-        numbers, share = numbers[some], share[some]
-        known = numbers < self.pieces.size
-        for k in range(counts.shape[1]):
-            value = share * counts[times, k]
-            out[:, k] += np.bincount(numbers[known], value[known], self.pieces.size)
-            if not known.all():
-                extra = np.bincount(numbers[~known] - self.pieces.size, value[~known], len(self.rare))
-                for c, number in self.rare.items():
-                    for b in c.encode():
-                        out[self.pieces.of_byte[b], k] += extra[number - self.pieces.size]
+            parts = [times(behind[at + k + 1], weight[k][:, at]) for k in range(min(n - at, len(edges)))]
+            behind[at] = plus.reduce(parts)
+        ahead, behind = np.stack(ahead, 1), np.stack([behind[i] for i in range(n + 1)], 1)
+        whole = ahead[:, n:]
+        for k, numbers in enumerate(edges):
+            through = times(times(ahead[:, : n - k], weight[k]), behind[:, k + 1 :])
+            row, place = np.nonzero(numbers >= 0)
+            share = through[row, place] / whole[row, 0] if plain else np.exp(through[row, place] - whole[row, 0])
+            found = numbers[row, place]
+            for j in range(counts.shape[1]):
+                sums = np.bincount(found, share * counts[row, j], self.pieces.size + len(self.rare))
+                out[:, j] += sums[: self.pieces.size]
+                for code, number in self.rare.items() if k == 0 else ():
+                    for b in chr(code).encode("utf-8", "surrogatepass"):
+                        out[self.pieces.of_byte[b], j] += sums[number]
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -182,13 +221,14 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     order = np.argsort(lengths, kind="stable")
     starts = np.flatnonzero(np.concatenate(([True], np.diff(lengths[order]) > 0))) if len(words) else []
     for rows in np.split(order, starts[1:]) if len(words) else ():
-        for at in range(0, len(rows), 4096):
-            part = rows[at : at + 4096]
+        step = max(1, _TOGETHER // (1 + len(words[rows[0]])))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
             yield part, [words[i] for i in part.tolist()]
 
 
 def words_of(text: str, pattern: regex.Pattern) -> list[str]:
-    return [_START + w for w in pattern.findall(text.lower())]
+    return pattern.findall(text.lower())
 
 
 @dataclass(frozen=True)
@@ -237,7 +277,7 @@ def _expected(pieces: Pieces, model: Model | None):
             lattice = Lattice(pieces, start)
             for at in range(0, len(every), 16384):
                 part = every[at : at + 16384]
-                counts = np.array([[words[name][w] for name in names] for w in part], float)
+                counts = np.array([[words[name].get(w, 0) for w in part] for name in names], float).T
                 found = lattice.expected(part, counts)
                 for k, name in enumerate(names):
                     sums[name] = sums.get(name, 0) + found[:, k]

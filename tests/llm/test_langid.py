@@ -5,50 +5,69 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 
-from inkveil.llm.langid import Lattice, Pieces, identified, languages_of_documents, learn, load_pieces
+from inkveil.llm import langid
+from inkveil.llm.langid import Lattice, identified, languages_of_documents, learn, load_pieces, make_pieces
 from tests.conftest import DATA
 
 
+NUMBERS = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4, "c": 5}
+BYTES = {b: 6 + b for b in range(256)}
+
+
 @pytest.fixture(scope="module")
 def small():
-    names = ["a", "b", "ab", "ba", "aba", "c", *(f"<{b}>" for b in range(256))]
-    return Pieces({n: i for i, n in enumerate(names[:6])}, tuple(range(6, 262)), 262, 3)
+    return make_pieces({i: n for n, i in NUMBERS.items()}, BYTES, 262)
 
 
-def segmentations(word, pieces):
+def segmentations(word):
     if not word:
         yield []
-    for end in range(1, min(len(word), pieces.longest) + 1):
-        if word[:end] in pieces.number:
-            first = [pieces.number[word[:end]]]
+    for end in range(1, min(len(word), 3) + 1):
+        if word[:end] in NUMBERS:
+            first = [NUMBERS[word[:end]]]
         elif end == 1:
-            first = [pieces.of_byte[b] for b in word[0].encode()]
+            first = [BYTES[b] for b in word[0].encode()]
         else:
             continue
-        yield from (first + rest for rest in segmentations(word[end:], pieces))
+        yield from (first + rest for rest in segmentations(word[end:]))
 
 
-def test_lattice_equals_listing(small):
+@pytest.mark.parametrize("plain", [24, 3])
+def test_lattice_equals_listing(small, plain, monkeypatch):
+    monkeypatch.setattr(langid, "_PLAIN", plain)
     p = np.random.default_rng(1).dirichlet(np.ones(262), 2).T
     words = ["a", "ab", "aba", "abab", "cabba", "xab", "aéb", "bbab"]
-    lattice = Lattice(small, p)
+    lattice = Lattice(small, p, "")
     got = lattice.log_probability(words)
     counts = np.array([[1.0, 2.0]] * len(words))
     want_counts = np.zeros((262, 2))
     for w, row in zip(words, got, strict=True):
-        ways = list(segmentations(w, small))
+        ways = list(segmentations(w))
         each = np.array([p[way].prod(0) for way in ways])
         assert np.allclose(row, np.log(each.sum(0)))
         for way, share in zip(ways, each / each.sum(0), strict=True):
             for piece in way:
                 want_counts[piece] += share * [1.0, 2.0]
-    assert np.allclose(Lattice(small, p).expected(words, counts), want_counts)
+    assert np.allclose(Lattice(small, p, "").expected(words, counts), want_counts)
+
+
+def test_pieces_are_found():
+    pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    lattice = Lattice(pieces, np.full((pieces.size, 1), 0.1))
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for word in ["hello", "größe", "x"]:
+        text = "▁" + word
+        for length, numbers in enumerate(lattice.edges([word]), 1):
+            for at, number in enumerate(numbers[0].tolist()):
+                want = model.piece_to_id(text[at : at + length])
+                assert number == (want if want != model.unk_id() else -1) or length == 1
 
 
 def test_long_words_do_not_underflow(small):
     p = np.full((262, 1), 1e-6)
-    (value,) = Lattice(small, p).log_probability(["c" * 5000])
+    (value,) = Lattice(small, p, "").log_probability(["c" * 5000])
     assert np.isclose(value[0], 5000 * np.log(1e-6))
 
 

@@ -34,12 +34,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from inkveil.llm.common import table, text_rows, written
+from inkveil.llm.common import all_of, table, text_rows, written
 from inkveil.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -47,52 +47,78 @@ WORDS, PERCENT = 3, 90
 COMMON, COMMON_FROM = 200_000, 32
 #: Lossy counting: elements counted together, and the fewest documents among them to be noted.
 COUNTED_TOGETHER, NOTED_FROM = 4_000_000, 3
+#: Elements with smaller hashes, a quarter, come first in the order of elements.
+FIRST = np.uint64(2**62)
 #: Smallest hashes kept to estimate how often an element repeats.
 SKETCH = 1024
 #: Elements in a block of sets that are compared.
 BLOCK_ELEMENTS = 400_000
 #: Listing more subsets than this for one set is never considered.
 MOST_SUBSETS = 1000
-KEPT_WORDS = 300_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mix(x: np.ndarray, factor: np.uint64 = _M1) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * factor
     x = (x ^ (x >> np.uint64(29))) * _M2
     return x ^ (x >> np.uint64(32))
 
 
-def elements(text: str | None, hashes: _Hashes, words: int = WORDS) -> np.ndarray:
-    """The distinct n-grams of a text, as sorted 64-bit hashes.
+class Shingler:
+    """Texts to sets of 64-bit hashes of their n-grams, many texts at once.
 
-    ``bytes.lower`` and ``bytes.split`` know ASCII alone: A-Z, and the blank
-    with 09-0D, which is what words are lower-cased and cut by.
+    ``bytes.lower`` knows ASCII alone, so it lower-cases A-Z.  A word's hash is a
+    polynomial over its bytes (each byte first becomes a random number), taken
+    from running sums over all texts; hashes of words make those of n-grams.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = np.array([hashes[w] for w in parts], np.uint64)
-    if len(h) < words:
-        out = np.array([len(h)], np.uint64)
-        for x in h:
-            out = _mix(out * _M1 + x)
+
+    def __init__(self, words: int = WORDS) -> None:
+        self.words = words
+        draw = np.random.default_rng(5)
+        self.symbol = draw.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.blank = np.zeros(256, bool)
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        """Powers of the base, and of its inverse modulo 2**64, up to n."""
+        if len(self.power) <= n:
+            size = max(n + 1, 2 * len(self.power))
+            for name, base in (("power", _M1), ("inverse", np.uint64(pow(int(_M1), -1, 2**64)))):
+                steps = np.full(size, base)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The sorted distinct elements of each text."""
+        data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+        joined = np.frombuffer(b" ".join([*data, b""]), np.uint8)
+        self._reach(len(joined))
+        solid = ~self.blank[joined]
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        running = np.zeros(len(joined) + 1, np.uint64)
+        np.cumsum(self.symbol[joined] * self.power[: len(joined)], out=running[1:])
+        word = _mix((running[end] - running[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        bounds = np.cumsum([len(d) + 1 for d in data])
+        last = np.searchsorted(start, bounds)
+        grams = word[: max(0, len(word) - self.words + 1)]
+        for i in range(1, self.words):
+            grams = _mix(grams) * _M1 + word[i : len(grams) + i]
+        grams, out, first = _mix(grams), [], 0
+        for behind in last.tolist():
+            if behind - first >= self.words:
+                out.append(np.unique(grams[first : behind - self.words + 1]))
+            elif behind > first:  # too few words for one n-gram: all of them are the only one
+                whole = np.array([behind - first], np.uint64)
+                for x in word[first:behind]:
+                    whole = _mix(whole * _M1 + x)
+                out.append(whole)
+            else:
+                out.append(np.zeros(0, np.uint64))
+            first = behind
         return out
-    out = h[: len(h) - words + 1]
-    for i in range(1, words):
-        out = _mix(out) * _M1 + h[i : len(h) - words + 1 + i]
-    return np.unique(_mix(out))
 
 
 def sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,21 +170,29 @@ class Plan:
         """The least size that can link with a set larger than ``small``."""
         return -(-self.percent * (self.small + 1) // 100)
 
-    def rare(self, x: np.ndarray) -> np.ndarray:
-        """The elements of a set that go into inverted lists: the first ones, common ones last."""
-        n = spare(len(x), self.percent) + 1
+    def rare(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements that compete for the places in inverted lists, and those sure of one.
+
+        In the order of all elements those with small hashes that are not
+        common come first, by the number of sets they are in (counted later);
+        then the others by hash; then the common ones by count.
+        """
+        places = spare(len(x), self.percent) + 1
+        times = np.zeros(len(x), np.int64)
         if len(self.common):
             at = np.minimum(np.searchsorted(self.common, x), len(self.common) - 1)
             times = np.where(self.common[at] == x, self.counts[at], 0)
-            return x[np.lexsort((x, times))[:n]]
-        return x[:n]
+        first = (times == 0) & (x < FIRST)
+        listed = x[first]
+        rest, times = x[~first], times[~first]
+        return listed, rest[np.lexsort((rest, times))[: max(0, places - len(listed))]]
 
 
 def surveyed(docs: DataFrame, text: str, words: int, percent: int) -> Plan:
     """One pass over all documents: common elements, sizes, and how often elements repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, total, least = _Hashes(), [], 0, np.zeros(0, np.uint64)
+        shingler, held, total, least = Shingler(words), [], 0, np.zeros(0, np.uint64)
         sizes: dict[int, int] = {}
 
         def noted() -> pa.RecordBatch:
@@ -167,13 +201,13 @@ def surveyed(docs: DataFrame, text: str, words: int, percent: int) -> Plan:
             return rows(0, found[some].view(np.int64), n[some])
 
         for batch in text_rows(batches, 0):
-            for value in batch.column(0).to_pylist():
-                x = elements(value, hashes, words)
+            for x in shingler.sets(batch.column(0).to_pylist()):
                 if len(x):
                     sizes[len(x)] = sizes.get(len(x), 0) + 1
                     held.append(x)
                     total += len(x)
-                    least = np.unique(np.concatenate((least, x[:SKETCH])))[:SKETCH]
+                    if len(least) < SKETCH or x[0] < least[-1]:
+                        least = np.unique(np.concatenate((least, x[:SKETCH])))[:SKETCH]
                 if total >= COUNTED_TOGETHER:
                     yield noted()
                     held, total = [], 0
@@ -200,31 +234,29 @@ def surveyed(docs: DataFrame, text: str, words: int, percent: int) -> Plan:
 
 
 def _described(plan: Plan, kind: T.DataType):
-    """Documents to size, sums, rare elements, and the subsets of small sets (sums and size)."""
-    schema = T.StructType(
-        [T.StructField("doc_id", kind), T.StructField("n", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
-         T.StructField("rare", T.ArrayType(T.LongType())), T.StructField("s1", T.ArrayType(T.LongType())), T.StructField("s2", T.ArrayType(T.LongType())),
-         T.StructField("kept", T.ArrayType(T.IntegerType()))]
-    )
+    """Documents to size, sums, elements for inverted lists, and the subsets of small sets (sums and size)."""
+    longs = T.ArrayType(T.LongType())
+    fields = {"doc_id": kind, "n": T.IntegerType(), "h1": T.LongType(), "h2": T.LongType(), "listed": longs, "sure": longs, "s1": longs, "s2": longs, "kept": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, lists, none = _Hashes(), pa.list_(pa.int64()), np.zeros(0, np.int64)
+        shingler, lists, none = Shingler(plan.words), pa.list_(pa.int64()), np.zeros(0, np.int64)
         for batch in text_rows(batches, 1):
-            columns: list[list] = [[] for _ in range(7)]
-            for value in batch.column(1).to_pylist():
-                x = elements(value, hashes, plan.words)
+            columns: list[list] = [[] for _ in range(8)]
+            for x in shingler.sets(batch.column(1).to_pylist()):
                 a, b = sums(x)
                 h1, h2 = a.sum(dtype=np.uint64), b.sum(dtype=np.uint64)
-                rare = plan.rare(x).view(np.int64) if len(x) >= plan.listed_from and len(x) else none
+                listed, sure = plan.rare(x) if len(x) >= max(1, plan.listed_from) else (x[:0], x[:0])
                 s1, s2, kept = none, none, none
                 if 0 < len(x) <= plan.small:
                     gone = [c for k in range(spare(len(x), plan.percent) + 1) for c in combinations(range(len(x)), k)]
                     s1 = np.array([h1 - a[list(c)].sum(dtype=np.uint64) for c in gone], np.uint64).view(np.int64)
                     s2 = np.array([h2 - b[list(c)].sum(dtype=np.uint64) for c in gone], np.uint64).view(np.int64)
                     kept = np.array([len(x) - len(c) for c in gone])
-                for column, v in zip(columns, (len(x), h1.view(np.int64), h2.view(np.int64), rare, s1, s2, kept), strict=True):
+                row = len(x), h1.view(np.int64), h2.view(np.int64), listed.view(np.int64), sure.view(np.int64), s1, s2, kept
+                for column, v in zip(columns, row, strict=True):
                     column.append(v)
-            kinds = (pa.int32(), pa.int64(), pa.int64(), lists, lists, lists, pa.list_(pa.int32()))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), lists, lists, lists, lists, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
     return run, schema
@@ -253,16 +285,32 @@ def size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / step).cast("int")
 
 
+def _entries(nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, n, element): the elements in a node's places that other nodes have too.
+
+    Elements that compete for places are counted first; those of one set alone
+    take places, but no list.  Common elements do not compete, so no list that
+    is counted here is long.
+    """
+    every = F.concat(F.transform("listed", lambda x: F.struct(x.alias("element"), F.lit(False).alias("sure"))),
+                     F.transform("sure", lambda x: F.struct(x.alias("element"), F.lit(True).alias("sure"))))
+    lists = nodes.select("node", "n", F.size("listed").alias("competing"), F.explode(every).alias("e")).select("node", "n", "competing", "e.*")
+    shared = lists.withColumn("sets", F.count("*").over(Window.partitionBy("element"))).filter("sets > 1")
+    of_node = Window.partitionBy("node", "sure")
+    places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    taken = F.col("competing") - F.count("*").over(of_node)  # by elements of this set alone
+    rank = F.row_number().over(of_node.orderBy("sets", "element"))
+    return shared.withColumns({"taken": taken, "rank": rank}).filter(F.col("sure") | (F.col("rank") + F.col("taken") <= places)).select("node", "n", "element")
+
+
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """(node, root): nodes that have to be compared have the same root.
 
     In each inverted list, nodes of two neighbouring size classes are held
     together by edges to the least of them.
     """
-    lists = nodes.select("node", size_class(F.col("n"), percent).alias("size"), F.explode("rare").alias("element"))
-    several = lists.groupBy("element").agg(F.count("*").alias("c")).filter("c > 1").select("element")
-    entries = lists.join(several, "element").select("node", "element", F.explode(F.array("size", F.col("size") + 1)).alias("size"))
-    entries = written(entries, "entries")
+    size = size_class(F.col("n"), percent)
+    entries = written(_entries(nodes, percent).select("node", "element", F.explode(F.array(size, size + 1)).alias("size")), "entries")
     least = entries.groupBy("element", "size").agg(F.min("node").alias("least"), F.count("*").alias("c")).filter("c > 1")
     edges = entries.join(least, ["element", "size"]).filter("node <> least")
     return components(edges.select(F.col("node").alias("a"), F.col("least").alias("b")))
@@ -316,12 +364,13 @@ def _compared(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
         for batch in batches:
-            for key, node, elements_ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, node, elements in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if key != cell:
                     if held:
                         yield links(held)
                     cell, held = key, []
-                held.append((node, elements_))
+                if not held or held[-1][0] != node:
+                    held.append((node, elements))
         if held:
             yield links(held)
 
@@ -330,7 +379,7 @@ def _compared(percent: int):
 
 def _large_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """Links among the nodes that share rare elements, exact."""
-    roots = _candidates(nodes.filter(F.size("rare") > 0), plan.percent)
+    roots = _candidates(nodes.filter("size(listed) + size(sure) > 0"), plan.percent)
     active = roots.join(nodes.select("node", "n", "h1", "h2", "doc_id"), "node")
     active = written(active.withColumn("size", size_class(F.col("n"), plan.percent)), "active")
     blocks = active.groupBy("root", "size").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"), F.count("*").alias("members"))
@@ -354,26 +403,43 @@ def _large_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
         cells(F.col("upper"), 1, size + 1, lambda t: (own, t)),
         cells(F.col("lower"), 1, size, lambda t: (t, own)),
     )
-    placed = placed.select("node", "n", "h1", "h2", "root", F.explode(every).alias("cell"))
-    placed = placed.select("node", "n", "h1", "h2", F.concat_ws("/", "root", "cell.size", "cell.cross", "cell.i", "cell.j").alias("cell"))
-    sets = _sets(docs.join(active.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), plan)
-    sets = sets.join(active.select("h1", "h2", "n", "node"), ["h1", "h2", "n"]).dropDuplicates(["node"]).select("node", "elements")
-    rows = sets.join(placed.select("node", "cell"), "node").select("cell", "node", "elements")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compared(plan.percent), "a long, b long")
+    placed = placed.select("doc_id", "n", "h1", "h2", "node", F.transform(every, lambda c: F.concat_ws("/", "root", *(c[k] for k in ("size", "cross", "i", "j")))).alias("cells"))
+    # A node's text is that of a document with its id and its set.
+    same = [F.col(f"d.{k}") == F.col(f"p.{k}") for k in ("n", "h1", "h2")]
+    texts = _summed(docs, plan).alias("d").join(placed.alias("p"), all_of([*same, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))]))
+    rows = texts.select("p.node", "p.cells", "d.text").filter(F.size("cells") > 0).mapInArrow(_elements(plan), "cell string, node long, elements binary")
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compared(plan.percent), "a long, b long")
+
 
+def _summed(docs: DataFrame, plan: Plan) -> DataFrame:
+    """The documents with size and sums of their sets."""
 
-def _sets(docs: DataFrame, plan: Plan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in text_rows(batches, 0):
-            found = [elements(t, hashes, plan.words) for t in batch.column(0).to_pylist()]
-            h = [[v.sum(dtype=np.uint64).view(np.int64) for v in sums(x)] for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(x) for x in found], pa.int32()), *(pa.array([v[k] for v in h], pa.int64()) for k in (0, 1)), pa.array([x.tobytes() for x in found], pa.binary())],
-                names=["n", "h1", "h2", "elements"],
-            )
-
-    return docs.select("text").mapInArrow(run, "n int, h1 long, h2 long, elements binary")
+        shingler = Shingler(plan.words)
+        for batch in text_rows(batches, 1):
+            sets = shingler.sets(batch.column(1).to_pylist())
+            h = [[v.sum(dtype=np.uint64).view(np.int64) for v in sums(x)] for x in sets]
+            columns = [pa.array([len(x) for x in sets], pa.int32()), *(pa.array([v[k] for v in h], pa.int64()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text", "n", "h1", "h2"])
+
+    fields = [T.StructField("n", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+
+
+def _elements(plan: Plan):
+    """Nodes with text and cells to one row per cell with the whole set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(plan.words)
+        for batch in text_rows(batches, 2):
+            sets = shingler.sets(batch.column(2).to_pylist())
+            for node, cells, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sets, strict=True):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells, pa.string()), pa.array([node] * len(cells), pa.int64()), pa.array([x.tobytes()] * len(cells), pa.binary())],
+                    names=["cell", "node", "elements"],
+                )
+
+    return run
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

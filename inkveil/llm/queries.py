@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced, jaccard, kmtree, langid, mixing, secret_scan
+from inkveil.llm import bitsliced, jaccard, kmtree, langid, mixing, pii, secret_scan
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_secrets": secret_scan.secrets_of_documents,
     "op8_bpe": encoding_of_documents,
     "op9_jaccard": jaccard.components_of_documents,
+    "op10_pii": pii.private_data_of_documents,
 }
 
 ORACLES: dict[str, str] = {

@@ -257,14 +257,24 @@ def decode(ids, vocabulary: Vocabulary) -> bytes:
     return b"".join(map(vocabulary.tokens.__getitem__, ids))
 
 
+def _lists(ids: list[array]) -> pa.Array:
+    counts = np.array([0, *map(len, ids)], np.int32).cumsum(dtype=np.int32)
+    flat = np.concatenate([np.frombuffer(i, np.int32) for i in ids]) if counts[-1] else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(counts), pa.array(flat))
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, keys: list[str], text: str = "text") -> DataFrame:
     """The keys with ``ids``, the token ids of the text."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    return _mapped(docs, vocabulary, keys, text, fields, lambda texts, ids: [_lists(ids)])
+
+
+def round_trips(docs: DataFrame, vocabulary: Vocabulary, keys: list[str], text: str = "text") -> DataFrame:
+    """The keys with ``ids`` and ``round_trip``: whether they decode to the text."""
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
 
-    def each(ids: list[array]) -> list[pa.Array]:
-        counts = np.array([0, *map(len, ids)], np.int32).cumsum(dtype=np.int32)
-        flat = np.concatenate([np.frombuffer(i, np.int32) for i in ids]) if counts[-1] else np.zeros(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(counts), pa.array(flat))]
+    def each(texts: list[str], ids: list[array]) -> list[pa.Array]:
+        return [_lists(ids), pa.array([decode(i, vocabulary) == t.encode() for t, i in zip(texts, ids, strict=True)])]
 
     return _mapped(docs, vocabulary, keys, text, fields, each)
 
@@ -278,7 +288,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, keys: list[str], text: str
     ]
     written = [str(i) for i in range(len(vocabulary.tokens))]
 
-    def each(ids: list[array]) -> list[pa.Array]:
+    def each(texts: list[str], ids: list[array]) -> list[pa.Array]:
         listed = [hashlib.sha256(" ".join([written[i] for i in x]).encode()).hexdigest() for x in ids]
         back = [hashlib.sha256(decode(x, vocabulary)).hexdigest() for x in ids]
         return [pa.array([len(x) for x in ids], pa.int64()), pa.array(listed), pa.array(back)]
@@ -295,7 +305,7 @@ def _mapped(docs, vocabulary, keys, text, fields, each) -> DataFrame:
         encoder = Encoder(vocabulary)
         for part in text_rows(batches, last, CHARS_AT_ONCE):
             texts = [t or "" for t in part.column(last).to_pylist()]
-            columns = each(list(encoder.encode(texts)))
+            columns = each(texts, list(encoder.encode(texts)))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(last)), *columns], names=names)
 
     return chosen.mapInArrow(run, schema)

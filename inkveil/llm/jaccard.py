@@ -420,7 +420,7 @@ def _summed(docs: DataFrame, plan: Plan) -> DataFrame:
             sets = shingler.sets(batch.column(1).to_pylist())
             h = [[v.sum(dtype=np.uint64).view(np.int64) for v in sums(x)] for x in sets]
             columns = [pa.array([len(x) for x in sets], pa.int32()), *(pa.array([v[k] for v in h], pa.int64()) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n", "h1", "h2"])
 
     fields = [T.StructField("n", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
@@ -442,13 +442,8 @@ def _elements(plan: Plan):
     return run
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row.
-
-    Rows whose sets have at least ``percent`` hundredths of their union in
-    common are linked; component_id is the least id reachable by links.
-    """
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+def _joined(docs: DataFrame, words: int, percent: int) -> tuple[Plan, DataFrame, DataFrame]:
+    """The plan; doc_id, n, h1, h2 of every row; and the different sets (h1, h2, n, node, least id) with their root, null where nothing is linked."""
     plan = surveyed(docs, "text", words, percent)
     run, schema = _described(plan, docs.schema["doc_id"].dataType)
     rows = written(docs.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "rows")
@@ -456,14 +451,40 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     classes = written(some.groupBy("h1", "h2", "n").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = some.withColumnRenamed("uid", "node").join(classes.select("node"), "node", "left_semi")
     links = _small_links(nodes.filter(F.size("kept") > 0), percent).unionAll(_large_links(docs, nodes, plan))
-    found = written(classes.select("node", "least").join(components(links), "node"), "found")
-    least = found.groupBy("root").agg(F.min("least").alias("component"))
-    of_node = found.select("node", "root").join(least, "root").select("node", "component")
-    of_class = classes.join(of_node, "node", "left").select("h1", "h2", F.col("n"), F.coalesce("component", "least").alias("component"))
-    out = rows.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"], "left")
+    return plan, rows.select("doc_id", "n", "h1", "h2"), written(classes.join(components(links), "node", "left"), "found")
+
+
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row.
+
+    Rows whose sets have at least ``percent`` hundredths of their union in
+    common are linked; component_id is the least id reachable by links.
+    """
+    _, rows, sets = _joined(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, percent)
+    least = sets.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component"))
+    of_set = sets.join(least, "root", "left").select("h1", "h2", "n", F.coalesce("component", "least").alias("component"))
+    out = rows.join(of_set, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents without all but one of each group, with their columns.
+
+    The document with the least id stays; documents without words all stay.
+    """
+    names = docs.columns
+    plan, _, sets = _joined(docs.select("doc_id", "text"), words, percent)
+    first = sets.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node", "n", "h1", "h2")).alias("x"))
+    name = F.coalesce(F.col("__id").cast("string"), F.lit("null"))
+    first = first.select("x.n", "x.h1", "x.h2", F.col("x.least").alias("__id")).withColumn("__id", name).withColumn("__first", F.lit(True))
+    held = docs.select("doc_id", "text", F.struct(*names).alias("__row"))
+    rows = _summed(held, plan).select("__row", "n", "h1", "h2", F.col("doc_id").alias("__id")).withColumn("__id", name)
+    met = rows.join(first, ["n", "h1", "h2", "__id"], "left")
+    again = F.row_number().over(Window.partitionBy("n", "h1", "h2", "__id").orderBy(F.lit(1)))
+    kept = met.withColumn("__again", again).filter((F.col("n") == 0) | F.col("__first") & (F.col("__again") == 1))
+    return kept.select(*(F.col("__row")[c].alias(c) for c in names))
+
+
 def components_of_documents(spark: SparkSession, directory: str) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     return grouped(table(spark, directory, "documents"))

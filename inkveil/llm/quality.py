@@ -120,7 +120,7 @@ def fit_quality(
     picked = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), "__key")
     values = map_texts(picked, ["__key", "__y"], "__text", [T.StructField("x", T.ArrayType(T.DoubleType()))], _worker)
     rows = values.groupBy("__key", "__y").agg(F.min("x").alias("x")).orderBy("__key").toPandas()
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1)
+    x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(NAMES))
     return fit(x, rows["__y"].to_numpy(dtype=float), settings)
 
 

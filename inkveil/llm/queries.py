@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced, jaccard, kmtree, langid, mixing, pii, secret_scan
+from inkveil.llm import bitsliced, jaccard, kmtree, langid, licenses, mixing, pii, secret_scan
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
 QUERIES = {
     "op1_quality": quality_of_documents,
     "op2_topk": bitsliced.topk_of_embeddings,
+    "op3_licenses": licenses.licenses_of_documents,
     "op4_mixing": mixing.mix_of_documents,
     "op5_ann": kmtree.neighbours_of_embeddings,
     "op6_langid": langid.languages_of_documents,
@@ -20,5 +21,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_topk": bitsliced.ORACLE,
+    "op3_licenses": licenses.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
 }

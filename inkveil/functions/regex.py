@@ -71,7 +71,7 @@ def any_word(words: Iterable[str]) -> str:
 
 
 def rule_pattern(rule: PatternRule) -> str:
-    return to_java(rule.pattern, rule.ignore_case, rule.starts)
+    return to_java(rule.linear or rule.pattern, rule.ignore_case, rule.starts)
 
 
 def quote(text: str) -> str:

@@ -10,7 +10,8 @@ _LINE_BREAK = r"(?:\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029])"
 
 
 def strip(text: Sql) -> Sql:
-    return replace_all(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    # A run of blanks inside is looked at once, from its first blank.
+    return replace_all(text, rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z", "")
 
 
 def has_content(text: Sql, length: int = 1) -> Sql:

@@ -26,6 +26,7 @@ from inkveil.functions.regex import (
     quote_replacement,
     rule_pattern,
     starting_with,
+    to_java,
 )
 from inkveil.functions.sql import Sql, any_of, fenced, let, name, replace_all, string
 from inkveil.functions.text import has_content
@@ -58,6 +59,8 @@ class Step:
     ``may`` tells from the facts of a text whether a match is possible.
     ``spare`` tells which matches are left alone, and ``spare_if`` which texts
     can hold such a match.  Neighbouring steps of one ``key`` share their test.
+    Every match ends with one of ``ends``; what follows the last of those is not
+    searched, so that no start runs to the end of the text in vain.
     """
 
     phase: int
@@ -70,8 +73,19 @@ class Step:
     may: Test = field(default=lambda f: "true", compare=False)
     spare: Test | None = field(default=None, compare=False)
     spare_if: Test | None = field(default=None, compare=False)
+    ends: str = ""
 
     def replaced(self, text: Sql) -> Sql:
+        if not self.ends:
+            return self._replaced(text)
+        rest = "substring(body, char_length(head) + 1)"
+        parts = let("head", self._head("body"), f"concat({self._replaced('head')}, {rest})")
+        return let("body", text, parts)
+
+    def _head(self, text: Sql) -> Sql:
+        return f"regexp_extract({text}, {string(rf'(?s)\A.*(?:{self.ends})')}, 0)"
+
+    def _replaced(self, text: Sql) -> Sql:
         tag = quote_replacement(self.tag)
         plain = replace_all(text, self.pattern, "$1" + tag if self.group else tag)
         if self.spare is None:
@@ -86,10 +100,11 @@ class Step:
         return f"array_join(zip_with({gaps}, {self._hits(text)}, (gap, hit) -> {closed}), '')"
 
     def _hits(self, text: Sql) -> Sql:
+        """All matches in a text, or in its head."""
         return f"regexp_extract_all({text}, {string(self.pattern)}, {self.group})"
 
     def entries(self, text: Sql) -> Sql:
-        hits = self._hits(text)
+        hits = self._hits(self._head(text) if self.ends else text)
         if self.spare is not None:
             hits = f"filter({hits}, hit -> NOT {self.spare('hit')})"
         entry = log_entry(self.phase, str(self.ord), string(self.tag), "hit", string(self.reason))
@@ -133,6 +148,7 @@ def _context_step(rule: ContextRule) -> Step:
         key="context" if may else f"context {rule.ord}",
         group=2,
         may=may or (lambda f: "true"),
+        ends=f"[,{DIGIT}]" if rule.target != REST_OF_LINE else "",
     )
 
 
@@ -163,6 +179,7 @@ def _pattern_step(rule: PatternRule, rules: RuleSet) -> Step:
         may=lambda f: may_match(f, rule.needs),
         spare=(lambda hit: any_of(t(hit) for t in spares)) if spares else None,
         spare_if=(lambda text: any_of(t(text) for t in doubts)) if spares else None,
+        ends=to_java(rule.ends),
     )
 
 

@@ -24,7 +24,11 @@ class PatternRule:
       before the rule can match at all; they never change a result;
     * ``crosses_tags``: a match may run over a tag already put in, and then has
       to be left alone;
-    * ``recheck``: a match ending in a hyphen is judged again on its own.
+    * ``recheck``: a match ending in a hyphen is judged again on its own;
+    * ``linear``: the same rule in a form whose time and stack do not grow with
+      the square or the depth of a match, where the plain form's do;
+    * ``ends``: every match ends where this one does, so what follows its last
+      match is not searched.
     """
 
     ord: int
@@ -35,6 +39,8 @@ class PatternRule:
     needs: tuple[str, ...] = ()
     crosses_tags: bool = True
     recheck: bool = False
+    linear: str = ""
+    ends: str = ""
 
 
 # Tag, pattern and case flag of each rule, in rule order.
@@ -59,7 +65,7 @@ _FIXED_RULES: list[tuple[str, str, bool]] = [
     ("<ipv6>", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", False),
     ("<mac_address>", r"\b(?:[0-9a-fA-F]{2}[:-]){5}[0-9a-fA-F]{2}\b", True),
     ("<hostname>", r"\b([a-z0-9]+-){1,4}[a-z0-9-]+\b", True),
-    ("<url>", r"https?://[^\s<>\"{}|\\^`\[\]]+(?:\?[^\s<>\"{}|\\^`\[\]]+)?", False),
+    ("<url>", r'https?://[^\s<>"{}|\\^`\[\]]+(?:\?[^\s<>"{}|\\^`\[\]]+)?', False),
     ("<hostname>", r"\b[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*\.[a-zA-Z]{2,}\b", False),
     ("<upi_id>", r"\b[a-zA-Z0-9._-]+@[a-zA-Z]{3,}\b", False),
     ("<amount>", r"(?:₹|Rs\.?|INR)[\s]?\d+(?:,\d{3})*(?:\.\d{2})?", True),
@@ -108,6 +114,22 @@ _CROSSING = {10, 12}
 # Only this one can match a run whose last character is no word character.
 _RECHECKED = {20}
 
+# Names of hosts: labels with dots, the last of which a top-level name (letters
+# up to a word edge) can follow.  Java runs a loop over groups by recursion
+# unless the loop is possessive; these take label after label without ever
+# giving one back: those without a top-level name behind them, then one with.
+_LABEL = r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
+_TOP = r"[a-zA-Z]{2,}\b"
+_LABELS = rf"(?:(?:{_LABEL}\.(?!{_TOP}))*+{_LABEL}\.(?={_TOP}))++{_TOP}"
+_LINEAR = {
+    13: rf"\b[a-zA-Z0-9][a-zA-Z0-9._%+-]{{0,63}}@{_LABELS}",
+    # A start behind a short label and its dot would match from that label on.
+    22: rf"\b(?<!(?<![\w-])[a-zA-Z0-9]{{1,63}}\.){_LABELS}",
+    # Likewise behind a short word, unless that was taken by the match before.
+    23: r"\b(?:\G|(?<!(?<!\w)[a-zA-Z0-9_]{1,64}[.-]?))[a-zA-Z0-9._-]++@[a-zA-Z]{3,}\b",
+}
+_ENDS = {12: r"-----END\s+(?:RSA\s+)?PRIVATE\s+KEY-----"}
+
 PATTERN_RULES: tuple[PatternRule, ...] = tuple(
     PatternRule(
         ord=n,
@@ -118,6 +140,8 @@ PATTERN_RULES: tuple[PatternRule, ...] = tuple(
         needs=_HINTS[n][1],
         crosses_tags=n in _CROSSING,
         recheck=n in _RECHECKED,
+        linear=_LINEAR.get(n, ""),
+        ends=_ENDS.get(n, ""),
     )
     for n, (tag, pattern, ignore_case) in enumerate(_FIXED_RULES, start=1)
 )

@@ -193,3 +193,47 @@ def test_filter_on_result_does_not_repeat_the_cascade(spark):
     assert plan.count("regexp_replace") == once.count("regexp_replace")
     scan = done._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in scan
+
+
+# ------------------------------------------------- any text, in time and stack
+
+
+def test_names_of_hosts_fuzz(spark):
+    draw = random.Random(12)
+    parts = ["a", "b1", "com", "org", ".", "..", "-", "--", "_", "@", "1", "x" * 62, "y" * 64, "com-x", "é", " ", ".com", "a.b", "@a.co", "a-b", "%", "+", "1.2"]
+    texts = ["".join(draw.choices(parts, k=draw.randrange(1, 18))) for _ in range(4000)]
+    got = run(spark, texts, phases=("pattern",))
+    for text, out in zip(texts, got, strict=True):
+        assert out == twin.pattern_phase(text), text
+
+
+@pytest.mark.parametrize("labels", [1000, 100_000])
+def test_long_names_of_hosts(spark, labels):
+    chain = "ab." * labels + "com"
+    texts = [chain, "x@" + chain, "see " + chain + " and " + chain, "1." * labels + "x", "ab." * labels + " @", "x@" + "1-a." * labels + "9"]
+    got = run(spark, texts, phases=("pattern",))
+    assert got[:3] == ["<hostname>", "<email>", "see <hostname> and <hostname>"]
+    if labels == 1000:
+        assert got == [twin.pattern_phase(t) for t in texts]
+
+
+def test_blanks_and_triggers_without_end(spark):
+    n = 10_000
+    begun = "-----BEGIN PRIVATE KEY-----\n"
+    texts = [
+        "a" + " " * 1_000_000 + "b", " " * 1_000_000, "Age: x " * n, "Age: x " * n + "7", "Salary: none, " + "Order ID x " * n,
+        begun * n, begun + "k\n-----END PRIVATE KEY-----\n" + begun * n, "Source: x " * n, "PIN: 1.5 " + "OTP: q " * n,
+    ]
+    got = run(spark, texts)
+    assert got[0] == texts[0] and got[1] == texts[1]
+    assert got[2] == texts[2] and got[3].endswith("<age>") and got[3].count("<age>") == 1
+    assert got[4].startswith("Salary: none<salary> ") and got[5] == texts[5]
+    assert got[6] == "<private_key>\n" + begun * n and got[7] == "Source: <source> "
+    assert got[8] == "PIN: <pin>.5 " + "OTP: q " * n
+
+
+def test_log_of_rules_that_look_at_the_head_only(spark):
+    texts = ["Age: 12 and Age: none", "Age: x", "-----BEGIN PRIVATE KEY-----\nk\n-----END PRIVATE KEY----- then -----BEGIN PRIVATE KEY-----"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    rows = redact(df, "t", log=True).orderBy("i").collect()
+    assert [[e.original for e in r.t_log] for r in rows] == [["12"], [], ["-----BEGIN PRIVATE KEY-----\nk\n-----END PRIVATE KEY-----"]]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from inkveil.functions.regex import ANY_DIGIT, SPACE
-from inkveil.functions.sql import Sql, matches, replace_all, string
+from inkveil.functions.sql import Sql, let, matches, replace_all, string
 
 # Line breaks as Python's splitlines sees them.
 _LINE_BREAK = r"(?:\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029])"
@@ -34,10 +34,17 @@ def all_digits(text: Sql, up_to: int) -> Sql:
     return matches(text, rf"\A[{ANY_DIGIT}]{{1,{up_to}}}\z")
 
 
-def around(text: Sql, start: Sql, length: Sql, window: int = 50) -> Sql:
-    """The text from ``window`` characters before to ``window`` after a match.
+def around_matches(text: Sql, pattern: str, least: int, window: int = 50) -> Sql:
+    """Array of struct(match, context): each match with ``window`` characters on either side.
 
-    ``start`` counts from 1.
+    Matches are at least ``least`` characters long, which bounds how many of the
+    neighbouring pieces a context can reach.
     """
-    first = f"greatest({start} - {window}, 1)"
-    return f"substring({text}, {first}, {start} + {length} + {window} - {first})"
+    hits, gaps = f"regexp_extract_all({text}, {string(pattern)}, 0)", f"split({text}, {string(pattern)}, -1)"
+    reach = 2 * (window // least + 1)
+    first = f"greatest(2 * i + 1 - {reach}, 1)"
+    before = f"right(array_join(slice(pieces, {first}, 2 * i + 2 - {first}), ''), {window})"
+    after = f"left(array_join(slice(pieces, 2 * i + 3, {reach + 1}), ''), {window})"
+    pieces = f"flatten(zip_with({gaps}, hits, (gap, hit) -> if(hit IS NULL, array(gap), array(gap, hit))))"
+    context = f"named_struct('match', hit, 'context', concat({before}, hit, {after}))"
+    return let("hits", hits, let("pieces", pieces, f"transform(hits, (hit, i) -> {context})"))

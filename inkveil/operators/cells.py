@@ -6,10 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DecimalType, IntegralType
 
 from inkveil.functions.sql import name
-from inkveil.operators.redact import ALL_PHASES, redact
+from inkveil.operators.redact import ALL_PHASES, PATTERN_PHASES, redact
 from inkveil.rules import DEFAULT_RULES, RuleSet
+from inkveil.rules.reports import SHEET_HEADING
+
+# Spelled with digits, points and signs alone.
+_LETTERLESS = (IntegralType, DecimalType, DateType)
 
 
 def redact_cells(
@@ -22,14 +27,20 @@ def redact_cells(
     """Redact every non-null cell as text, numbers and dates too; headers stay.
 
     Columns in ``keep`` (row keys, say) are left as they are.  All columns go
-    through one scan.
+    through one scan.  A number or a date holds no letter, so only the rules
+    that can match without one are tried on it.
     """
     targets = [c for c in df.columns if c not in keep]
+    plain = [f.name for f in df.schema if f.name in targets and isinstance(f.dataType, _LETTERLESS)]
     as_text = df.select(
         *[F.col(name(c)).cast("string").alias(c) if c in targets else F.col(name(c))
           for c in df.columns]
     )
-    return redact(as_text, targets, rules, phases, log)
+    worded = [c for c in targets if c not in plain]
+    if plain:
+        shapes = rules.without_letters()
+        as_text = redact(as_text, plain, shapes, [p for p in phases if p in PATTERN_PHASES], log)
+    return redact(as_text, worded, rules, phases, log) if worded else as_text
 
 
 def rows_to_lines(df: DataFrame, keys: Sequence[str], separator: str = "\t") -> DataFrame:
@@ -45,9 +56,9 @@ def workbook_lines(
 ) -> DataFrame:
     """The rows of all sheets of a file as one run of numbered lines.
 
-    Each sheet starts with its heading and ends with an empty line.  Sheets, and
-    rows within a sheet, are numbered from 0 without gaps.  Only the row counts
-    of the sheets are put in order; the rows themselves are joined to them.
+    Each sheet starts with its heading and ends with an empty line.  Sheets and
+    rows come in the order of their numbers, whatever these are.  Only the row
+    counts of the sheets are put in order; the rows themselves are joined to them.
     """
     counts = rows.groupBy(file, sheet_number).agg(F.count("*").alias("__rows"))
     earlier = Window.partitionBy(file).orderBy(sheet_number).rowsBetween(
@@ -57,39 +68,30 @@ def workbook_lines(
     offsets = counts.withColumn(
         "__offset", F.coalesce(F.sum(F.col("__rows") + 2).over(earlier), F.lit(0))
     )
-    placed = rows.join(offsets, [file, sheet_number])
-    at = F.col("__offset") + F.col(row_number) + 1
+    in_sheet = Window.partitionBy(file, sheet_number).orderBy(row_number)
+    placed = rows.join(offsets, [file, sheet_number]).withColumn(
+        "__place", F.row_number().over(in_sheet)
+    )
+    at = F.col("__offset") + F.col("__place")
     own = F.struct(at.alias("number"), F.col(line).alias("line"))
     heading = F.struct(
         F.col("__offset").alias("number"),
-        F.concat(F.lit("--- Sheet: "), F.col(sheet).cast("string"), F.lit(" ---")).alias("line"),
+        F.format_string(SHEET_HEADING, F.col(sheet).cast("string")).alias("line"),
     )
     closing = F.struct((at + 1).alias("number"), F.lit("").alias("line"))
     lines = F.array_compact(
         F.array(
-            F.when(F.col(row_number) == 0, heading),
+            F.when(F.col("__place") == 1, heading),
             own,
-            F.when(F.col(row_number) + 1 == F.col("__rows"), closing),
+            F.when(F.col("__place") == F.col("__rows"), closing),
         )
     )
     return placed.select(file, F.inline(lines))
 
 
-def leading_text(
-    lines: DataFrame, file: str, number: str, line: str, size: int = 15000
-) -> DataFrame:
-    """The first ``size`` characters of each file's lines, every line ended by a break.
-
-    Lines are numbered from 0 without gaps within a file.  Each has at least its
-    break, so only those numbered below ``size`` can matter; the rest of a file,
-    however long, is dropped before anything is shuffled.
-    """
-    near = lines.where(F.col(number) < size).select(
-        file, number, F.substring(line, 1, size).alias("__line")
-    )
-    before = Window.partitionBy(file).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("__line") + 1).over(before), F.lit(0))
-    needed = near.withColumn("__start", start).where(F.col("__start") < size)
-    parts = F.array_sort(F.collect_list(F.struct(number, F.concat("__line", F.lit("\n")))))
-    joined = F.array_join(F.transform(parts, lambda part: part["col2"]), "")
-    return needed.groupBy(file).agg(F.substring(joined, 1, size).alias("text"))
+def lines_to_text(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:
+    """Each file's lines in order as one text, every line ended by a break."""
+    part = F.struct(F.col(number).alias("number"), F.col(line).alias("line"))
+    parts = F.array_sort(F.collect_list(part))
+    text = F.array_join(F.transform(parts, lambda p: F.concat(p["line"], F.lit("\n"))), "")
+    return lines.groupBy(file).agg(text.alias("text"))

@@ -178,7 +178,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
             "document_summary": f"concat({string(texts.UNSTRUCTURED_SUMMARY)}, file_type, ': ',"
             f" if(answer = '', {string(texts.UNSTRUCTURED_EMPTY)}, {start}))",
             "key_security_findings": f"array({string(texts.UNSTRUCTURED_FINDING)},"
-            " concat('Raw response length: ', char_length(answer), ' characters'))",
+            f" concat({string(texts.RAW_LENGTH[0])}, char_length(answer), {string(texts.RAW_LENGTH[1])}))",
             "raw_analysis": f"nullif(left(answer, {texts.RAW_ANALYSIS_CHARACTERS}), '')",
         },
         "broken": {
@@ -221,9 +221,10 @@ def final_error(message: Sql, file_name: Sql) -> Sql:
     """Error text of the report once all attempts have failed."""
     return (
         f"CASE {error_class(message)}"
-        f" WHEN 'rate_limit' THEN concat('Analysis for ', {file_name}, ' failed after all retries')"
+        f" WHEN 'rate_limit' THEN concat({string(texts.ALL_RETRIES_FAILED[0])}, {file_name},"
+        f" {string(texts.ALL_RETRIES_FAILED[1])})"
         f" WHEN 'fatal' THEN {string(texts.KEY_ERROR)}"
-        f" WHEN 'retry' THEN concat('Analysis failed: ', {message}) END"
+        f" WHEN 'retry' THEN concat({string(texts.ANALYSIS_FAILED)}, {message}) END"
     )
 
 
@@ -237,19 +238,21 @@ def report_file(file_name: Sql) -> Sql:
 def latest_reports(reports: DataFrame) -> DataFrame:
     """One report per report file: the latest, then the last file name.
 
-    Reports with an error are not kept.  A maximum is taken in part before the
-    shuffle, so a name shared by many reports stays cheap.
+    Reports with an error are not kept.  Where time and name are equal the other
+    fields decide, in their order, so the result does not depend on partitions.
+    A maximum is taken in part before the shuffle, so a name shared by many
+    reports stays cheap.
     """
     named = reports.where("error IS NULL").withColumn(
         "report_file", F.expr(report_file("source_file_name"))
     )
-    ordered = named.select(
-        "report_file",
-        F.struct(F.coalesce("analysis_timestamp", F.lit("")), "source_file_name").alias("age"),
-        F.struct(*reports.columns).alias("report"),
+    first = ["analysis_timestamp", "source_file_name"]
+    rest = [c for c in reports.columns if c not in first and c != "error"]
+    age = F.coalesce("analysis_timestamp", F.lit("")).alias("age")
+    newest = named.groupBy("report_file").agg(
+        F.max(F.struct(age, "source_file_name", *rest, "analysis_timestamp", "error")).alias("report")
     )
-    newest = ordered.groupBy("report_file").agg(F.max_by("report", "age").alias("report"))
-    return newest.selectExpr("report_file", "report.*")
+    return newest.select("report_file", *(F.col("report")[c].alias(c) for c in reports.columns))
 
 
 def consolidated(reports: DataFrame, order: str = "report_file") -> DataFrame:
@@ -267,7 +270,5 @@ def consolidated(reports: DataFrame, order: str = "report_file") -> DataFrame:
 def headline(reports: DataFrame) -> DataFrame:
     """The sentence above the table; broken report files count too."""
     return reports.agg(
-        F.format_string(
-            "This report summarizes the automated analysis of %d processed files.", F.count("*")
-        ).alias("headline")
+        F.format_string(texts.HEADLINE, F.count("*")).alias("headline")
     )

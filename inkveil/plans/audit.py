@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.masking import mask
 from inkveil.functions.regex import rule_pattern
-from inkveil.functions.sql import string
-from inkveil.functions.text import around
+from inkveil.functions.text import around_matches
 from inkveil.operators import audit
 from inkveil.operators.redact import redact
 from inkveil.operators.tokens import distinct_words
@@ -47,8 +46,16 @@ def pii_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pii_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    counts = audit.tag_counts(_logged(spark, sf), "text_log", ["doc_id"])
-    joined = counts.join(table(spark, sf, "labels"), "doc_id")
+    """Only labelled documents are redacted; their tags are counted within the row."""
+    labels = table(spark, sf, "labels")
+    docs = documents(spark, sf, "text").join(labels, "doc_id")
+    logged = redact(docs, "text", phases=("pattern",), log=True)
+    tags = F.transform("text_log", lambda e: e["tag"])
+    each = F.transform(
+        F.array_distinct(tags),
+        lambda tag: F.struct(tag.alias("tag"), F.size(F.filter(tags, lambda t: t == tag)).cast("long").alias("n")),
+    )
+    joined = logged.select("quality", "toxic", F.inline(each))
     return joined.groupBy("tag", "quality", "toxic").agg(
         F.sum("n").alias("n"), F.count("*").alias("documents")
     )
@@ -60,12 +67,10 @@ def masked_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def context_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Every e-mail address with 50 characters on either side."""
     found = documents(spark, sf, "text").where("contains(text, '@')")
-    pattern = string(rule_pattern(_EMAIL))
-    placed = found.selectExpr("doc_id", "text", f"regexp_extract(text, {pattern}, 0) AS email",
-                              f"regexp_instr(text, {pattern}) AS start").where("start > 0")
-    return placed.selectExpr("doc_id", "email",
-                             f"{around('text', 'start', 'char_length(email)')} AS context")
+    contexts = around_matches("text", rule_pattern(_EMAIL), least=6)
+    return found.selectExpr("doc_id", f"inline({contexts})").withColumnRenamed("match", "email")
 
 
 QUERIES = {
@@ -79,8 +84,8 @@ QUERIES = {
 }
 
 _LOG = oracle.log("documents", "doc_id", "text")
-_BEFORE = f"regexp_extract(text, {oracle.text('(?s)^(.*?)(' + _EMAIL.pattern + ')')}, 1)"
-_FOUND = f"regexp_extract(text, {oracle.text('(?s)^(.*?)(' + _EMAIL.pattern + ')')}, 2)"
+_LENGTHS = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+_SPOT = f"({_LENGTHS.format('gaps[1:i]')} + {_LENGTHS.format('hits[1:i - 1]')} + 1)"
 
 ORACLES = {
     "audit_log": f"{_LOG} SELECT 'doc_' || doc_id AS file_name,"
@@ -97,8 +102,11 @@ ORACLES = {
     " count(*) AS documents FROM (SELECT doc_id, tag, count(*) AS n FROM log GROUP BY doc_id, tag)"
     " JOIN labels USING (doc_id) GROUP BY tag, quality, toxic",
     "masked_values": f"{oracle.tokens()} SELECT token, {oracle.mask('token')} AS masked FROM tokens",
-    "context_window": "SELECT doc_id, email, substr(text, greatest(spot - 50, 1),"
-    " spot + length(email) + 50 - greatest(spot - 50, 1)) AS context FROM (SELECT doc_id, text,"
-    f" {_FOUND} AS email, length({_BEFORE}) + 1 AS spot FROM documents"
-    " WHERE contains(text, '@')) WHERE email <> ''",
+    "context_window": "SELECT doc_id, email, substr(text, CAST(greatest(spot - 50, 1) AS BIGINT),"
+    " CAST(spot + length(email) + 50 - greatest(spot - 50, 1) AS BIGINT)) AS context"
+    f" FROM (SELECT doc_id, text, hits[i] AS email, {_SPOT} AS spot FROM"
+    " (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, text,"
+    f" regexp_extract_all(text, {oracle.text(_EMAIL.pattern)}) AS hits,"
+    f" regexp_split_to_array(text, {oracle.text(_EMAIL.pattern)}) AS gaps"
+    " FROM documents WHERE contains(text, '@'))))",
 }

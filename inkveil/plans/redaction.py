@@ -12,7 +12,6 @@ from inkveil.operators.redact import PATTERN_PHASES, merge_tags, redact
 from inkveil.plans import oracle
 from inkveil.plans.tables import documents, table
 from inkveil.rules import RuleSet
-from inkveil.sources.spread import spread
 
 # Keywords that do occur in the documents.
 COMMON_WORDS = RuleSet(
@@ -53,33 +52,33 @@ def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redact_page_urls(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread(table(spark, sf, "pages").select("page_id", "url"))
+    pages = table(spark, sf, "pages").select("page_id", "url")
     return redact(pages, "url", phases=PATTERN_PHASES).withColumnRenamed("url", "redacted")
 
 
 def redact_pages_html(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
+    pages = table(spark, sf, "pages").select("page_id", "html")
     return redact(pages, "html", phases=("pattern",)).withColumnRenamed("html", "redacted")
 
 
 def redact_pages_html_merged(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
+    pages = table(spark, sf, "pages").select("page_id", "html")
     return redact(pages, "html", phases=PATTERN_PHASES).withColumnRenamed("html", "redacted")
 
 
 def redact_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return redact(turns, "text", phases=PATTERN_PHASES).withColumnRenamed("text", "redacted")
 
 
 def redact_full_cascade(spark: SparkSession, sf: str) -> DataFrame:
     records = table(spark, sf, "customer").selectExpr("c_custkey", f"{CUSTOMER_RECORD} AS text")
-    return redact(spread(records), "text").withColumnRenamed("text", "redacted")
+    return redact(records, "text").withColumnRenamed("text", "redacted")
 
 
 def contextual_rules(spark: SparkSession, sf: str) -> DataFrame:
     records = table(spark, sf, "orders").selectExpr("o_orderkey", f"{ORDER_RECORD} AS text")
-    done = redact(spread(records), "text", phases=("context",))
+    done = redact(records, "text", phases=("context",))
     return done.withColumnRenamed("text", "redacted")
 
 
@@ -178,9 +177,11 @@ def redact_with_tagger(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cells(name: str, key: str):
+    """All cells through all phases; the key is copied beside them first."""
+
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = spread(table(spark, sf, name))
-        return redact_cells(rows, keep=[key], phases=PATTERN_PHASES)
+        rows = table(spark, sf, name).withColumn("row_key", F.col(key))
+        return redact_cells(rows, keep=["row_key"])
 
     return query
 
@@ -194,10 +195,10 @@ _CELL_COLUMNS = {
 
 
 def _cells_sql(name: str) -> str:
-    key, *rest = _CELL_COLUMNS[name]
-    cast = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in rest)
-    done = ", ".join(f"{oracle.cascade(c)} AS {c}" for c in rest)
-    return f"SELECT {key}, {done} FROM (SELECT {key}, {cast} FROM {name})"
+    columns = _CELL_COLUMNS[name]
+    cast = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns)
+    done = ", ".join(f"{oracle.cascade(c, True, True)} AS {c}" for c in columns)
+    return f"SELECT row_key, {done} FROM (SELECT {columns[0]} AS row_key, {cast} FROM {name})"
 
 
 QUERIES = {

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import reports as R
-from inkveil.operators.cells import leading_text, rows_to_lines, workbook_lines
+from inkveil.operators.cells import lines_to_text, rows_to_lines, workbook_lines
 from inkveil.plans import oracle
 from inkveil.plans.tables import documents, table
 from inkveil.rules import reports as texts
@@ -57,21 +57,22 @@ def file_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def units_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Each conversation as a file of lines, cut to what a prompt may hold."""
+    """Each conversation as a file of lines."""
     turns = table(spark, sf, "conversations").selectExpr(
         "conv_id", "turn", "concat(role, ': ', text) AS line"
     )
-    return leading_text(turns, "conv_id", "turn", "line")
+    return lines_to_text(turns, "conv_id", "turn", "line")
 
 
 def sheets_to_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Four conversations each as the sheets of one workbook, cut to what a prompt may hold."""
+    """Forty conversations each as the sheets of one workbook, rows numbered with gaps."""
     rows = table(spark, sf, "conversations").selectExpr(
-        "conv_id DIV 4 AS file", "conv_id % 4 AS sheet_number", "concat('conv ', conv_id) AS sheet",
-        "turn", "concat(role, chr(9), text) AS line",
+        "conv_id DIV 40 AS file", "conv_id % 40 AS sheet_number",
+        "concat('conv ', conv_id) AS sheet", "turn * 3 + 1 AS turn",
+        "concat(role, chr(9), text) AS line",
     )
     lines = workbook_lines(rows, "file", "sheet_number", "sheet", "turn", "line")
-    return leading_text(lines, "file", "number", "line")
+    return lines_to_text(lines, "file", "number", "line")
 
 
 def table_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,8 +277,10 @@ _PARSED_SQL = (
     " AS raw_response,"
     f" CASE WHEN doc_id % 7 = 5 THEN 'Analysis failed: {texts.EMPTY_RESPONSE}'"
     " WHEN doc_id % 7 < 5 THEN NULL"
-    " WHEN doc_id % 3 = 0 THEN 'Analysis for ' || file_name || ' failed after all retries'"
-    f" WHEN doc_id % 3 = 1 THEN '{texts.KEY_ERROR}'"
+    " WHEN doc_id % 3 = 1 THEN"
+    f" '{texts.KEY_ERROR}'"
+    " WHEN doc_id % 3 = 0 OR contains('timeout after ' || n_chars, '429')"
+    " THEN 'Analysis for ' || file_name || ' failed after all retries'"
     " ELSE 'Analysis failed: timeout after ' || n_chars END AS error FROM files)"
 )
 _STEM_SQL = "regexp_replace({c}, '\\.[^.]+$', '')"
@@ -285,7 +288,11 @@ _LATEST_SQL = (
     _PARSED_SQL + ", latest AS (SELECT *,"
     f" {_STEM_SQL.format(c='source_file_name')} || '_analysis.json' AS report_file FROM parsed"
     " WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY report_file"
-    " ORDER BY coalesce(analysis_timestamp, '') DESC, source_file_name DESC) = 1)"
+    " ORDER BY coalesce(analysis_timestamp, '') DESC, source_file_name DESC,"
+    " document_summary DESC NULLS LAST, findings DESC NULLS LAST, environment_type DESC NULLS LAST,"
+    " people_count DESC NULLS LAST, redacted_content_noted DESC NULLS LAST,"
+    " frameworks DESC NULLS LAST, source_file_type DESC, model_used DESC NULLS LAST,"
+    " raw_analysis_length DESC NULLS LAST, raw_response DESC NULLS LAST) = 1)"
 )
 _MESSAGE_SQL = (
     "CASE user_id % 6 WHEN 0 THEN 'status ' || (400 + event_id % 40)"
@@ -296,10 +303,10 @@ _MESSAGE_SQL = (
 ORACLES = {
     "file_routing": f"{_FILES_SQL} SELECT suffix, file_type, cleanser, is_image, count(*) AS n"
     " FROM files GROUP BY ALL",
-    "units_to_text": "SELECT conv_id, left(string_agg(role || ': ' || text || chr(10), ''"
-    f" ORDER BY turn), {texts.PROMPT_CHARACTERS}) AS text FROM conversations GROUP BY conv_id",
-    "sheets_to_text": "SELECT file, left(string_agg(sheet, '' ORDER BY conv_id),"
-    f" {texts.PROMPT_CHARACTERS}) AS text FROM (SELECT conv_id // 4 AS file, conv_id,"
+    "units_to_text": "SELECT conv_id, string_agg(role || ': ' || text || chr(10), ''"
+    " ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "sheets_to_text": "SELECT file, string_agg(sheet, '' ORDER BY conv_id) AS text"
+    " FROM (SELECT conv_id // 40 AS file, conv_id,"
     " '--- Sheet: conv ' || conv_id || ' ---' || chr(10) || string_agg(role || chr(9) || text ||"
     " chr(10), '' ORDER BY turn) || chr(10) AS sheet FROM conversations GROUP BY conv_id)"
     " GROUP BY file",

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkveil.sources.spread import spread
+# A session may ask for so many pieces of every table that is read.  Unset, the
+# pieces are those of the files; the size of a table plays no part.
+INPUT_PIECES = "spark.inkveil.inputPieces"
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    df = spark.read.parquet(f"{directory}/{name}.parquet")
+    pieces = spark.conf.get(INPUT_PIECES, None)
+    return df.repartition(int(pieces)) if pieces else df
 
 
 def documents(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
-    """The documents, spread over the cores: their work is in the processor."""
-    return spread(table(spark, directory, "documents").select("doc_id", *columns))
+    return table(spark, directory, "documents").select("doc_id", *columns)

@@ -14,7 +14,6 @@ from inkveil.plans.redaction import spans_of, spans_sql
 from inkveil.plans.tables import documents, table
 from inkveil.rules import DEFAULT_RULES
 from inkveil.rules.words import TELLING_YEARS
-from inkveil.sources.spread import spread
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,13 +53,12 @@ def sensitivity_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def verdict_in_context(spark: SparkSession, sf: str) -> DataFrame:
-    """The last word of each turn, judged in the context of the turn."""
-    turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
-    last = turns.selectExpr(
-        "conv_id", "turn", "text", "element_at(split(text, ' '), -1) AS token",
-        "concat(text, if(conv_id % 2 = 0, ' Login', '')) AS context",
+    """Every word of each turn, judged in the context of the turn."""
+    turns = table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "concat(text, if(conv_id % 2 = 0, ' Login', '')) AS context",
+        "posexplode(split(text, ' ')) AS (i, token)",
     )
-    return T.judged(last, context="context").drop("text", "context")
+    return T.judged(turns, context="context").drop("context")
 
 
 def entity_verdict(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,10 +148,10 @@ ORACLES = {
     "sensitivity_verdict": f"{_TOKENS} "
     + _verdict_rows("tokens", "token", oracle.reason("token")),
     "verdict_in_context": _verdict_rows(
-        "(SELECT conv_id, turn, string_split(text, ' ')[-1] AS token,"
-        " text || CASE WHEN conv_id % 2 = 0 THEN ' Login' ELSE '' END AS context"
-        " FROM conversations)",
-        "conv_id, turn, token",
+        "(SELECT conv_id, turn, text || CASE WHEN conv_id % 2 = 0 THEN ' Login' ELSE '' END AS context,"
+        " unnest(string_split(text, ' ')) AS token,"
+        " CAST(unnest(range(0, len(string_split(text, ' ')))) AS INTEGER) AS i FROM conversations)",
+        "conv_id, turn, i, token",
         _in_context(oracle.reason("token")),
     ),
     "entity_verdict": f"WITH s AS ({spans_sql('documents')}) SELECT doc_id,"

@@ -6,6 +6,7 @@ an early rule (twelve digits) hides a later one (card numbers) on purpose.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -42,6 +43,12 @@ class PatternRule:
     linear: str = ""
     ends: str = ""
 
+    def letterless(self) -> bool:
+        """Whether a text without letters, "@", ":" and "₹" can match (true if in doubt)."""
+        possible = {"digit", "dot", "hyphen", "hyphen_or_colon"}
+        starts = not self.starts or re.search(rf"[{self.starts}]", "0123456789.+-(") is not None
+        return starts and set(self.needs) <= possible
+
 
 # Tag, pattern and case flag of each rule, in rule order.
 _FIXED_RULES: list[tuple[str, str, bool]] = [

@@ -35,6 +35,17 @@ NOT_AVAILABLE = "N/A"
 NO_SUMMARY = "No summary provided."
 NO_FINDINGS = "No findings reported."
 
+# The line above the rows of a sheet.
+SHEET_HEADING = "--- Sheet: %s ---"
+
+# The sentence above the compiled reports.
+HEADLINE = "This report summarizes the automated analysis of %d processed files."
+
+# What a failed analysis says, and an unstructured one of its length.
+ALL_RETRIES_FAILED = ("Analysis for ", " failed after all retries")
+ANALYSIS_FAILED = "Analysis failed: "
+RAW_LENGTH = ("Raw response length: ", " characters")
+
 # How many characters are kept of what.
 PROMPT_CHARACTERS = 15000
 SUMMARY_CHARACTERS = 300

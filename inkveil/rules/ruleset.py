@@ -57,6 +57,11 @@ class RuleSet:
         rest = [r for r in self.patterns if r.tag != "<private_key>"]
         return replace(self, patterns=tuple(first + rest))
 
+    def without_letters(self) -> RuleSet:
+        """The pattern rules that can match a text of digits, points and signs."""
+        shapes = tuple(r for r in self.patterns if r.letterless())
+        return replace(self, patterns=shapes, contexts=(), keywords={})
+
     def tags(self) -> list[str]:
         """Every tag a run can put in, each once, in order of the phases."""
         tags = [r.tag for r in self.contexts]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from inkveil.operators import reports as R
 from inkveil.operators.audit import append_audit, audit_log
-from inkveil.operators.cells import leading_text, redact_cells
+from inkveil.operators.cells import lines_to_text, redact_cells, workbook_lines
 from inkveil.operators.entities import redact_entities, redact_with_entities, telling_labels
 from inkveil.operators.redact import redact
 from inkveil.operators.regions import span_boxes, word_boxes
@@ -20,7 +21,6 @@ from inkveil.sources.files import (
     accepted, list_files, read_table, read_whitelist, route, skipped, stem, write_table,
 )
 from inkveil.sources.reports import read_report_files, read_reports, write_reports
-from inkveil.sources.spread import spread
 from inkveil.streaming.corpus import redact_available
 from tests import twin
 from tests.conftest import DATA
@@ -152,13 +152,40 @@ def test_regions(spark):
     assert rows(span_boxes(spans)) == [(2,)]
 
 
-def test_leading_text(spark):
+def test_whole_texts_of_lines(spark):
     lines = spark.createDataFrame(
-        [("a", n, "x" * n) for n in range(50)] + [("b", 0, "y" * 30), ("c", 0, "")],
+        [("a", n, "x" * n) for n in range(300)] + [("b", 1, "y" * 30_000), ("b", 20_000, "z"), ("c", 5, "")],
         "file string, n long, line string",
     ).repartition(4)
-    got = dict(rows(leading_text(lines, "file", "n", "line", size=20)))
-    assert got == {"a": "".join("x" * n + "\n" for n in range(9))[:20], "b": "y" * 20, "c": "\n"}
+    got = dict(rows(lines_to_text(lines, "file", "n", "line")))
+    assert got == {"a": "".join("x" * n + "\n" for n in range(300)), "b": "y" * 30_000 + "\nz\n", "c": "\n"}
+
+
+def test_sheets_whose_rows_are_numbered_anyhow(spark):
+    cells = [("f", 3, "late", 9, "c"), ("f", 1, "one", 1, "a"), ("f", 1, "one", 20_000, "b"), ("g", 0, "x", 7, "d")]
+    sheets = spark.createDataFrame(cells, "file string, s int, sheet string, r int, line string")
+    got = sorted(rows(workbook_lines(sheets, "file", "s", "sheet", "r", "line")))
+    assert got == [("f", 0, "--- Sheet: one ---"), ("f", 1, "a"), ("f", 2, "b"), ("f", 3, ""), ("f", 4, "--- Sheet: late ---"),
+                   ("f", 5, "c"), ("f", 6, ""), ("g", 0, "--- Sheet: x ---"), ("g", 1, "d"), ("g", 2, "")]
+
+
+def test_numbers_need_no_rules_with_letters(spark):
+    values = [4111111111111111, 12, 123456, -9876543210, 912345678901]
+    cells = spark.createDataFrame([(v, str(v)) for v in values], "n long, t string")
+    assert all(r["n"] == r["t"] for r in redact_cells(cells).collect())
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("0123456789.-+", k=draw.randrange(1, 24))) for _ in range(2000)]
+    numbers = spark.createDataFrame([(t,) for t in texts], "t string")
+    few = redact(numbers, "t", DEFAULT_RULES.without_letters(), phases=("pattern",))
+    assert rows(few) == rows(redact(numbers, "t", phases=("pattern",)))
+
+
+def test_latest_report_does_not_depend_on_partitions(spark):
+    made = [(f"a.{k % 2}", "2025-01-01 00:00:00" if k % 3 else None, f"s{k % 5}", None) for k in range(60)]
+    schema = "source_file_name string, analysis_timestamp string, document_summary string, error string"
+    reports = spark.createDataFrame(made, schema)
+    got = [rows(R.latest_reports(reports.repartition(n))) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and got[0][0][3] == "s4"
 
 
 REPORTS = {
@@ -235,13 +262,6 @@ def test_stream_equals_batch_and_sees_each_text_once(spark, tmp_path):
     ]
 
 
-def test_small_tables_are_spread_and_large_ones_left(spark):
-    small = spark.range(10)
-    assert "REPARTITION_BY_NUM" in spread(small)._jdf.queryExecution().toString()
-    large = spark.range(10**12)
-    assert "REPARTITION" not in spread(large)._jdf.queryExecution().toString()
-
-
 def test_redaction_needs_no_shuffle(spark):
     df = spark.range(10).withColumn("t", F.lit("x 10.0.0.1"))
     plan = redact(df, "t", log=True)._jdf.queryExecution().executedPlan().toString()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.sql import Sql, fenced, string
+from inkveil.functions.sql import Sql, fenced, replace_all, string
 from inkveil.functions.text import strip
 from inkveil.rules import reports as texts
 from inkveil.rules.reports import REPORT_FIELDS, PromptTemplates
@@ -123,16 +123,36 @@ def _typed_fields() -> dict[str, Sql]:
             out[field] = _as_text(_get(field, "variant"))
         else:
             out[field] = _get(field, kind)
+    known = ", ".join(string(field) for field in REPORT_FIELDS)
+    others = f"map_filter({_get_all('map<string,variant>')}, (k, v) -> k NOT IN ({known}))"
+    out["other_fields"] = f"coalesce({out['other_fields']}, nullif(to_json({others}), '{{}}'))"
     return out
 
 
+def _get_all(kind: str) -> Sql:
+    return f"try_variant_get(data, '$', '{kind}')"
+
+
+def _parsed(df: DataFrame, text: Sql) -> DataFrame:
+    """``df`` with the variant column ``data``, null where the text is no JSON.
+
+    Of a repeated key the last one counts, for which Spark has a session option
+    that is switched on here.  NaN and the infinities, which JSON does not have
+    but models write, become text.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    quoted = replace_all(text, r"([:,\[]\s*)(NaN|-?Infinity)(?=\s*[,}\]])", '$1"$2"')
+    return df.withColumn("data", F.expr(f"coalesce(try_parse_json({text}), try_parse_json({quoted}))"))
+
+
 def parse_reports(df: DataFrame, column: str) -> DataFrame:
     """Read report objects from JSON text; ``readable`` is false for broken ones.
 
     The fields drift between reports: a count may be a number, digits or prose,
     a list may be a single value.  ``people_count_num`` has the leading digits.
+    Fields that are not known are kept in ``other_fields``.
     """
-    data = df.withColumn("data", F.expr(f"try_parse_json({column})"))
+    data = _parsed(df, column)
     kept = [c for c in df.columns if c != column]
     fields = {
         "readable": "coalesce(startswith(schema_of_variant(data), 'OBJECT'), false)",
@@ -158,7 +178,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         " AS failure",
         f"{strip('response')} AS answer",
     ).withColumn("braced", F.expr(f"regexp_extract(answer, {string(r'(?s)\{.*\}')}, 0)"))
-    parsed = cut.withColumn("data", F.expr("try_parse_json(nullif(braced, ''))"))
+    parsed = _parsed(cut, "nullif(braced, '')")
     fields = _typed_fields()
     fields["document_summary"] = _present(
         "document_summary", fields["document_summary"], string(texts.MISSING_SUMMARY)

@@ -95,7 +95,7 @@ def build_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
     """Made-up model responses: complete, partial, drifting, prose and broken ones."""
-    start = "left(text, 40)"
+    start = "text"
     whole = (
         f"to_json(named_struct('document_summary', {start}, 'key_security_findings',"
         " array(lang, source), 'people_count', n_chars, 'redacted_content_noted', n_chars > 999,"
@@ -106,9 +106,14 @@ def _responses(spark: SparkSession, sf: str) -> DataFrame:
         f"to_json(named_struct('key_security_findings', source, 'document_summary', {start},"
         " 'extra', array(1, 2)))"
     )
+    # A key twice, of which the last counts, and a number JSON does not have.
+    repeated = (
+        "concat('{\"document_summary\": \"first\", \"people_count\": NaN, ',"
+        f" substring({drifting}, 2))"
+    )
     response = (
         f"CASE doc_id % 7 WHEN 0 THEN concat('Here it is:\\n```json\\n', {whole}, '\\n```')"
-        f" WHEN 1 THEN {partial} WHEN 2 THEN {drifting}"
+        f" WHEN 1 THEN {partial} WHEN 2 THEN if(doc_id % 2 = 1, {repeated}, {drifting})"
         " WHEN 3 THEN concat('  Only prose. ', translate(text, '{}', ''))"
         " WHEN 4 THEN concat('{\"document_summary\": ', lang, '}', doc_id)"
         " WHEN 5 THEN '' ELSE null END"
@@ -129,7 +134,7 @@ _REPORT_COLUMNS = [
     "concat_ws('|', key_security_findings) AS findings", "environment_type", "people_count",
     "redacted_content_noted", "size(compliance_frameworks_referenced) AS frameworks",
     "model_used", "analysis_timestamp", "bigint(char_length(raw_analysis)) AS raw_analysis_length",
-    "raw_response", "error",
+    "raw_response", "error", "other_fields",
 ]
 
 
@@ -160,7 +165,7 @@ def report_load(spark: SparkSession, sf: str) -> DataFrame:
     """Reports read back from JSON text in their shapes, broken ones included."""
     made = _documents(spark, sf).selectExpr(
         "doc_id",
-        "CASE doc_id % 5 WHEN 0 THEN to_json(named_struct('document_summary', left(text, 30),"
+        "CASE doc_id % 5 WHEN 0 THEN to_json(named_struct('document_summary', text,"
         " 'people_count', 7, 'source_file_name', source, 'potential_vulnerabilities',"
         " array(lang)))"
         " WHEN 1 THEN to_json(named_struct('document_summary', source, 'people_count',"
@@ -256,8 +261,8 @@ _PARSED_SQL = (
     " CASE doc_id % 7 WHEN 3 THEN 'unstructured' WHEN 4 THEN 'broken' WHEN 5 THEN 'failed'"
     " WHEN 6 THEN 'failed' ELSE 'structured' END AS branch,"
     " file_name AS source_file_name, file_type AS source_file_type,"
-    " CASE doc_id % 7 WHEN 0 THEN left(whole, 40)"
-    f" WHEN 1 THEN '{texts.MISSING_SUMMARY}' WHEN 2 THEN left(whole, 40)"
+    " CASE doc_id % 7 WHEN 0 THEN whole"
+    f" WHEN 1 THEN '{texts.MISSING_SUMMARY}' WHEN 2 THEN whole"
     f" WHEN 3 THEN '{texts.UNSTRUCTURED_SUMMARY}' || file_type || ': ' || left({_ANSWER}, 300)"
     f" WHEN 4 THEN '{texts.BROKEN_SUMMARY}' END AS document_summary,"
     " CASE doc_id % 7 WHEN 0 THEN lang || '|' || source"
@@ -266,7 +271,8 @@ _PARSED_SQL = (
     f" length({_ANSWER}) || ' characters'"
     f" WHEN 4 THEN '{texts.BROKEN_FINDING + texts.BROKEN_CAUSE}' ELSE '' END AS findings,"
     " CASE doc_id % 7 WHEN 1 THEN lang END AS environment_type,"
-    " CASE doc_id % 7 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN n_chars || ' of' END"
+    " CASE doc_id % 7 WHEN 0 THEN CAST(n_chars AS VARCHAR) WHEN 1 THEN n_chars || ' of'"
+    " WHEN 2 THEN CASE WHEN doc_id % 2 = 1 THEN 'NaN' END END"
     " AS people_count,"
     " CASE doc_id % 7 WHEN 0 THEN n_chars > 999 END AS redacted_content_noted,"
     " CASE doc_id % 7 WHEN 0 THEN 0 END AS frameworks,"
@@ -281,7 +287,8 @@ _PARSED_SQL = (
     f" '{texts.KEY_ERROR}'"
     " WHEN doc_id % 3 = 0 OR contains('timeout after ' || n_chars, '429')"
     " THEN 'Analysis for ' || file_name || ' failed after all retries'"
-    " ELSE 'Analysis failed: timeout after ' || n_chars END AS error FROM files)"
+    " ELSE 'Analysis failed: timeout after ' || n_chars END AS error,"
+    " CASE doc_id % 7 WHEN 2 THEN '{\"extra\":[1,2]}' END AS other_fields FROM files)"
 )
 _STEM_SQL = "regexp_replace({c}, '\\.[^.]+$', '')"
 _LATEST_SQL = (
@@ -330,7 +337,7 @@ ORACLES = {
     " THEN 'fatal' ELSE 'retry' END AS error_class"
     f" FROM (SELECT event_type, {_MESSAGE_SQL} AS message FROM events)) GROUP BY ALL",
     "report_load": "SELECT doc_id, doc_id % 5 < 4 AS readable,"
-    " CASE doc_id % 5 WHEN 0 THEN left(text, 30) WHEN 1 THEN source WHEN 2 THEN lang END"
+    " CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN source WHEN 2 THEN lang END"
     " AS document_summary,"
     " CASE doc_id % 5 WHEN 0 THEN '7' WHEN 1 THEN CAST(n_chars AS VARCHAR)"
     " WHEN 2 THEN (doc_id % 90) || ' (seen)' WHEN 3 THEN 'several' END AS people_count,"

@@ -73,6 +73,8 @@ REPORT_FIELDS: dict[str, str] = {
     "raw_analysis": "string",
     "raw_response": "string",
     "error": "string",
+    # Everything else the model returned, as JSON text.
+    "other_fields": "string",
 }
 
 

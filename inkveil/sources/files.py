@@ -10,13 +10,23 @@ from inkveil.rules.files import CLEANSERS, FILE_LABELS, IMAGE_SUFFIXES, UNKNOWN_
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Regular files of a directory, not of its subdirectories; contents are not read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(directory)
-    return listing.select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("path"),
-        F.col("length"),
-        F.col("modificationTime").alias("modified"),
+    """All regular files of a directory, not of its subdirectories; contents are not read.
+
+    Listed through the file system, as Spark's readers pass over empty files and
+    names that begin with "_" or "."; ``hidden`` tells which those are.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    rows = [
+        (f.getPath().getName(), f.getPath().toString(), f.getLen(), f.getModificationTime())
+        for f in found
+        if f.isFile()
+    ]
+    files = spark.createDataFrame(rows, "file_name string, path string, length long, millis long")
+    hidden = F.col("file_name").rlike("^[_.]") | (F.col("length") == 0)
+    return files.select(
+        "file_name", "path", "length", F.timestamp_millis("millis").alias("modified"),
+        hidden.alias("hidden"),
     )
 
 
@@ -76,12 +86,15 @@ def skipped(routed: DataFrame) -> DataFrame:
     return routed.where(F.col("cleanser").isNull())
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, every cell a string in its own spelling."""
+def read_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV file with a header, every cell a string in its own spelling.
+
+    Cells with line breaks need ``multi_line``; each file is then one task's work.
+    """
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )

@@ -45,12 +45,21 @@ def test_listing_and_routing(spark, tmp_path):
         (tmp_path / file).write_text("x")
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "f.csv").write_text("x")
+    for file in ["_x.pdf", ".h.pdf"]:
+        (tmp_path / file).write_text("x")
+    (tmp_path / "none.pdf").write_text("")
     found = route(list_files(spark, str(tmp_path)))
-    # Hidden files are not listed by the reader.
-    assert {r["file_name"] for r in found.collect()} == {"a.PDF", "b.tar.gz", "c.csv", "d", "e."}
-    assert {r["file_name"] for r in accepted(found).collect()} == {"a.PDF", "c.csv"}
+    assert {r["file_name"] for r in found.collect()} == {
+        "a.PDF", "b.tar.gz", "c.csv", "d", "e.", ".png", "_x.pdf", ".h.pdf", "none.pdf"
+    }
+    assert {r["file_name"] for r in found.where("hidden").collect()} == {
+        ".png", "_x.pdf", ".h.pdf", "none.pdf"
+    }
+    assert {r["file_name"] for r in accepted(found).collect()} == {
+        "a.PDF", "c.csv", "_x.pdf", ".h.pdf", "none.pdf"
+    }
     assert {(r["file_name"], r["suffix"]) for r in skipped(found).collect()} == {
-        ("b.tar.gz", ".gz"), ("d", ""), ("e.", "")
+        ("b.tar.gz", ".gz"), ("d", ""), ("e.", ""), (".png", "")
     }
     names = spark.createDataFrame([("x/a.b.png",), (".png",), ("c",)], "n string")
     assert rows(names.selectExpr(stem("n"))) == [("a.b",), (".png",), ("c",)]
@@ -59,14 +68,14 @@ def test_listing_and_routing(spark, tmp_path):
 def test_tables_keep_their_spelling(spark, tmp_path):
     source = tmp_path / "in.csv"
     source.write_text('id,note,n\n007,"mail a@b.example.com\nnow",1.50\n8,,\n')
-    table = read_table(spark, str(source))
+    table = read_table(spark, str(source), multi_line=True)
     done = redact_cells(table, keep=["id"], log=True)
     assert rows(done.select("id", "note", "n").orderBy("id")) == [
         ("007", "mail <email>\nnow", "1.50"), ("8", None, None)
     ]
     assert [len(r["note_log"]) for r in done.orderBy("id").collect()] == [1, 0]
     write_table(done.select("id", "note", "n"), str(tmp_path / "out"))
-    assert sorted(rows(read_table(spark, str(tmp_path / "out"))))[0][1] == "mail <email>\nnow"
+    assert sorted(rows(read_table(spark, str(tmp_path / "out"), multi_line=True)))[0][1] == "mail <email>\nnow"
 
 
 def test_whitelist_file(spark, tmp_path):
@@ -228,6 +237,24 @@ def test_report_files(spark, tmp_path):
     )
 
 
+def test_responses_that_are_not_quite_json(spark):
+    answers = ['{"document_summary": "a", "document_summary": "b", "x": {"y": NaN}}', '{"people_count": NaN, "list": [Infinity, -Infinity]}', '{"document_summary": NaN,, }']
+    made = spark.createDataFrame([(str(i), "PDF", "m", "t", a) for i, a in enumerate(answers)],
+                                 "file_name string, file_type string, model_used string, analysis_timestamp string, response string")
+    got = R.parse_responses(made).orderBy("source_file_name").collect()
+    assert [r.branch for r in got] == ["structured", "structured", "broken"]
+    assert (got[0].document_summary, got[0].other_fields) == ("b", '{"x":{"y":"NaN"}}')
+    assert (got[1].people_count, got[1].other_fields) == ("NaN", '{"list":["Infinity","-Infinity"]}')
+
+
+def test_unknown_fields_survive_writing(spark, tmp_path):
+    (tmp_path / "a_analysis.json").write_text('{"document_summary": "s", "more": [1, "x"]}')
+    loaded = read_report_files(spark, str(tmp_path))
+    write_reports(loaded, str(tmp_path / "out"))
+    for df in (loaded, read_reports(spark, str(tmp_path / "out"))):
+        assert df.first().other_fields in ('{"more":[1,"x"]}',)
+
+
 def test_latest_report_per_stem(spark):
     made = spark.createDataFrame(
         [("a.png", "2025-01-01 00:00:00", "old", None), ("a.pdf", "2025-01-02 00:00:00", "new", None),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from inkveil.rules import DEFAULT_RULES, REST_OF_LINE
 
+PATTERN_TAGS = list({r.tag: 0 for r in DEFAULT_RULES.patterns})
 # Rule 28 has lookarounds.
 SQL_RULES = [r for r in DEFAULT_RULES.patterns if "(?<!" not in r.pattern]
 LETTER = r"[^\p{L}\p{N}_]"
@@ -22,7 +23,16 @@ def pattern(rule) -> str:
     return text(("(?i)" if rule.ignore_case else "") + rule.pattern)
 
 
+# Rule 28 spelled out: six digits between characters that are no part of a word and no hyphen.
+_CODE = r"(^|[^\p{L}\p{N}_-])(\d{6})($|[^\p{L}\p{N}_-])"
+
+
 def replaced(expression: str, rule) -> str:
+    if rule.tag == "<code>":
+        for _ in range(2):  # neighbours share what is between them
+            expression = f"regexp_replace({expression}, {text(_CODE)}, '\\1<code>\\3', 'g')"
+        return expression
+
     if rule.tag == "<password>":
         # A value holding a tag stays.
         p = f"(?i){rule.pattern.replace('[^\\s]+', '[^\\s<]+')}(\\s|\\z)"
@@ -31,23 +41,28 @@ def replaced(expression: str, rule) -> str:
 
 
 def pattern_phase(expression: str) -> str:
-    for rule in SQL_RULES:
+    for rule in DEFAULT_RULES.patterns:
         expression = replaced(expression, rule)
     return expression
 
 
 def context_phase(expression: str) -> str:
     for rule in DEFAULT_RULES.contexts:
-        if rule.target == REST_OF_LINE:
-            p = rf"(?i)({rule.trigger}\s*:?\s*)([^\n<]*[^\s<])([^\S\n]*)(\n|\z)"
-            new = rf"\1{rule.tag}\3\4"
-        else:
-            p = rf"(?i)({rule.trigger}[^\d,]*)([\d,]+(?:\.\d{{2}})?)"
-            new = rf"\1{rule.tag}"
-        expression = f"regexp_replace({expression}, {text(p)}, {text(new)}, 'g')"
+        expression = _context(rule)[2](expression)
     return expression
 
 
+def _context(rule) -> tuple:
+    """Pattern, the group of what is replaced, and the replacement."""
+    if rule.target == REST_OF_LINE:
+        p = rf"(?i)({rule.trigger}\s*:?\s*)([^\n<]*[^\s<])([^\S\n]*)(\n|\z)"
+        new = rf"\1{rule.tag}\3\4"
+    else:
+        p = rf"(?i)({rule.trigger}[^\d,]*)([\d,]+(?:\.\d{{2}})?)"
+        new = rf"\1{rule.tag}"
+    return p, 2, lambda expression: f"regexp_replace({expression}, {text(p)}, {text(new)}, 'g')"
+
+
 def keyword_phase(expression: str, rules=DEFAULT_RULES) -> str:
     """Word edges spelled out; twice, as neighbours share the edge between them."""
     for category, word, redacts in rules.keyword_rows():
@@ -82,7 +97,7 @@ def cascade(column: str, context: bool = False, keyword: bool = False) -> str:
     out = context_phase(column) if context else column
     out = pattern_phase(out)
     out = keyword_phase(out) if keyword else out
-    tags = DEFAULT_RULES.tags() if context or keyword else list({r.tag: 0 for r in SQL_RULES})
+    tags = DEFAULT_RULES.tags() if context or keyword else PATTERN_TAGS
     return guarded(column, merge_phase(out, tags))
 
 
@@ -131,6 +146,38 @@ def log(source: str, key: str, column: str, *more: str) -> str:
     return "WITH " + ", ".join(parts)
 
 
+def full_log(source: str, key: str, column: str) -> str:
+    """Common table expressions ending in ``log``: a row per replacement of all phases.
+
+    Columns: the key, original, tag, reason.  For texts of three characters and more.
+    """
+    steps = []  # pattern of the hits, their group, tag, reason, next text
+    for rule in DEFAULT_RULES.contexts:
+        p, group, new = _context(rule)
+        steps.append((p, group, rule.tag, f"Contextual: '{rule.trigger}'", new("t")))
+    for rule in DEFAULT_RULES.patterns:
+        p, group = ("(?i)" if rule.ignore_case else "") + rule.pattern, 0
+        if rule.tag == "<password>":
+            p, group = f"(?i)({rule.pattern.replace('[^\\s]+', '[^\\s<]+')})(\\s|\\z)", 1
+        elif rule.tag == "<code>":
+            p, group = _CODE, 2
+        steps.append((p, group, rule.tag, "Regex", replaced("t", rule)))
+    for category, word, redacts in DEFAULT_RULES.keyword_rows():
+        if redacts:
+            p = rf"(?i)(^|{LETTER})({word.replace('.', '[.]')})($|{LETTER})"
+            tag = f"<{category[:-1]}>"
+            new = f"regexp_replace(t, {text(p)}, {text(rf'\1{tag}\3')}, 'g')"
+            steps.append((p, 2, tag, f"Keyword: {category}", new))
+    parts = [f"t0 AS MATERIALIZED (SELECT {key}, {column} AS t FROM {source})"]
+    hits = []
+    for n, (p, group, tag, why, new) in enumerate(steps):
+        parts.append(f"t{n + 1} AS MATERIALIZED (SELECT {key}, {new} AS t FROM t{n})")
+        found = f"unnest(regexp_extract_all(t, {text(p)}, {group}))"
+        hits.append(f"SELECT {key}, {found} AS original, {text(tag)} AS tag, {text(why)} AS reason FROM t{n}")
+    parts.append(f"log AS ({' UNION ALL '.join(hits)})")
+    return "WITH " + ", ".join(parts)
+
+
 def words(column: str) -> str:
     return f"list_filter(regexp_split_to_array({column}, {text(BLANK + '+')}), lambda w: w <> '')"
 

@@ -194,6 +194,16 @@ _CELL_COLUMNS = {
 }
 
 
+# HTML elements that can stand without attributes.
+_BARE_TAGS = [
+    f"<{name}>" for name in (
+        "a article aside b blockquote body br button code dd div dl dt em footer form h1 h2 h3 h4 h5 h6 head header"
+        " hr html i img input label li link main nav ol p pre script section small span strong style table tbody td"
+        " th thead title tr u ul"
+    ).split()
+]
+
+
 def _cells_sql(name: str) -> str:
     columns = _CELL_COLUMNS[name]
     cast = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in columns)
@@ -221,6 +231,10 @@ ORACLES = {
     "redact_page_urls": f"SELECT page_id, {oracle.cascade('url')} AS redacted FROM pages",
     "redact_pages_html": "SELECT page_id,"
     f" {oracle.guarded('html', oracle.pattern_phase('html'))} AS redacted FROM pages",
+    # Tags of different names cannot overlap, so they are merged name by name.
+    "redact_pages_html_merged": "SELECT page_id, "
+    + oracle.guarded("html", oracle.merge_phase(oracle.pattern_phase("html"), [*oracle.PATTERN_TAGS, *_BARE_TAGS]))
+    + " AS redacted FROM pages",
     "redact_conversations":
         f"SELECT conv_id, turn, {oracle.cascade('text')} AS redacted FROM conversations",
     "redact_full_cascade": f"SELECT c_custkey, {oracle.cascade('text', True, True)} AS redacted"

@@ -56,3 +56,17 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry(spark).columns == ["doc_id", "redacted"]
+
+
+def test_all_rules_fire(spark):
+    """But for the one whose shape earlier rules take."""
+    from inkveil.rules import DEFAULT_RULES
+    from inkveil.rules.words import keyword_tag
+
+    rows = QUERIES["all_rules_audit"](spark, str(DATA)).select("reason", "redacted_to").distinct().collect()
+    by_pattern = {r["redacted_to"] for r in rows if r["reason"] == "Regex"}
+    assert {r.tag for r in DEFAULT_RULES.patterns} - by_pattern == {"<ssn>"}
+    triggers = {r["reason"] for r in rows if r["reason"].startswith("Contextual")}
+    assert triggers == {f"Contextual: '{r.trigger}'" for r in DEFAULT_RULES.contexts}
+    words = {r["redacted_to"] for r in rows if r["reason"].startswith("Keyword")}
+    assert words == {keyword_tag(c) for c in DEFAULT_RULES.redacted_categories}

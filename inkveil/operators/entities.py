@@ -6,12 +6,12 @@ The tagger reads the text after the pattern phase and hands back spans
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.sql import Sql, any_of, name, string, strings
+from inkveil.functions.sql import Sql, any_of, let, name, string, strings
 from inkveil.functions.text import all_digits
 from inkveil.operators.redact import EMPTY_LOG, ENTITY, log_entry, redact
 from inkveil.operators.verdict import whitelisted
@@ -26,17 +26,23 @@ def _tag(label: Sql, rules: RuleSet) -> Sql:
     return f"CASE {label} {hits} END"
 
 
-def redactable(spans: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
-    """The spans that are to be replaced, with their tags."""
+def _redactable(span: str, rules: RuleSet) -> Sql:
+    """Whether a span (a prefix like ``s.``) is to be replaced."""
+    text, label = f"{span}text", f"{span}label"
     person = (
-        f"label = 'PERSON' AND (char_length(text) < 3 OR lower(text) IN ({strings(NOT_PERSONS)}))"
+        f"{label} = 'PERSON' AND (char_length({text}) < 3 OR lower({text}) IN ({strings(NOT_PERSONS)}))"
     )
-    return spans.withColumn("tag", F.expr(_tag("label", rules))).where(
-        f"tag IS NOT NULL AND NOT contains(text, '<') AND NOT {whitelisted('text', rules)}"
-        f" AND NOT ({person})"
+    return (
+        f"({_tag(label, rules)} IS NOT NULL AND NOT contains({text}, '<')"
+        f" AND NOT {whitelisted(text, rules)} AND NOT ({person}))"
     )
 
 
+def redactable(spans: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
+    """The spans that are to be replaced, with their tags."""
+    return spans.where(_redactable("", rules)).withColumn("tag", F.expr(_tag("label", rules)))
+
+
 def telling_labels(
     spans: DataFrame, keys: Sequence[str], rules: RuleSet = DEFAULT_RULES
 ) -> DataFrame:
@@ -63,59 +69,88 @@ def redact_entities(
     """Replace the spans of each text by their tags.
 
     Spans of a text may not overlap: of two that do, the one that starts first
-    stands (the longer one if both start there), and the other ones are listed
-    in ``rejected_spans``, as are spans outside the text.  That also bounds the
-    spans of one text by its length, however often a tagger repeats them.
+    stands (the longer one if both start there), and others are listed in
+    ``rejected_spans``, as are spans outside the text.  Of the spans that start
+    at one place only the longest inside the text can stand, so only that one
+    and the longest outside are collected: the text's length bounds them,
+    however many a tagger gives.
+
+    ``df`` is read twice, for its lengths and its texts, so it should be a
+    table; with the spans beside the text, ``redact_entity_arrays`` needs no
+    join at all.
     """
-    text = name(column)
-    grouped = (
-        redactable(spans, rules)
-        .groupBy(F.col(name(key)).alias("__key"))
-        .agg(
-            F.array_sort(
-                F.collect_set(
-                    F.struct(
-                        F.col("start_char").alias("first"),
-                        (-F.col("end_char")).alias("back"),
-                        "label",
-                        "tag",
-                    )
-                )
-            ).alias("__spans")
-        )
+    lengths = df.select(F.col(name(key)).alias("__key"), F.char_length(name(column)).alias("__length"))
+    placed = redactable(spans, rules).withColumnRenamed(key, "__key").join(lengths, "__key")
+    inside = "start_char >= 0 AND start_char < end_char AND end_char <= __length"
+    place = "greatest(-1L, least(bigint(start_char), bigint(__length)))"
+    span = "struct(bigint(start_char) AS first, bigint(-end_char) AS back, label, tag)"
+    longest = placed.groupBy("__key", F.expr(place).alias("place")).agg(
+        F.expr(f"min(CASE WHEN {inside} THEN {span} END)").alias("inside"),
+        F.expr(f"min(CASE WHEN NOT ({inside}) THEN {span} END)").alias("outside"),
+    )
+    grouped = longest.groupBy("__key").agg(
+        F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array("inside", "outside"))))).alias("__spans")
     )
     joined = df.join(grouped, F.col(name(key)) == F.col("__key"), "left").drop("__key")
-    # One pass over the sorted spans: a span that starts where the last kept one
-    # ended, or later, is kept.  The places of both kinds are noted.
-    fits = f"s.first >= acc.done AND s.first < -s.back AND -s.back <= char_length({text})"
-    none = "CAST(array() AS array<int>)"
-    sorted_out = (
-        f"aggregate(__spans, named_struct('done', 0L, 'kept', {none}, 'rest', {none}, 'n', 0),"
-        f" (acc, s) -> if({fits},"
-        " named_struct('done', bigint(-s.back), 'kept', concat(acc.kept, array(acc.n)),"
-        " 'rest', acc.rest, 'n', acc.n + 1),"
-        " named_struct('done', acc.done, 'kept', acc.kept,"
-        " 'rest', concat(acc.rest, array(acc.n)), 'n', acc.n + 1)))"
+    return _spliced(joined, df.columns, column, log)
+
+
+def redact_entity_arrays(
+    df: DataFrame, column: str, spans: str, rules: RuleSet = DEFAULT_RULES, log: bool = False
+) -> DataFrame:
+    """The same for texts with an array of (start_char, end_char, label, text) beside them.
+
+    The array goes; everything happens within the row.
+    """
+    chosen = (
+        f"array_sort(transform(filter({name(spans)}, s -> {_redactable('s.', rules)}), s ->"
+        f" struct(bigint(s.start_char) AS first, bigint(-s.end_char) AS back, s.label AS label,"
+        f" {_tag('s.label', rules)} AS tag)))"
     )
-    chosen = joined.withColumn("__sorted", F.expr(sorted_out)).selectExpr(
-        "* EXCEPT (__sorted, __spans)",
-        "transform(__sorted.kept, n -> __spans[n]) AS __kept",
-        "transform(__sorted.rest, n -> __spans[n]) AS __rejected",
+    listed = let("every", chosen, "filter(every, (s, i) -> i = 0 OR s <> every[i - 1])")
+    kept = [c for c in df.columns if c != spans]
+    return _spliced(df.selectExpr(*map(name, kept), f"{listed} AS __spans"), kept, column, log)
+
+
+# Places are gathered in pieces, as appending to an array copies it.
+_PIECE = 512
+
+
+def _spliced(df: DataFrame, columns: Sequence[str], column: str, log: bool) -> DataFrame:
+    """Choose among the sorted ``__spans`` and put their tags in.
+
+    A span that starts where the last kept one ended, or later, is kept.
+    """
+    text = name(column)
+    fits = "s.first >= acc.done AND s.first < -s.back AND -s.back <= length"
+    none, nothing = "CAST(array() AS array<int>)", "CAST(array() AS array<array<int>>)"
+    piece = "concat(acc.piece, array(acc.n))"
+    chosen = (
+        f"aggregate(__spans, named_struct('done', 0L, 'piece', {none}, 'pieces', {nothing}, 'n', 0),"
+        f" (acc, s) -> CASE WHEN NOT ({fits}) THEN"
+        " named_struct('done', acc.done, 'piece', acc.piece, 'pieces', acc.pieces, 'n', acc.n + 1)"
+        f" WHEN size(acc.piece) < {_PIECE} THEN"
+        f" named_struct('done', bigint(-s.back), 'piece', {piece}, 'pieces', acc.pieces, 'n', acc.n + 1)"
+        f" ELSE named_struct('done', bigint(-s.back), 'piece', {none},"
+        f" 'pieces', concat(acc.pieces, array({piece})), 'n', acc.n + 1) END,"
+        " acc -> flatten(concat(acc.pieces, array(acc.piece))))"
     )
-    cut = chosen.withColumn(
-        "__chars", F.expr(f"if(size(__kept) > 0, split({text}, ''), null)")
+    placed = df.withColumn("__places", F.expr(let("length", f"char_length({text})", chosen)))
+    every = "if(size(__spans) > 0, sequence(0, size(__spans) - 1), CAST(array() AS array<int>))"
+    cut = placed.selectExpr(
+        *map(name, columns),
+        "transform(__places, n -> __spans[n]) AS __kept",
+        f"transform(array_except({every}, __places), n -> __spans[n]) AS __rejected",
     )
 
     def between(first: Sql, last: Sql) -> Sql:
-        return f"array_join(slice(__chars, int({first}) + 1, int({last} - ({first}))), '')"
+        return f"substring({text}, int({first}) + 1, int({last} - ({first})))"
 
     gap = between("if(n = 0, 0, -__kept[n - 1].back)", "s.first")
-    tail = between("-element_at(__kept, -1).back", "size(__chars)")
+    tail = between("-element_at(__kept, -1).back", f"char_length({text})")
     spliced = f"concat(array_join(transform(__kept, (s, n) -> concat({gap}, s.tag)), ''), {tail})"
-    outputs = [
-        f"if(__chars IS NULL, {text}, {spliced}) AS {text}" if c == column else name(c)
-        for c in df.columns
-    ]
+    some = "coalesce(size(__kept) > 0, false)"
+    outputs = [f"if({some}, {spliced}, {text}) AS {text}" if c == column else name(c) for c in columns]
     span_type = "array<struct<start_char:bigint,end_char:bigint,label:string>>"
     rejected = (
         "transform(__rejected, s -> named_struct('start_char', s.first,"
@@ -125,9 +160,7 @@ def redact_entities(
     if log:
         original = between("s.first", "-s.back")
         entry = log_entry(ENTITY, "0", "s.tag", original, "concat('NER: ', s.label)")
-        outputs.append(
-            f"if(__chars IS NULL, {EMPTY_LOG}, transform(__kept, s -> {entry})) AS entity_log"
-        )
+        outputs.append(f"if({some}, transform(__kept, s -> {entry}), {EMPTY_LOG}) AS entity_log")
     return cut.selectExpr(*outputs)
 
 
@@ -141,7 +174,22 @@ def redact_with_entities(
 ) -> DataFrame:
     """The full cascade with the entity phase between patterns and keywords."""
     before = redact(df, column, rules, ("context", "pattern"), log)
-    tagged = redact_entities(before, key, column, spans, rules, log)
+    return _finished(redact_entities(before, key, column, spans, rules, log), column, rules, log)
+
+
+def redact_with_entity_arrays(
+    df: DataFrame,
+    column: str,
+    tagger: Callable[[DataFrame], DataFrame],
+    rules: RuleSet = DEFAULT_RULES,
+    log: bool = False,
+) -> DataFrame:
+    """The full cascade; ``tagger`` adds an array column ``spans`` to the texts after the patterns."""
+    before = tagger(redact(df, column, rules, ("context", "pattern"), log))
+    return _finished(redact_entity_arrays(before, column, "spans", rules, log), column, rules, log)
+
+
+def _finished(tagged: DataFrame, column: str, rules: RuleSet, log: bool) -> DataFrame:
     first_log = name(column + "_log")
     if log:
         tagged = tagged.withColumnRenamed(column + "_log", "__first_log")

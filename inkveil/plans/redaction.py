@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.sql import let
 from inkveil.operators.cells import redact_cells
-from inkveil.operators.entities import redact_entities, redact_with_entities
+from inkveil.operators.entities import redact_entity_arrays, redact_with_entity_arrays
 from inkveil.operators.redact import PATTERN_PHASES, merge_tags, redact
 from inkveil.plans import oracle
 from inkveil.plans.tables import documents, table
-from inkveil.rules import RuleSet
+from inkveil.rules import DEFAULT_RULES, RuleSet
 
 # Keywords that do occur in the documents.
 COMMON_WORDS = RuleSet(
@@ -106,22 +106,22 @@ def merge_tags_query(spark: SparkSession, sf: str) -> DataFrame:
 _LABELS = ("PERSON", "ORG", "GPE", "LOC", "DATE", "MONEY", "CARDINAL", "FAC", "PRODUCT", "NORP")
 
 
-def spans_of(texts: DataFrame) -> DataFrame:
-    """Made-up entity spans over (doc_id, text), as many as the text has room for.
-
-    The spans are cut out of the text before they become rows, so that no row
-    carries the whole text along.
-    """
+def tagged(texts: DataFrame) -> DataFrame:
+    """Made-up entity spans beside (doc_id, text), as many as the text has room for."""
     labels = ", ".join(f"'{label}'" for label in _LABELS)
     start, size = "k * 40 + doc_id % 20", "2 + k % 7"
     span = (
         f"named_struct('start_char', {start}, 'end_char', {start} + {size},"
         f" 'label', array({labels})[int((k + doc_id) % {len(_LABELS)})],"
-        f" 'text', array_join(slice(chars, int({start}) + 1, int({size})), ''))"
+        f" 'text', substring(text, int({start}) + 1, int({size})))"
     )
-    spans = f"transform(sequence(0L, size(chars) DIV 40 - 1), k -> {span})"
-    inside = let("chars", "split(text, '')", f"filter({spans}, s -> s.end_char <= size(chars))")
-    return texts.where("char_length(text) >= 60").selectExpr("doc_id", f"inline({inside})")
+    spans = f"transform(sequence(0L, bigint(char_length(text) DIV 40)), k -> {span})"
+    return texts.withColumn("spans", F.expr(f"filter({spans}, s -> s.end_char <= char_length(text))"))
+
+
+def spans_of(texts: DataFrame) -> DataFrame:
+    """The same as rows; cut out of the text first, so that no row carries it along."""
+    return tagged(texts).selectExpr("doc_id", "inline(spans)")
 
 
 def spans_sql(source: str) -> str:
@@ -132,15 +132,15 @@ def spans_sql(source: str) -> str:
         " k * 40 + doc_id % 20 + 2 + k % 7 AS end_char,"
         f" [{labels}][(k + doc_id) % {len(_LABELS)} + 1] AS label, text AS whole,"
         " substr(text, k * 40 + doc_id % 20 + 1, 2 + k % 7) AS text"
-        " FROM (SELECT doc_id, text, unnest(range(0, length(text) // 40)) AS k"
-        f" FROM {source} WHERE length(text) >= 60)"
+        " FROM (SELECT doc_id, text, unnest(range(0, length(text) // 40 + 1)) AS k"
+        f" FROM {source})"
         " WHERE k * 40 + doc_id % 20 + 2 + k % 7 <= length(text)"
     )
 
 
 def entity_redaction(spark: SparkSession, sf: str) -> DataFrame:
     texts = redact(documents(spark, sf, "text"), "text", phases=("pattern",))
-    done = redact_entities(texts, "doc_id", "text", spans_of(texts))
+    done = redact_entity_arrays(tagged(texts), "text", "spans")
     return done.selectExpr("doc_id", "text AS redacted")
 
 
@@ -150,30 +150,31 @@ _ENTITY_TAG = (
     " WHEN 'MONEY' THEN '<amount>' WHEN 'FAC' THEN '<facility>'"
     " WHEN 'PRODUCT' THEN '<product>' END"
 )
-_ENTITY_SQL = (
-    f"WITH t AS MATERIALIZED (SELECT doc_id, {oracle.guarded('text', oracle.pattern_phase('text'))}"
-    f" AS text FROM documents), s AS ({spans_sql('t')}),"
-    f" p AS (SELECT *, {_ENTITY_TAG} AS tag FROM s),"
-    " r AS (SELECT *, tag IS NOT NULL AND NOT contains(text, '<')"
-    f" AND NOT {oracle.whitelisted(oracle.strip('text'))}"
-    " AND NOT (label = 'PERSON' AND (length(text) < 3 OR lower(text) IN ('the', 'and', 'for')))"
-    " AS hit, lead(start_char) OVER (PARTITION BY doc_id ORDER BY start_char) AS following FROM p),"
-    " j AS (SELECT doc_id, string_agg(CASE WHEN hit THEN tag ELSE text END ||"
-    " CASE WHEN following IS NULL THEN substr(whole, end_char + 1)"
-    " ELSE substr(whole, end_char + 1, following - end_char) END, '' ORDER BY start_char) AS rest,"
-    " min(start_char) AS first FROM r GROUP BY doc_id)"
-    " SELECT t.doc_id, CASE WHEN j.doc_id IS NULL THEN t.text"
-    " ELSE substr(t.text, 1, j.first) || j.rest END AS redacted"
-    " FROM t LEFT JOIN j ON t.doc_id = j.doc_id"
-)
+
+
+def _entity_sql(text: str, finish: str) -> str:
+    """``text``: what the spans refer to; ``finish``: what becomes of the spliced text ``x``."""
+    return (
+        f"WITH t AS MATERIALIZED (SELECT doc_id, {text} AS text FROM documents),"
+        f" s AS ({spans_sql('t')}), p AS (SELECT *, {_ENTITY_TAG} AS tag FROM s),"
+        " r AS (SELECT *, tag IS NOT NULL AND NOT contains(text, '<')"
+        f" AND NOT {oracle.whitelisted(oracle.strip('text'))}"
+        " AND NOT (label = 'PERSON' AND (length(text) < 3 OR lower(text) IN ('the', 'and', 'for')))"
+        " AS hit, lead(start_char) OVER (PARTITION BY doc_id ORDER BY start_char) AS following FROM p),"
+        " j AS (SELECT doc_id, string_agg(CASE WHEN hit THEN tag ELSE text END ||"
+        " CASE WHEN following IS NULL THEN substr(whole, end_char + 1)"
+        " ELSE substr(whole, end_char + 1, following - end_char) END, '' ORDER BY start_char) AS rest,"
+        " min(start_char) AS first FROM r GROUP BY doc_id),"
+        " spliced AS MATERIALIZED (SELECT t.doc_id, CASE WHEN j.doc_id IS NULL THEN t.text"
+        " ELSE substr(t.text, 1, j.first) || j.rest END AS x FROM t LEFT JOIN j ON t.doc_id = j.doc_id)"
+        f" SELECT doc_id, {finish} AS redacted FROM spliced"
+    )
 
 
 def redact_with_tagger(spark: SparkSession, sf: str) -> DataFrame:
-    """All phases with the log, spans included; compared with a twin in the tests."""
-    docs = documents(spark, sf, "text")
-    first = redact(docs, "text", phases=("context", "pattern"))
-    done = redact_with_entities(docs, "doc_id", "text", spans_of(first), log=True)
-    return done.selectExpr("doc_id", "text AS redacted", "size(text_log) AS n")
+    """All phases, spans included; the log is compared with a twin in the tests."""
+    done = redact_with_entity_arrays(documents(spark, sf, "text"), "text", tagged)
+    return done.selectExpr("doc_id", "text AS redacted")
 
 
 def cells(name: str, key: str):
@@ -247,6 +248,10 @@ ORACLES = {
     "merge_tags": f"SELECT merged, count(*) AS n FROM (SELECT"
     f" {oracle.merge_phase('tagged', ['<A>', '<F>', '<N>', '<O>', '<R>'])} AS merged"
     f" FROM (SELECT {_TAGGED} AS tagged FROM lineitem)) GROUP BY merged",
-    "entity_redaction": _ENTITY_SQL,
+    "entity_redaction": _entity_sql(oracle.guarded("text", oracle.pattern_phase("text")), "x"),
+    "redact_with_tagger": _entity_sql(
+        oracle.guarded("text", oracle.pattern_phase(oracle.context_phase("text"))),
+        oracle.guarded("x", oracle.merge_phase(oracle.keyword_phase("x"), DEFAULT_RULES.tags())),
+    ),
     **{f"redact_cells_{n}": _cells_sql(n) for n in _CELL_COLUMNS},
 }

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from inkveil.operators import reports as R
 from inkveil.operators.audit import append_audit, audit_log
 from inkveil.operators.cells import lines_to_text, redact_cells, workbook_lines
-from inkveil.operators.entities import redact_entities, redact_with_entities, telling_labels
+from inkveil.operators.entities import (
+    redact_entities, redact_entity_arrays, redact_with_entities, redact_with_entity_arrays, telling_labels,
+)
 from inkveil.operators.redact import redact
 from inkveil.operators.regions import span_boxes, word_boxes
 from inkveil.operators.tokens import drop_whitelisted
-from inkveil.plans.redaction import spans_of
+from inkveil.plans.redaction import spans_of, tagged as tag_texts
 from inkveil.rules import DEFAULT_RULES, PatternRule, RuleSet
 from inkveil.rules.files import CLEANSERS, FILE_LABELS
 from inkveil.sources.files import (
@@ -126,6 +128,29 @@ def test_entities(spark):
     ]
     assert [tuple(s) for s in got[0]["rejected_spans"]] == [(4, 14, "ORG"), (30, 99, "LOC")]
     assert [e["original"] for e in got[0]["entity_log"]] == ["Ann Lee", "ACME", "Paris"]
+    arrays = tagged.groupBy("doc_id").agg(F.collect_list(F.struct("start_char", "end_char", "label", "text")).alias("s"))
+    beside = redact_entity_arrays(df.join(arrays, "doc_id", "left"), "text", "s", log=True).orderBy("doc_id").collect()
+    assert [(r.text, r.rejected_spans, r.entity_log) for r in beside] == [
+        (r.text, r.rejected_spans, r.entity_log) for r in got
+    ]
+
+
+def test_many_overlapping_spans(spark):
+    text = "ab " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    k = spark.range(100_000)
+    spans = k.selectExpr("1L AS doc_id", "id % 59990 AS start_char", "id % 59990 + 2 + id % 7 AS end_char",
+                         "if(id % 2 = 0, 'ORG', 'GPE') AS label", "'ab cd' AS text")
+    rows_ = {(r.start_char, -r.end_char, r.label) for r in spans.collect()}
+    done, out, want = 0, [], []
+    for start, back, label in sorted(rows_):
+        if start >= done:
+            want.append((text[done:start], DEFAULT_RULES.entity_tags[label]))
+            done = -back
+    out = "".join(a + b for a, b in want) + text[done:]
+    assert redact_entities(df, "doc_id", "text", spans).first().text == out
+    arrays = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_char", "end_char", "label", "text")).alias("s"))
+    assert redact_entity_arrays(df.join(arrays, "doc_id"), "text", "s").first().text == out
 
 
 def test_entities_within_the_cascade(spark):
@@ -317,3 +342,5 @@ def test_cascade_with_tagger_equals_twin_on_documents(spark):
         if len(text.strip()) >= 3:
             want = twin.merge(twin.keyword_phase(want))
         assert got[doc_id] == want
+    beside = redact_with_entity_arrays(texts, "text", tag_texts)
+    assert dict(rows(beside.select("doc_id", "text"))) == got

@@ -43,42 +43,66 @@ def templates() -> list[tuple[str, int, str]]:
     return out
 
 
-def bigrams(text: Column) -> Column:
-    """The distinct word bigrams of a text, normalised."""
+def words(text: Column) -> Column:
+    """The words of a text, normalised."""
     plain = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), _OTHER, " "))
-    words = F.split(plain, " ", -1)
-    first, second = F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1)
-    pairs = F.zip_with(first, second, lambda a, b: F.concat_ws(" ", a, b))
-    return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.split(plain, " ", -1)
+
+
+def pairs(column: str) -> Column:
+    """The distinct bigrams of an array of words."""
+    last = F.size(column) - 1
+    first, second = F.slice(column, F.lit(1), last), F.slice(column, F.lit(2), last)
+    return F.array_distinct(F.zip_with(first, second, lambda a, b: F.concat_ws(" ", a, b)))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once, however often it is used."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def with_bigrams(df: DataFrame) -> DataFrame:
+    """The rows whose ``text`` has two words or more, with their bigrams ``b``."""
+    several = once(df, "w", words(F.col("text"))).drop("text").filter(F.size("w") > 1)
+    return once(several, "b", pairs("w")).drop("w")
 
 
 def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, uid, unit, number and text of lines, paragraphs and whole texts."""
-    t = F.col("t")
-    paragraphs = F.transform(F.split(t, _GAP, -1), lambda p, i: F.struct(F.lit("paragraph").alias("unit"), i.alias("number"), p.alias("text")))
-    lines = F.transform(F.split(t, "\n", -1), lambda p, i: F.struct(F.lit("line").alias("unit"), i.alias("number"), p.alias("text")))
-    whole = F.when(t.rlike(_GAP), F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).alias("number"), t.alias("text"))))
-    several = F.filter(paragraphs, lambda p: p["text"].contains("\n"))
-    none = F.array().cast("array<struct<unit:string,number:int,text:string>>")
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("uid", F.monotonically_increasing_id())
-    return rows.select("doc_id", "uid", F.explode(F.concat(lines, several, F.coalesce(whole, none))).alias("u")).select("doc_id", "uid", "u.*")
+
+    def parts(unit: str, pattern: str) -> DataFrame:
+        cut = rows.select("doc_id", "uid", F.posexplode(F.split("t", pattern, -1)).alias("number", "text"))
+        return cut.select("doc_id", "uid", F.lit(unit).alias("unit"), "number", "text")
+
+    gaps = F.col("t").rlike(_GAP)
+    whole = rows.filter(gaps).select("doc_id", "uid", F.lit("text").alias("unit"), F.lit(0).alias("number"), F.col("t").alias("text"))
+    several = parts("paragraph", _GAP).filter(F.col("text").contains("\n"))
+    return parts("line", "\n").unionAll(several).unionAll(whole)
 
 
 def known(spark: SparkSession, texts: list[tuple[str, int, str]]) -> DataFrame:
     """licence, part, m (number of bigrams) and bigram of the templates."""
-    rows = spark.createDataFrame(texts, "licence string, part int, text string").withColumn("b", bigrams(F.col("text")))
+    rows = with_bigrams(spark.createDataFrame(texts, "licence string, part int, text string"))
     return rows.select("licence", "part", F.size("b").alias("m"), F.explode("b").alias("bigram"))
 
 
+def _fits(sizes: list[int], factor: float) -> Column:
+    """Whether a unit of n bigrams can be like a template of one of these sizes."""
+    fits = F.lit(False)
+    for m in sizes:
+        fits = fits | ((F.col("n") * factor >= m) & (F.col("n") <= m * factor))
+    return fits
+
+
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, texts: list[tuple[str, int, str]] | None = None) -> DataFrame:
     """doc_id, unit, number, licence, part and score of every unit that is a licence text."""
     spark = docs.sparkSession
     wanted = known(spark, templates() if texts is None else texts)
     factor = (2 - least) / least
     sizes = sorted({r["m"] for r in wanted.select("m").distinct().collect()})  # as many as templates
-    fits = F.exists(F.array(*(F.lit(m) for m in sizes)).cast("array<int>"), lambda m: (F.col("n") * factor >= m) & (F.col("n") <= m * factor))
-    rows = units(docs, key, text).withColumn("b", bigrams(F.col("text"))).withColumn("n", F.size("b")).filter(F.col("n") > 0)
-    rows = rows.filter(fits).select("doc_id", "uid", "unit", "number", "n", F.explode("b").alias("bigram"))
+    rows = with_bigrams(units(docs, key, text)).withColumn("n", F.size("b")).filter(_fits(sizes, factor))
+    rows = rows.select("doc_id", "uid", "unit", "number", "n", F.explode("b").alias("bigram"))
     # The templates are a fixed list, so their table is small whatever the documents are.
     met = rows.join(F.broadcast(wanted), "bigram").filter((F.col("n") * factor >= F.col("m")) & (F.col("n") <= F.col("m") * factor))
     shared = met.groupBy("doc_id", "uid", "unit", "number", "licence", "part", "n", "m").agg(F.count("*").alias("c"))

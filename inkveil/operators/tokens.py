@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.entropy import entropy, looks_random
-from inkveil.functions.sql import Sql, name, string
+from inkveil.functions.regex import any_word
+from inkveil.functions.sql import Sql, matches, name, string
 from inkveil.functions.text import strip, words
 from inkveil.operators.verdict import verdict, whitelisted
 from inkveil.rules import DEFAULT_RULES, RuleSet
@@ -60,14 +61,15 @@ def keyword_hits(tokens: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame
     """One row per word and keyword inside it, case aside.
 
     The keywords are an array literal: the pairs tested never become rows, only
-    the hits do.
+    the hits do.  Most words hold none, which one search settles.
     """
     rows = ", ".join(
         f"named_struct('category', {string(c)}, 'keyword', {string(k)}, 'low', {string(k.lower())})"
         for c, k, _ in rules.keyword_rows()
     )
     hits = f"filter(array({rows}), k -> contains(lower(token), k.low))"
-    return tokens.selectExpr("token", f"inline({hits})").drop("low")
+    held = matches("lower(token)", any_word(k.lower() for _, k, _ in rules.keyword_rows()))
+    return tokens.where(held).selectExpr("token", f"inline({hits})").drop("low")
 
 
 def judged(

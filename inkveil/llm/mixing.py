@@ -36,7 +36,7 @@ from inkveil.llm.common import table, written
 
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
-BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS, SEED = 32, 4096, 4096, 11
+BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS, SEED = 32, 4096, 1024, 11
 WORD = r"[^\x20\x09-\x0D]+"
 
 

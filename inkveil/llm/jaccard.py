@@ -52,7 +52,9 @@ FIRST = np.uint64(2**62)
 #: Smallest hashes kept to estimate how often an element repeats.
 SKETCH = 1024
 #: Elements in a block of sets that are compared.
-BLOCK_ELEMENTS = 400_000
+BLOCK_ELEMENTS = 150_000
+#: Bytes of text hashed together (a longer word is hashed whole).
+BYTES_TOGETHER = 1_000_000
 #: Listing more subsets than this for one set is never considered.
 MOST_SUBSETS = 1000
 
@@ -90,17 +92,30 @@ class Shingler:
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
 
+    def _words(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start, and their hashes; piece by piece, cut at blanks."""
+        gaps = np.flatnonzero(self.blank[joined])
+        starts, words, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+        while at < len(joined):
+            cut = int(np.searchsorted(gaps, at + BYTES_TOGETHER))
+            until = int(gaps[cut]) if cut < len(gaps) else len(joined)
+            part = joined[at:until]
+            self._reach(len(part))
+            solid = ~self.blank[part]
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
+            start, end = edge[::2], edge[1::2]
+            running = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(self.symbol[part] * self.power[: len(part)], out=running[1:])
+            hashes = (running[end] - running[start]) * self.inverse[start] + (end - start).astype(np.uint64)
+            starts.append(start + at)
+            words.append(_mix(hashes))
+            at = until
+        return np.concatenate(starts), np.concatenate(words)
+
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """The sorted distinct elements of each text."""
         data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-        joined = np.frombuffer(b" ".join([*data, b""]), np.uint8)
-        self._reach(len(joined))
-        solid = ~self.blank[joined]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).view(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        running = np.zeros(len(joined) + 1, np.uint64)
-        np.cumsum(self.symbol[joined] * self.power[: len(joined)], out=running[1:])
-        word = _mix((running[end] - running[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        start, word = self._words(np.frombuffer(b" ".join([*data, b""]), np.uint8))
         bounds = np.cumsum([len(d) + 1 for d in data])
         last = np.searchsorted(start, bounds)
         grams = word[: max(0, len(word) - self.words + 1)]
@@ -250,8 +265,8 @@ def _described(plan: Plan, kind: T.DataType):
                 s1, s2, kept = none, none, none
                 if 0 < len(x) <= plan.small:
                     gone = [c for k in range(spare(len(x), plan.percent) + 1) for c in combinations(range(len(x)), k)]
-                    s1 = np.array([h1 - a[list(c)].sum(dtype=np.uint64) for c in gone], np.uint64).view(np.int64)
-                    s2 = np.array([h2 - b[list(c)].sum(dtype=np.uint64) for c in gone], np.uint64).view(np.int64)
+                    s1 = (np.array([h1]) - [a[list(c)].sum(dtype=np.uint64) for c in gone]).view(np.int64)
+                    s2 = (np.array([h2]) - [b[list(c)].sum(dtype=np.uint64) for c in gone]).view(np.int64)
                     kept = np.array([len(x) - len(c) for c in gone])
                 row = len(x), h1.view(np.int64), h2.view(np.int64), listed.view(np.int64), sure.view(np.int64), s1, s2, kept
                 for column, v in zip(columns, row, strict=True):
@@ -461,8 +476,9 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     common are linked; component_id is the least id reachable by links.
     """
     _, rows, sets = _joined(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, percent)
-    least = sets.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component"))
-    of_set = sets.join(least, "root", "left").select("h1", "h2", "n", F.coalesce("component", "least").alias("component"))
+    linked, alone = sets.filter("root IS NOT NULL"), sets.filter("root IS NULL")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"))
+    of_set = linked.join(least, "root").select("h1", "h2", "n", "component").unionAll(alone.select("h1", "h2", "n", "least"))
     out = rows.join(of_set, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -215,6 +215,20 @@ def cells_of(counts: np.ndarray, cell_rows: int) -> tuple[np.ndarray, np.ndarray
     return first, number
 
 
+def _dealt(first: np.ndarray, number: np.ndarray):
+    """Rows to their cells; those of a large leaf go to its cells in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            leaf = batch.column(2).to_numpy(zero_copy_only=False)
+            cell = first[leaf] + (seen + np.arange(len(leaf))) % number[leaf]
+            seen += len(leaf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=["id", "x", "leaf", "cell"])
+
+    return run
+
+
 def _cell(part: pa.Table) -> pa.Table:
     part = part.combine_chunks().sort_by([("leaf", "ascending"), ("id", "ascending")])
     x = matrix(part.column("x").combine_chunks())
@@ -296,12 +310,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
     for r in rows.groupBy("leaf").count().collect():  # one row per leaf of the bounded tree
         counts[r["leaf"]] = r["count"]
     first, number = cells_of(counts, cell_rows)
-    spread = F.create_map(*(F.lit(int(v)) for i in np.flatnonzero(number > 1) for v in (i, number[i]))) if (number > 1).any() else None
-    chunk = F.pmod(F.monotonically_increasing_id(), F.coalesce(spread[F.col("leaf")], F.lit(1))) if spread is not None else F.lit(0)
-    start = F.element_at(F.array(*(F.lit(int(v)) for v in first)), F.col("leaf") + 1)
-    cells = rows.withColumn("cell", (start + chunk).cast("long")).groupBy("cell").applyInArrow(
-        _cell, "cell long, width int, ids binary, leaves binary, values binary"
-    )
+    cells = rows.mapInArrow(_dealt(first, number), "id long, x array<double>, leaf int, cell long")
+    cells = cells.groupBy("cell").applyInArrow(_cell, "cell long, width int, ids binary, leaves binary, values binary")
     parts = max(1, -(-queries.count() // QUERY_ROWS))
     asked = queries.repartition(parts).mapInArrow(
         _asked(tree, visits, first, number),

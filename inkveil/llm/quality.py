@@ -128,8 +128,8 @@ def _worker():
     return lambda texts: [[[float(v) for v in statistics(t)] for t in texts]]
 
 
-def score_quality(docs: DataFrame, forest: Forest, keys: list[str], text: str = "text") -> DataFrame:
-    """The keys with ``score``, the probability of label 1."""
+def score_quality(docs: DataFrame, forest: Forest, keys: list[str], text: str = "text", score: str = "score") -> DataFrame:
+    """The keys with the column ``score``, the probability of label 1."""
 
     def worker():
         def each(texts):
@@ -138,7 +138,7 @@ def score_quality(docs: DataFrame, forest: Forest, keys: list[str], text: str =
 
         return each
 
-    return map_texts(docs, keys, text, [T.StructField("score", T.DoubleType())], worker)
+    return map_texts(docs, keys, text, [T.StructField(score, T.DoubleType())], worker)
 
 
 def quality_of_documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -156,5 +156,5 @@ def quality_of_documents(spark: SparkSession, directory: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted to be of quality, with all their columns."""
     names = docs.columns
-    scored = score_quality(docs.withColumn("__t", F.col("text")), fit_quality(docs, labels), names, "__t")
-    return scored.filter(F.col("score") >= KEEP_FROM).select(*names)
+    scored = score_quality(docs, fit_quality(docs, labels), names, score="__score")
+    return scored.filter(F.col("__score") >= KEEP_FROM).select(*names)

@@ -64,6 +64,15 @@ def test_fuzz(spark, monkeypatch, percent, words):
     assert got == plain(rows, words, percent)
 
 
+def test_pieces_of_a_text_do_not_matter(monkeypatch):
+    draw = random.Random(2)
+    texts = [" ".join("x" * draw.randrange(1, 12) + str(draw.randrange(9)) for _ in range(draw.randrange(60))) for _ in range(50)] + ["y" * 500, "", None]
+    whole = jaccard.Shingler().sets(texts)
+    monkeypatch.setattr(jaccard, "BYTES_TOGETHER", 7)
+    for a, b, t in zip(whole, jaccard.Shingler().sets(texts), texts, strict=True):
+        assert (a == b).all() and len(a) == len(plain_set(t))
+
+
 def test_hot_near_copies(spark, monkeypatch):
     """Many near copies of one text, most linked through the original only."""
     draw = random.Random(8)

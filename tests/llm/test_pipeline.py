@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -74,6 +75,17 @@ def test_ids_decode_to_the_texts(stages):
     assert got == texts and all(r.round_trip and r.n_tokens == len(r.ids) for r in stages[5].collect())
 
 
+def test_extra_columns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns(
+        {c: F.lit(1) for c in ("score", "uid", "n", "size", "quality", "spans", "taken", "b")}
+    )
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+        docs.sparkSession.catalog.clearCache()
+        docs = stage(spark, docs, "/root/testdata/sf0.001").cache()
+        assert docs.count() > 0
+
+
 def test_odd_documents(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars int"
     text = " ".join(f"word{i}" for i in range(40))

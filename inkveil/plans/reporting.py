@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkveil.operators import reports as R
 from inkveil.operators.cells import lines_to_text, rows_to_lines, workbook_lines
+from inkveil.operators.redact import redact
 from inkveil.plans import oracle
 from inkveil.plans.tables import documents, table
 from inkveil.rules import reports as texts
@@ -64,6 +65,14 @@ def units_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return lines_to_text(turns, "conv_id", "turn", "line")
 
 
+def redacted_units(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with every line redacted by itself before they are joined."""
+    turns = table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "concat(role, ': ', text) AS line"
+    )
+    return lines_to_text(redact(turns, "line"), "conv_id", "turn", "line")
+
+
 def sheets_to_text(spark: SparkSession, sf: str) -> DataFrame:
     """Forty conversations each as the sheets of one workbook, rows numbered with gaps."""
     rows = table(spark, sf, "conversations").selectExpr(
@@ -213,6 +222,7 @@ def report_names(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "file_routing": file_routing,
     "units_to_text": units_to_text,
+    "redacted_units": redacted_units,
     "sheets_to_text": sheets_to_text,
     "table_lines": table_lines,
     "empty_gate": empty_gate,
@@ -312,6 +322,9 @@ ORACLES = {
     " FROM files GROUP BY ALL",
     "units_to_text": "SELECT conv_id, string_agg(role || ': ' || text || chr(10), ''"
     " ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
+    "redacted_units": "SELECT conv_id, string_agg(line || chr(10), '' ORDER BY turn) AS text FROM"
+    f" (SELECT conv_id, turn, {oracle.cascade('line', True, True)} AS line FROM"
+    " (SELECT conv_id, turn, role || ': ' || text AS line FROM conversations)) GROUP BY conv_id",
     "sheets_to_text": "SELECT file, string_agg(sheet, '' ORDER BY conv_id) AS text"
     " FROM (SELECT conv_id // 40 AS file, conv_id,"
     " '--- Sheet: conv ' || conv_id || ' ---' || chr(10) || string_agg(role || chr(9) || text ||"

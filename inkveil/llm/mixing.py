@@ -37,6 +37,8 @@ from inkveil.llm.common import table, written
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
 BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS, SEED = 32, 4096, 1024, 11
+#: Beyond so many sources their lines are not broadcast by force.
+BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -163,9 +165,10 @@ def mixed(
     """``sized`` (uid, doc_id, source, size) with source_size, target and taken."""
     spark = sized.sparkSession
     sources = sources_of(sized, weights, block_words)
-    lines = [(i, s.name, s.size, s.target) for i, s in enumerate(sources)]
-    known = spark.createDataFrame(lines, "source_at int, name string, source_size long, target double")
-    rows = sized.join(F.broadcast(known), sized["source"].eqNullSafe(known["name"])).drop("name")
+    known_lines = [(i, s.name, s.size, s.target) for i, s in enumerate(sources)]
+    known = spark.createDataFrame(known_lines, "source_at int, name string, source_size long, target double")
+    narrow = F.broadcast(known) if len(sources) <= BROADCAST_SOURCES else known
+    rows = sized.join(narrow, sized["source"].eqNullSafe(known["name"])).drop("name")
     shards = max(1, math.ceil(sum(s.slots for s in sources) / shard_slots))
     counts = spark.range(shards).mapInPandas(_drawn(sources, shards, seed), "shard long, source_at int, n long")
     before = Window.partitionBy("source_at").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

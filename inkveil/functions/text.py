@@ -34,6 +34,25 @@ def all_digits(text: Sql, up_to: int) -> Sql:
     return matches(text, rf"\A[{ANY_DIGIT}]{{1,{up_to}}}\z")
 
 
+# Characters of a text that are found together.
+_CHUNK = 1024
+
+
+def chunks(text: Sql) -> Sql:
+    """The text in pieces, for many cuts out of it: a place in a string is found by counting."""
+    return (
+        f"transform(sequence(0L, char_length({text}) DIV {_CHUNK}),"
+        f" i -> substring({text}, int(i * {_CHUNK}) + 1, {_CHUNK}))"
+    )
+
+
+def cut(pieces: Sql, first: Sql, last: Sql) -> Sql:
+    """From character ``first`` (from 0) to before ``last`` of a text in ``chunks``."""
+    begin, end = f"(({first}) DIV {_CHUNK})", f"(({last}) DIV {_CHUNK})"
+    joined = f"array_join(slice({pieces}, int({begin}) + 1, int({end} - {begin}) + 1), '')"
+    return f"substring({joined}, int(({first}) % {_CHUNK}) + 1, int(({last}) - ({first})))"
+
+
 def around_matches(text: Sql, pattern: str, least: int, window: int = 50) -> Sql:
     """Array of struct(match, context): each match with ``window`` characters on either side.
 

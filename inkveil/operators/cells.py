@@ -39,10 +39,32 @@ def redact_cells(
     worded = [c for c in targets if c not in plain]
     if plain:
         shapes = rules.without_letters()
-        as_text = redact(as_text, plain, shapes, [p for p in phases if p in PATTERN_PHASES], log)
+        own = [p for p in phases if p in PATTERN_PHASES]
+        packed = len(plain) > 1 and not log and rules.patterns == DEFAULT_RULES.patterns
+        if packed:
+            as_text = _packed(as_text, plain, shapes, own)
+        else:
+            as_text = redact(as_text, plain, shapes, own, log)
     return redact(as_text, worded, rules, phases, log) if worded else as_text
 
 
+def _packed(
+    df: DataFrame, columns: Sequence[str], rules: RuleSet, phases: Sequence[str]
+) -> DataFrame:
+    """Redact cells without letters as one text.
+
+    They are kept apart by a character that no built-in rule takes and that ends
+    a word as the end of a text does; and no rule matches less than six of their
+    characters, so the length of a cell plays no part.
+    """
+    apart, null, cells = "\x02", "\x03", "__cells"
+    text = F.concat_ws(apart, *(F.coalesce(F.col(name(c)), F.lit(null)) for c in columns))
+    done = redact(df.withColumn(cells, text), cells, rules, phases)
+    parts = F.split(cells, apart, -1)
+    value = {c: F.nullif(parts[i], F.lit(null)).alias(c) for i, c in enumerate(columns)}
+    return done.select(*(value.get(c, F.col(name(c))) for c in df.columns))
+
+
 def rows_to_lines(df: DataFrame, keys: Sequence[str], separator: str = "\t") -> DataFrame:
     """Each row of a table as one line of text, nulls as empty cells."""
     cells = [

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.sql import Sql, any_of, let, name, string, strings
-from inkveil.functions.text import all_digits
+from inkveil.functions.text import all_digits, chunks
+from inkveil.functions.text import cut as part
 from inkveil.operators.redact import EMPTY_LOG, ENTITY, log_entry, redact
 from inkveil.operators.verdict import whitelisted
 from inkveil.rules import DEFAULT_RULES, RuleSet
@@ -137,14 +138,15 @@ def _spliced(df: DataFrame, columns: Sequence[str], column: str, log: bool) -> D
     )
     placed = df.withColumn("__places", F.expr(let("length", f"char_length({text})", chosen)))
     every = "if(size(__spans) > 0, sequence(0, size(__spans) - 1), CAST(array() AS array<int>))"
-    cut = placed.selectExpr(
+    chosen_spans = placed.selectExpr(
         *map(name, columns),
         "transform(__places, n -> __spans[n]) AS __kept",
         f"transform(array_except({every}, __places), n -> __spans[n]) AS __rejected",
+        f"if(size(__places) > 0, {chunks(text)}, null) AS __chunks",
     )
 
     def between(first: Sql, last: Sql) -> Sql:
-        return f"substring({text}, int({first}) + 1, int({last} - ({first})))"
+        return part("__chunks", first, last)
 
     gap = between("if(n = 0, 0, -__kept[n - 1].back)", "s.first")
     tail = between("-element_at(__kept, -1).back", f"char_length({text})")
@@ -161,7 +163,7 @@ def _spliced(df: DataFrame, columns: Sequence[str], column: str, log: bool) -> D
         original = between("s.first", "-s.back")
         entry = log_entry(ENTITY, "0", "s.tag", original, "concat('NER: ', s.label)")
         outputs.append(f"if({some}, transform(__kept, s -> {entry}), {EMPTY_LOG}) AS entity_log")
-    return cut.selectExpr(*outputs)
+    return chosen_spans.selectExpr(*outputs)
 
 
 def redact_with_entities(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.sql import let
+from inkveil.functions.text import chunks, cut
 from inkveil.operators.cells import redact_cells
 from inkveil.operators.entities import redact_entity_arrays, redact_with_entity_arrays
 from inkveil.operators.redact import PATTERN_PHASES, merge_tags, redact
@@ -109,14 +110,15 @@ _LABELS = ("PERSON", "ORG", "GPE", "LOC", "DATE", "MONEY", "CARDINAL", "FAC", "P
 def tagged(texts: DataFrame) -> DataFrame:
     """Made-up entity spans beside (doc_id, text), as many as the text has room for."""
     labels = ", ".join(f"'{label}'" for label in _LABELS)
-    start, size = "k * 40 + doc_id % 20", "2 + k % 7"
+    start, width = "k * 40 + doc_id % 20", "2 + k % 7"
     span = (
-        f"named_struct('start_char', {start}, 'end_char', {start} + {size},"
+        f"named_struct('start_char', {start}, 'end_char', {start} + {width},"
         f" 'label', array({labels})[int((k + doc_id) % {len(_LABELS)})],"
-        f" 'text', substring(text, int({start}) + 1, int({size})))"
+        f" 'text', {cut('pieces', start, f'{start} + {width}')})"
     )
-    spans = f"transform(sequence(0L, bigint(char_length(text) DIV 40)), k -> {span})"
-    return texts.withColumn("spans", F.expr(f"filter({spans}, s -> s.end_char <= char_length(text))"))
+    places = f"filter(sequence(0L, size DIV 40), k -> {start} + {width} <= size)"
+    spans = let("pieces", chunks("text"), f"transform({places}, k -> {span})")
+    return texts.withColumn("spans", F.expr(let("size", "char_length(text)", spans)))
 
 
 def spans_of(texts: DataFrame) -> DataFrame:

@@ -214,6 +214,20 @@ def test_numbers_need_no_rules_with_letters(spark):
     assert rows(few) == rows(redact(numbers, "t", phases=("pattern",)))
 
 
+def test_packed_cells_equal_single_ones(spark):
+    draw = random.Random(5)
+    def number():
+        return draw.choice([None, draw.randrange(10**draw.randrange(1, 18)), -draw.randrange(10**12)])
+    made = [(number(), number(), number(), "x") for _ in range(3000)]
+    cells = spark.createDataFrame(made, "a long, b long, c long, t string").withColumn("d", F.expr("date_add('2024-01-01', cast(coalesce(a, 1) % 900 as int))"))
+    together = redact_cells(cells).collect()
+    for column in "abcd":
+        alone = redact_cells(cells.select(column)).collect()
+        assert [r[column] for r in together] == [r[column] for r in alone]
+    texts = cells.select(*(F.col(c).cast("string").alias(c) for c in "abcd"))
+    assert [r["a"] for r in redact(texts, list("abcd")).collect()] == [r["a"] for r in together]
+
+
 def test_latest_report_does_not_depend_on_partitions(spark):
     made = [(f"a.{k % 2}", "2025-01-01 00:00:00" if k % 3 else None, f"s{k % 5}", None) for k in range(60)]
     schema = "source_file_name string, analysis_timestamp string, document_summary string, error string"

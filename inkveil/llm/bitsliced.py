@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import table
+from inkveil.llm.common import small_batches, table
 from inkveil.llm.vectors import best, gathered, usable, widened
 
 SCALE, K, QUERY_EVERY = 64, 20, 20
@@ -229,11 +229,11 @@ def search(
     blocks = max(1, -(-vectors.count() // block_rows))
     parts = max(1, -(-queries.count() // query_rows))
     lots = min(blocks, max(1, -(-4 * spark.sparkContext.defaultParallelism // parts)))
-    index = vectors.repartition(blocks).mapInArrow(_indexed(scale), _BLOCK)
+    index = vectors.repartition(blocks).transform(small_batches).mapInArrow(_indexed(scale), _BLOCK)
     index = index.withColumn("lot", F.col("block") % lots).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = queries.repartition(parts).mapInArrow(_packed_queries(scale), _QUERIES)
+    asked = queries.repartition(parts).transform(small_batches).mapInArrow(_packed_queries(scale), _QUERIES)
     asked = asked.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
-    found = index.join(asked, ["part", "lot"]).mapInArrow(_searched(k), _FOUND)
+    found = index.join(asked, ["part", "lot"]).transform(small_batches).mapInArrow(_searched(k), _FOUND)
     order = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from inkveil.llm.common import table, text_rows
+from inkveil.llm.common import small_batches, table, text_rows
 
 NONE = np.int32(2**31 - 1)
 _SHIFT = 21
@@ -308,7 +308,7 @@ def _mapped(docs, vocabulary, keys, text, fields, each) -> DataFrame:
             columns = each(texts, list(encoder.encode(texts)))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(last)), *columns], names=names)
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.transform(small_batches).mapInArrow(run, schema)
 
 
 def encoding_of_documents(spark: SparkSession, directory: str, path: str | None = None) -> DataFrame:

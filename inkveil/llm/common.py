@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that are Python strings at one time (one row at least); the Arrow batch itself is bounded by the session.
+#: Bytes of rows that go to Python at one time.
+BATCH = "4m"
+#: Bytes of text that are Python strings at one time (one row at least).
 BYTES_AT_ONCE = 1_000_000
 
 
@@ -25,6 +27,16 @@ def fold(column: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % parts, F.lit(0))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose rows go to Python in batches of a few megabytes.
+
+    Spark's own bound, 64 MB a batch, costs an executor several times that in
+    buffers; it is an option of the session, and is set there.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def by_size(batch: pa.RecordBatch, column: int, most: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about so many bytes of text, one row at least."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -70,7 +82,7 @@ def map_texts(
             arrays += [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.transform(small_batches).mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

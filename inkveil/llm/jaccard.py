@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import all_of, table, text_rows, written
+from inkveil.llm.common import all_of, small_batches, table, text_rows, written
 from inkveil.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -233,7 +233,7 @@ def surveyed(docs: DataFrame, text: str, words: int, percent: int) -> Plan:
     def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind), pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "kind int, key long, n long")
+    found = docs.select(F.col(text).alias("text")).transform(small_batches).mapInArrow(run, "kind int, key long, n long")
     found = written(found.groupBy("kind", "key").agg(F.sum("n").alias("n")), "survey")
     top = found.filter(f"kind = 0 AND n >= {COMMON_FROM}").orderBy(F.desc("n"), "key").limit(COMMON).select("key", "n").toPandas()
     common = top["key"].to_numpy(np.int64).view(np.uint64)
@@ -422,8 +422,8 @@ def _large_links(docs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     # A node's text is that of a document with its id and its set.
     same = [F.col(f"d.{k}") == F.col(f"p.{k}") for k in ("n", "h1", "h2")]
     texts = _summed(docs, plan).alias("d").join(placed.alias("p"), all_of([*same, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))]))
-    rows = texts.select("p.node", "p.cells", "d.text").filter(F.size("cells") > 0).mapInArrow(_elements(plan), "cell string, node long, elements binary")
-    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_compared(plan.percent), "a long, b long")
+    rows = texts.select("p.node", "p.cells", "d.text").filter(F.size("cells") > 0).transform(small_batches).mapInArrow(_elements(plan), "cell string, node long, elements binary")
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").transform(small_batches).mapInArrow(_compared(plan.percent), "a long, b long")
 
 
 def _summed(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -438,7 +438,7 @@ def _summed(docs: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n", "h1", "h2"])
 
     fields = [T.StructField("n", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    return docs.transform(small_batches).mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def _elements(plan: Plan):
@@ -461,7 +461,7 @@ def _joined(docs: DataFrame, words: int, percent: int) -> tuple[Plan, DataFrame,
     """The plan; doc_id, n, h1, h2 of every row; and the different sets (h1, h2, n, node, least id) with their root, null where nothing is linked."""
     plan = surveyed(docs, "text", words, percent)
     run, schema = _described(plan, docs.schema["doc_id"].dataType)
-    rows = written(docs.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    rows = written(docs.transform(small_batches).mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "rows")
     some = rows.filter("n > 0")
     classes = written(some.groupBy("h1", "h2", "n").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = some.withColumnRenamed("uid", "node").join(classes.select("node"), "node", "left_semi")

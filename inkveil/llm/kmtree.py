@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import table, written
+from inkveil.llm.common import small_batches, table, written
 from inkveil.llm.vectors import best, gathered, matrix, usable, widened
 
 K, QUERY_EVERY = 10, 100
@@ -144,7 +144,7 @@ def routed(vectors: DataFrame, tree: Tree) -> DataFrame:
             leaf = tree.route(matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf, pa.int32())], names=["id", "x", "leaf"])
 
-    return vectors.mapInArrow(run, "id long, x array<double>, leaf int")
+    return vectors.transform(small_batches).mapInArrow(run, "id long, x array<double>, leaf int")
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def true_neighbours(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: in
             names=["q", "vec_id", "leaf", "score"],
         )
 
-    found = rows.mapInArrow(run, "q int, vec_id long, leaf int, score double")
+    found = rows.transform(small_batches).mapInArrow(run, "q int, vec_id long, leaf int, score double")
     order = Window.partitionBy("q").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -310,14 +310,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
     for r in rows.groupBy("leaf").count().collect():  # one row per leaf of the bounded tree
         counts[r["leaf"]] = r["count"]
     first, number = cells_of(counts, cell_rows)
-    cells = rows.mapInArrow(_dealt(first, number), "id long, x array<double>, leaf int, cell long")
+    cells = rows.transform(small_batches).mapInArrow(_dealt(first, number), "id long, x array<double>, leaf int, cell long")
     cells = cells.groupBy("cell").applyInArrow(_cell, "cell long, width int, ids binary, leaves binary, values binary")
     parts = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = queries.repartition(parts).mapInArrow(
+    asked = queries.repartition(parts).transform(small_batches).mapInArrow(
         _asked(tree, visits, first, number),
         "cell long, q_width int, uids binary, q_ids binary, q_values binary, visit_leaf binary, visit_q binary",
     )
-    found = cells.join(asked, "cell").mapInArrow(_visited(k), "uid long, query_id long, vec_id long, score double")
+    found = cells.join(asked, "cell").transform(small_batches).mapInArrow(_visited(k), "uid long, query_id long, vec_id long, score double")
     order = Window.partitionBy("uid").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.common import fold, table, text_rows
+from inkveil.llm.common import fold, small_batches, table, text_rows
 
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -245,7 +245,7 @@ def learn(
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     model = None
     for _ in range(rounds):
-        sums = rows.mapInArrow(_expected(pieces, model), "lang string, piece int, n double")
+        sums = rows.transform(small_batches).mapInArrow(_expected(pieces, model), "lang string, piece int, n double")
         got = sums.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         counts = got[got["piece"] >= 0]
         documents = got[got["piece"] < 0].set_index("lang")["n"]
@@ -336,7 +336,7 @@ def identified(docs: DataFrame, model: Model, pieces: Pieces, keys: list[str], t
                 [*(batch.column(i) for i in range(last)), pa.array(predicted, pa.string()), pa.array(scores, pa.float64())], names=names
             )
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.transform(small_batches).mapInArrow(run, schema)
 
 
 def languages_of_documents(spark: SparkSession, directory: str, path: str | None = None) -> DataFrame:

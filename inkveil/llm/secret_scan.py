@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.common import map_texts, table, text_rows
+from inkveil.llm.common import map_texts, small_batches, table, text_rows
 
 # The patterns of the base kinds, in the order of the kinds.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -170,7 +170,7 @@ def learn_cuts(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["encoding", "length", "bin", "token"])
 
-    seen = docs.select(F.col(text).alias("text")).mapInArrow(run, "encoding string, length int, bin int, token long").distinct()
+    seen = docs.select(F.col(text).alias("text")).transform(small_batches).mapInArrow(run, "encoding string, length int, bin int, token long").distinct()
     out: dict[tuple[str, int], np.ndarray] = {}
     for r in seen.groupBy("encoding", "length", "bin").count().collect():
         out.setdefault((r["encoding"], r["length"]), np.zeros(BINS))[r["bin"]] = r["count"]

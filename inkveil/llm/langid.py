@@ -45,8 +45,10 @@ _RESCALE = 16
 
 _BASE, _SLOT = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _BITS = 18
-#: Characters of equally long words that are worked on together; words up to this length need no logarithms.
+#: Characters of equally long words that are worked on together; longer words than this are learned from in logarithms.
 _TOGETHER, _PLAIN = 65_536, 24
+#: Sums whose logarithm may fall below this are taken in logarithms: far from a double's least, so that nothing that counts is lost.
+_SMALL = -500.0
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -120,14 +122,20 @@ class Lattice:
         self.pieces, self.columns, self.start = pieces, probability.shape[1], start
         self.rare: dict[int, int] = {}  # code points that are no piece
         self.table = np.vstack((probability, np.zeros((1, self.columns))))  # the last row: no such piece
+        with np.errstate(divide="ignore"):
+            self.logs = np.log(self.table)
+        self.low = self.logs.min(1, initial=0.0)
 
     def _rare(self, code: int) -> int:
         """The number of a character that is no piece: its bytes' probabilities multiplied."""
         found = self.rare.get(code)
         if found is None:
-            row = self.table[[self.pieces.of_byte[b] for b in chr(code).encode("utf-8", "surrogatepass")]].prod(0)
+            at = [self.pieces.of_byte[b] for b in chr(code).encode("utf-8", "surrogatepass")]
+            logs = self.logs[at].sum(0)
             self.rare[code] = found = self.pieces.size + len(self.rare)
-            self.table = np.vstack((self.table[:-1], row, self.table[-1:]))
+            self.table = np.vstack((self.table[:-1], self.table[at].prod(0), self.table[-1:]))
+            self.logs = np.vstack((self.logs[:-1], logs, self.logs[-1:]))
+            self.low = np.concatenate((self.low[:-1], [logs.min(initial=0.0)], self.low[-1:]))
         return found
 
     def edges(self, words: list[str]) -> list[np.ndarray]:
@@ -150,9 +158,30 @@ class Lattice:
         """(words, columns)."""
         out = np.empty((len(words), self.columns))
         for rows, same in _by_length(words):
-            out[rows] = self._forward(self.edges(same))
+            edges = self.edges(same)
+            small = self._small(edges, self.low, self.pieces.longest + _RESCALE)
+            for some, forward in ((~small, self._forward), (small, self._forward_logs)):
+                if some.all():
+                    out[rows] = forward(edges)
+                elif some.any():
+                    out[rows[some]] = forward([e[some] for e in edges])
         return out
 
+    def _small(self, edges: list[np.ndarray], low: np.ndarray, reach: int) -> np.ndarray:
+        """Which words have ``reach`` characters in a row that, one by one, are too unlikely for plain sums."""
+        along = low[edges[0]].cumsum(1)
+        along = np.hstack((np.zeros((len(along), 1)), along))
+        reach = min(reach, along.shape[1] - 1)
+        return ~((along[:, reach:] - along[:, : along.shape[1] - reach]).min(1) >= _SMALL)
+
+    def _forward_logs(self, edges: list[np.ndarray]) -> np.ndarray:
+        words, n = edges[0].shape
+        sums = [np.zeros((words, self.columns))]
+        for end in range(1, n + 1):
+            parts = [sums[end - k - 1] + self.logs[edges[k][:, end - k - 1]] for k in range(min(end, len(edges)))]
+            sums.append(np.logaddexp.reduce(parts))
+        return sums[n]
+
     def _forward(self, edges: list[np.ndarray]) -> np.ndarray:
         weight = [self.table[e] for e in edges]
         words, n = edges[0].shape
@@ -183,16 +212,20 @@ class Lattice:
             edges = self.edges(same)
             for first in range(self.columns):
                 every = slice(None) if self.columns == 1 else slice(first, first + 1)
-                self._add(out[:, every], edges, first, counts[rows][:, every])
+                n = edges[0].shape[1]
+                small = self._small(edges, self.logs[:, first], n) if n <= _PLAIN else np.ones(len(rows), bool)
+                for some, plain in ((~small, True), (small, False)):
+                    if some.all():
+                        self._add(out[:, every], edges, first, counts[rows][:, every], plain)
+                    elif some.any():
+                        self._add(out[:, every], [e[some] for e in edges], first, counts[rows[some]][:, every], plain)
         return out
 
-    def _add(self, out: np.ndarray, edges: list[np.ndarray], column: int, counts: np.ndarray) -> None:
-        """Forward and backward sums; long words in logarithms."""
+    def _add(self, out: np.ndarray, edges: list[np.ndarray], column: int, counts: np.ndarray, plain: bool) -> None:
+        """Forward and backward sums, plain or in logarithms."""
         words, n = edges[0].shape
-        plain = n <= _PLAIN
         plus, times = (np.add, np.multiply) if plain else (np.logaddexp, np.add)
-        with np.errstate(divide="ignore"):
-            weight = [self.table[e, column] if plain else np.log(self.table[e, column]) for e in edges]
+        weight = [(self.table if plain else self.logs)[e, column] for e in edges]
         one = np.full(words, 1.0 if plain else 0.0)
         ahead, behind = [one], {n: one}
         for end in range(1, n + 1):

@@ -93,3 +93,27 @@ def test_odd_rows(spark):
     nothing = learn(docs.filter("id = 5"), pieces)
     assert {(r.lang_pred, r.score) for r in identified(docs, nothing, pieces, ["id"]).collect()} == {("und", 0.0)}
     assert identified(docs.filter("id < 0"), model, pieces, ["id"]).count() == 0
+
+
+def test_characters_that_are_no_piece_do_not_underflow(small):
+    p = np.full((262, 2), 1e-11)
+    for n in (5, 18, 23, 60):
+        word = "\U0001d41a" * n
+        value = Lattice(small, p, "").log_probability([word, "c" * n])
+        assert np.allclose(value[0], 4 * n * np.log(1e-11)) and np.allclose(value[1], n * np.log(1e-11))
+        counts = Lattice(small, p, "").expected([word, "c" * n], np.array([[1.0, 2.0], [1.0, 0.0]]))
+        assert np.allclose(counts.sum(0), [5 * n, 8 * n]) and np.allclose(counts[NUMBERS["c"]], [n, 0])
+
+
+def test_odd_letters_in_one_training_text(spark):
+    pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    odd = "\U0001d41a" * 20
+    rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "the dog " + odd, "en"),
+            (4, "the dog", None), (5, "die Katze", None), (6, "\U00010480" * 40, None)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    for rounds in (1, 2):
+        model = learn(docs.coalesce(1), pieces, rounds=rounds)
+        assert np.isfinite(model.probability).all() and np.allclose(model.probability.sum(0), 1)
+        got = {r.id: r for r in identified(docs, model, pieces, ["id"]).collect()}
+        assert got[4].lang_pred == "en" and got[5].lang_pred == "de"
+        assert all(np.isfinite(r.score) and 0 < r.score <= 1 for r in got.values())

@@ -9,12 +9,13 @@ What the patterns find are seeds.  The word before an identifier is a lexical
 pattern.  A pattern's confidence is the share of its occurrences that the
 scores of the identifiers behind it account for; an identifier's score is 1 for
 a seed, else the chance that one of its patterns is right.  Both are worked out
-by turns over the graph of patterns and identifiers.  Patterns that are sure
-enough and stand before enough different seeds discover the identifiers behind
+by turns over the graph of patterns and identifiers; in each round every
+pattern takes part that stands before an identifier believed so far.  Patterns
+that are sure enough and stand before enough different identifiers that are
+seeds, or believed for other patterns' sake, discover the identifiers behind
 them that no pattern of the base knows.
 
-A pattern's occurrences are counted in the texts that hold a possible
-identifier; others can neither support nor use it.
+A pattern's occurrences are counted over the words of all documents.
 
 The patterns are written without loops that Java runs by recursion and without
 starts in the middle of a run, so that time follows a text's length.  They
@@ -57,7 +58,7 @@ _EDGES = r"^[\"'(\[<{]++|[\"')\]>},;:.!?]++$"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"\A{_BYTE}(?:\.{_BYTE}){{3}}\z"
 
-#: Rounds over the graph; the confidence and the different seeds of a pattern that may discover;
+#: Rounds over the graph; the confidence and the different known identifiers of a pattern that may discover;
 #: the fewest digits and characters of what it discovers; characters before a word that are looked at.
 ROUNDS, SURE, SEEDS, DIGITS, LENGTH, REACH = 3, 0.5, 5, 2, 4, 64
 
@@ -87,8 +88,7 @@ def gathered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One written row per document: uid, id, and what the scan finds."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = {k: _matches(F.col("t"), p, F.col("t").contains(_NEEDS[k]) if k in _NEEDS else F.lit(True)) for k, p in _LINEAR.items()}
-    words = F.when(F.col("t").rlike("[0-9@]"), F.array_remove(F.split(F.lower("t"), r"\s++"), ""))
-    rows = rows.select("doc_id", *(c.alias(k) for k, c in found.items()), _tokens(F.col("t")).alias("token"), words.alias("words"))
+    rows = rows.select("doc_id", *(c.alias(k) for k, c in found.items()), _tokens(F.col("t")).alias("token"))
     return written(rows.withColumn("uid", F.monotonically_increasing_id()), "found")
 
 
@@ -140,28 +140,36 @@ def candidates(rows: DataFrame, base: DataFrame) -> DataFrame:
     return both.withColumn("seed", seed).filter(~is_base)
 
 
-def confidences(found: DataFrame, rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, confidence and seeds (how many different ones stand behind it)."""
-    edges = found.filter("pattern <> ''").groupBy("pattern", "identifier").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    # Seeds' patterns only: no other one can gain confidence first.
-    usable = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("seeds")).filter(F.col("seeds") > 0)
-    total = rows.select(F.explode("words").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
-    usable = written(usable.join(total, "pattern"), "patterns")
-    edges = written(edges.join(usable.select("pattern"), "pattern", "left_semi"), "edges")
-    scores = edges.select("identifier", F.col("seed").cast("double").alias("score")).groupBy("identifier").agg(F.max("score").alias("score"))
+def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
+    """pattern and total: how often each word is in all documents."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"\s++")).alias("pattern"))
+    return words.filter("pattern <> ''").groupBy("pattern").agg(F.count("*").alias("total"))
+
+
+def confidences(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
+    """pattern, confidence and known (how many different identifiers behind it are seeds or sure without it)."""
+    edges = written(found.filter("pattern <> ''").groupBy("pattern", "identifier").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
+    # No semi-join: the optimizer would push it below the counting, and shuffle every word.
+    totals = written(totals.join(edges.select("pattern").distinct(), "pattern"), "patterns")
+    # Identifiers that are not believed at all are not listed.  ``doubts``: the logarithm of the chance that no pattern is right.
+    scores = edges.filter("seed").select("identifier").distinct().select("identifier", F.lit(True).alias("seen"), F.lit(0.0).alias("doubts"))
+    score = F.when(F.col("seen"), 1.0).otherwise(1 - F.exp("doubts"))
     for _ in range(rounds):
-        believed = edges.join(scores, "identifier").groupBy("pattern").agg(F.sum(F.col("n") * F.col("score")).alias("believed"))
-        patterns = usable.join(believed, "pattern").withColumn("confidence", F.least(F.lit(1.0), F.col("believed") / F.col("total"))).drop("believed")
-        doubt = F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))
-        scores = edges.join(patterns.select("pattern", "confidence"), "pattern").groupBy("identifier").agg(
-            F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(F.sum(doubt))).alias("score")
-        )
-    return patterns.select("pattern", "confidence", "seeds")
+        believed = edges.select("pattern", "identifier", "n").join(scores, "identifier").groupBy("pattern").agg(F.sum(F.col("n") * score).alias("believed"))
+        patterns = totals.join(believed, "pattern").select("pattern", F.least(F.lit(1.0), F.col("believed") / F.col("total")).alias("confidence"))
+        patterns = written(patterns.withColumn("doubt", F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))), "confidences")
+        scores = edges.join(patterns, "pattern").groupBy("identifier").agg(F.max("seed").alias("seen"), F.sum("doubt").alias("doubts"))
+        scores = written(scores, "scores")
+    # A pattern's own belief in an identifier does not count for it.
+    others = F.col("seen") | (1 - F.exp(F.col("doubts") - F.col("doubt")) >= sure)
+    met = edges.select("pattern", "identifier").join(patterns, "pattern").join(scores, "identifier")
+    known = met.groupBy("pattern").agg(F.first("confidence").alias("confidence"), F.sum(others.cast("int")).alias("known"))
+    return known.select("pattern", "confidence", "known")
 
 
 def discovered(found: DataFrame, patterns: DataFrame, sure: float = SURE, seeds: int = SEEDS) -> DataFrame:
     """uid, start, kind, end of the unseen identifiers behind patterns that are sure."""
-    chosen = patterns.filter((F.col("confidence") >= sure) & (F.col("seeds") >= seeds)).select("pattern")
+    chosen = patterns.filter((F.col("confidence") >= sure) & (F.col("known") >= seeds)).select("pattern")
     likely = (F.length(F.regexp_replace("identifier", "[^0-9]", "")) >= DIGITS) | F.col("identifier").contains("@")
     new = found.filter(~F.col("seed") & likely & (F.length("identifier") >= LENGTH))
     return new.join(chosen, "pattern", "left_semi").select("uid", "start", F.lit(4).alias("kind"), "end")
@@ -172,7 +180,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     rows = gathered(docs, key, text)
     base = written(base_spans(rows), "base")
     found = written(candidates(rows, base), "candidates")
-    every = base.unionAll(discovered(found, confidences(found, rows)))
+    every = base.unionAll(discovered(found, confidences(found, occurrences(docs, text))))
     spans = every.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end")))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return rows.select("uid", "doc_id").join(spans, "uid", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))

@@ -84,3 +84,35 @@ def test_long_and_odd_texts(spark):
         assert base(r) == (cases[r.doc_id][1] if r.doc_id is not None else [(0, 0, 11)])
     assert len(got) == len(rows)
     assert scanned(docs.filter("doc_id < 0")).count() == 0
+
+
+def discovered_in(spark, rows):
+    texts = dict(rows)
+    got = scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == 4] for r in got}
+
+
+MEMBERS = [(i, f"please write to member: u{i}x@mail.example.org soon") for i in range(20)]
+
+
+def test_discovery_goes_on_behind_discovered_identifiers(spark):
+    known = [f"Q77{i:03}-Z" for i in range(12)]
+    rows = MEMBERS + [(100 + i, f"please write to member: {q} soon") for i, q in enumerate(known)]
+    rows += [(200 + i, f"our account {q} here") for i, q in enumerate(known)]
+    rows += [(300 + i, f"our account Q99{i:03}-Z here") for i in range(4)]
+    got = discovered_in(spark, rows)
+    assert all(got[100 + i] == got[200 + i] == [q] for i, q in enumerate(known))
+    assert all(got[300 + i] == [f"Q99{i:03}-Z"] for i in range(4))
+
+
+def test_occurrences_count_in_all_documents(spark):
+    rows = MEMBERS + [(100 + i, f"please write to member: Q77{i:03}-Z soon") for i in range(8)]
+    assert all(discovered_in(spark, rows)[100 + i] for i in range(8))
+    rows += [(200 + i, "every member: of the club") for i in range(200)]
+    assert not any(discovered_in(spark, rows).values())
+
+
+def test_a_pattern_does_not_vouch_for_itself(spark):
+    rows = [(i, "please write to member: me@mail.example.org soon") for i in range(50)]
+    rows += [(100 + i, f"please write to member: Q77{i:03}-Z soon") for i in range(40)]
+    assert not any(discovered_in(spark, rows).values())

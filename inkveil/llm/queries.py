@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced, jaccard, kmtree, langid, licenses, mixing, pii, secret_scan
+from inkveil.llm import bitsliced, divergence, jaccard, kmtree, langid, licenses, mixing, pii, secret_scan
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
@@ -17,10 +17,12 @@ QUERIES = {
     "op8_bpe": encoding_of_documents,
     "op9_jaccard": jaccard.components_of_documents,
     "op10_pii": pii.private_data_of_documents,
+    "op11_divergence": divergence.divergence_of_documents,
 }
 
 ORACLES: dict[str, str] = {
     "op2_topk": bitsliced.ORACLE,
     "op3_licenses": licenses.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
+    "op11_divergence": divergence.ORACLE,
 }

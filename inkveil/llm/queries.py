@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced, divergence, jaccard, kmtree, langid, licenses, mixing, pii, secret_scan
+from inkveil.llm import bitsliced, divergence, jaccard, kmtree, langid, licenses, mixing, pii, repair, secret_scan
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_jaccard": jaccard.components_of_documents,
     "op10_pii": pii.private_data_of_documents,
     "op11_divergence": divergence.divergence_of_documents,
+    "op12_repair": repair.repair_of_conversations,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op3_licenses": licenses.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
     "op11_divergence": divergence.ORACLE,
+    "op12_repair": repair.ORACLE,
 }

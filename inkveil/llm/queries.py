@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm import bitsliced, divergence, jaccard, kmtree, langid, licenses, mixing, pii, repair, secret_scan
+from inkveil.llm import bitsliced, divergence, formatting, jaccard, kmtree, langid, licenses, mixing, pii, repair, secret_scan
 from inkveil.llm.bpe import encoding_of_documents
 from inkveil.llm.quality import quality_of_documents
 
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_pii": pii.private_data_of_documents,
     "op11_divergence": divergence.divergence_of_documents,
     "op12_repair": repair.repair_of_conversations,
+    "op13_formatting": formatting.formats_of_conversations,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op9_jaccard": jaccard.ORACLE,
     "op11_divergence": divergence.ORACLE,
     "op12_repair": repair.ORACLE,
+    "op13_formatting": formatting.ORACLE,
 }

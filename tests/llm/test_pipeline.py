@@ -101,5 +101,5 @@ def test_odd_documents(spark, tmp_path):
 
 def test_registered():
     assert set(registered.QUERIES) | {"pipeline"} <= set(queries())
-    assert {n.split("_")[0] for n in registered.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in registered.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(registered.ORACLES) <= set(oracle_sql())

@@ -22,6 +22,19 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column has it (case aside)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def fold(column: Column, parts: int) -> Column:
     """crc32 of a key's text modulo ``parts``; a null key is in fold 0."""
     return F.coalesce(F.crc32(column.cast("string")) % parts, F.lit(0))
@@ -67,22 +80,23 @@ def map_texts(
     ``work`` is called once per task and returns a function from a list of
     texts to one list per new field.
     """
-    chosen = df.select(*keys, F.col(text).alias("__text"))
-    kept = [f for f in chosen.schema.fields if f.name != "__text"]
-    schema = T.StructType([*kept, *fields])
+    # Columns go by place, as mapInArrow does not take all names.
+    own = [f"key_{i}" for i in range(len(keys))]
+    chosen = df.select(*(named(k).alias(o) for k, o in zip(keys, own, strict=True)), named(text).alias("text"))
+    schema = T.StructType([*chosen.schema.fields[:-1], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         each = work()
-        for batch in text_rows(batches, len(kept)):
-            columns = each(batch.column(len(kept)).to_pylist())
-            arrays = [batch.column(i) for i in range(len(kept))]
+        for batch in text_rows(batches, len(own)):
+            columns = each(batch.column(len(own)).to_pylist())
+            arrays = [batch.column(i) for i in range(len(own))]
             arrays += [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return chosen.transform(small_batches).mapInArrow(run, schema)
+    return chosen.transform(small_batches).mapInArrow(run, schema).toDF(*keys, *(f.name for f in fields))
 
 
 def shared_folder(spark: SparkSession) -> str:

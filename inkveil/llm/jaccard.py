@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import all_of, small_batches, table, text_rows, written
+from inkveil.llm.common import all_of, named, small_batches, table, text_rows, written
 from inkveil.llm.components import components
 
 WORDS, PERCENT = 3, 90
@@ -493,12 +493,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     first = sets.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("least", "node", "n", "h1", "h2")).alias("x"))
     name = F.coalesce(F.col("__id").cast("string"), F.lit("null"))
     first = first.select("x.n", "x.h1", "x.h2", F.col("x.least").alias("__id")).withColumn("__id", name).withColumn("__first", F.lit(True))
-    held = docs.select("doc_id", "text", F.struct(*names).alias("__row"))
+    held = docs.select("doc_id", "text", F.struct(*map(named, names)).alias("__row"))
     rows = _summed(held, plan).select("__row", "n", "h1", "h2", F.col("doc_id").alias("__id")).withColumn("__id", name)
     met = rows.join(first, ["n", "h1", "h2", "__id"], "left")
     again = F.row_number().over(Window.partitionBy("n", "h1", "h2", "__id").orderBy(F.lit(1)))
     kept = met.withColumn("__again", again).filter((F.col("n") == 0) | F.col("__first") & (F.col("__again") == 1))
-    return kept.select(*(F.col("__row")[c].alias(c) for c in names))
+    return kept.select(*(F.col("__row").getField(c).alias(c) for c in names))
 
 
 def components_of_documents(spark: SparkSession, directory: str) -> DataFrame:

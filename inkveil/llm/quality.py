@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.llm.common import fold, map_texts, table
+from inkveil.llm.common import fold, fresh, map_texts, named, table
 from inkveil.llm.gbt import Forest, Settings, fit
 
 SAMPLE_ROWS = 20_000
@@ -156,5 +156,6 @@ def quality_of_documents(spark: SparkSession, directory: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted to be of quality, with all their columns."""
     names = docs.columns
-    scored = score_quality(docs, fit_quality(docs, labels), names, score="__score")
-    return scored.filter(F.col("__score") >= KEEP_FROM).select(*names)
+    score = fresh("__score", names)
+    scored = score_quality(docs, fit_quality(docs, labels), names, score=score)
+    return scored.filter(F.col(score) >= KEEP_FROM).select(*map(named, names))

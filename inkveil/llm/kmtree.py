@@ -6,7 +6,8 @@ nodes met so far by the distance of their centre, and the nearest one is opened
 next, until enough leaves are reached.  How many are enough is calibrated: for
 a bounded set of queries the true neighbours are found by scanning all rows,
 and the visits are widened until the asked share of them lies in visited
-leaves.  Whole leaves are searched, whatever their size: rows of a leaf are
+leaves; a query whose leaves hold fewer than k other rows goes on until they
+do, so that it gets all it can.  Whole leaves are searched, whatever their size: rows of a leaf are
 dealt over as many cells as they need, and small leaves share a cell.
 
 Defined cases: vectors that are null, zero, or hold a null or a non-finite
@@ -66,16 +67,23 @@ class Tree:
                 children = np.arange(self.first[node], self.first[node] + self.count[node])
                 at[rows] = children[_squares(x[rows], self.centres[children]).argmin(axis=1)]
 
-    def visits(self, x: np.ndarray, most: int) -> Iterator[list[int]]:
-        """For each row the leaves in the order of a best-bin-first traversal, ``most`` of them."""
+    def visits(self, x: np.ndarray, most: int, rows: np.ndarray | None = None, wanted: np.ndarray | None = None) -> Iterator[list[int]]:
+        """For each row the leaves in the order of a best-bin-first traversal, ``most`` of them.
+
+        With the number of ``rows`` in each leaf, a traversal goes on until its
+        leaves hold as many as are ``wanted`` for the row.
+        """
+        held = [0] * self.leaves if rows is None else rows.tolist()
+        needs = [0] * len(x) if wanted is None else wanted.tolist()
         near = _squares(widened(x, self.centres.shape[1]), self.centres)
         first, count, leaf = self.first.tolist(), self.count.tolist(), self.leaf.tolist()
-        for distance in near.tolist():
+        for distance, need in zip(near.tolist(), needs, strict=True):
             queue, out = [(0.0, 0)], []
-            while queue and len(out) < most:
+            while queue and (len(out) < most or need > 0):
                 _, node = heapq.heappop(queue)
                 if first[node] < 0:
                     out.append(leaf[node])
+                    need -= held[leaf[node]]
                 for child in range(first[node], first[node] + count[node]):
                     heapq.heappush(queue, (distance[child], child))
             yield out
@@ -240,26 +248,35 @@ def _cell(part: pa.Table) -> pa.Table:
     })
 
 
-def _asked(tree: Tree, visits: int, first: np.ndarray, number: np.ndarray):
-    """Queries to one row per cell: the queries that visit it, and (leaf, query) pairs."""
+def _asked(tree: Tree, visits: int, k: int, counts: np.ndarray, first: np.ndarray, number: np.ndarray):
+    """Queries (id, x, own) to rows of the leaves that begin in one cell: the queries that visit them, and (leaf, query) pairs.
+
+    A leaf of many cells is one row with the range of its cells, so that what a
+    task holds is bounded by its queries and the leaves of the tree.
+    """
+    names = ("uids", "q_ids", "q_values", "visit_leaf", "visit_q")
+    schema = pa.schema([("first", pa.int64()), ("last", pa.int64()), ("q_width", pa.int32()), *((n, pa.binary()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = gathered(batches)
-        pairs: dict[int, list[tuple[int, int]]] = {}
-        for q, leaves in enumerate(tree.visits(x, visits) if len(ids) else ()):
-            for leaf in leaves:
-                for cell in range(first[leaf], first[leaf] + number[leaf]):
-                    pairs.setdefault(cell, []).append((leaf, q))
+        parts = list(batches)
+        ids, x = gathered(parts)
+        if not len(ids):
+            return
+        own = np.concatenate([p.column(2).to_numpy(zero_copy_only=False) for p in parts])
+        visited = [np.array(v, np.int32) for v in tree.visits(x, visits, counts, own + k)]
+        leaf, q = np.concatenate(visited), np.repeat(np.arange(len(ids), dtype=np.int32), [len(v) for v in visited])
+        some = counts[leaf] > 0
+        leaf, q = leaf[some], q[some]
+        order = np.argsort(first[leaf], kind="stable")
+        leaf, q = leaf[order], q[order]
+        cells, starts = np.unique(first[leaf], return_index=True)
         base = TaskContext.get().partitionId() << 32
-        for cell, listed in pairs.items():
-            leaf, q = np.array(listed, np.int32).T
-            used, q = np.unique(q, return_inverse=True)
-            yield pa.RecordBatch.from_pylist(
-                [{"cell": cell, "q_width": x.shape[1], "uids": (used + base).astype(np.int64).tobytes(),
-                  "q_ids": ids[used].tobytes(), "q_values": x[used].tobytes(), "visit_leaf": leaf.tobytes(),
-                  "visit_q": q.astype(np.int32).tobytes()}],
-                pa.schema([("cell", pa.int64()), ("q_width", pa.int32()), *((n, pa.binary()) for n in ("uids", "q_ids", "q_values", "visit_leaf", "visit_q"))]),
-            )
+        for cell, start, end in zip(cells.tolist(), starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True):
+            used, at = np.unique(q[start:end], return_inverse=True)
+            columns = ((used + base).astype(np.int64), ids[used], x[used], leaf[start:end], at.astype(np.int32))
+            row = {n: c.tobytes() for n, c in zip(names, columns, strict=True)}
+            last = cell + int(number[leaf[start:end]].max()) - 1
+            yield pa.RecordBatch.from_pylist([{"first": cell, "last": last, "q_width": x.shape[1], **row}], schema)
 
     return run
 
@@ -313,10 +330,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
     cells = rows.transform(small_batches).mapInArrow(_dealt(first, number), "id long, x array<double>, leaf int, cell long")
     cells = cells.groupBy("cell").applyInArrow(_cell, "cell long, width int, ids binary, leaves binary, values binary")
     parts = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = queries.repartition(parts).transform(small_batches).mapInArrow(
-        _asked(tree, visits, first, number),
-        "cell long, q_width int, uids binary, q_ids binary, q_values binary, visit_leaf binary, visit_q binary",
+    # A query's own rows are no answers to it, so leaves with so many more are opened.
+    same = rows.select("id").join(queries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").alias("own"))
+    known = queries.join(same, "id", "left").select("id", "x", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+    asked = known.repartition(parts).transform(small_batches).mapInArrow(
+        _asked(tree, visits, k, counts, first, number),
+        "first long, last long, q_width int, uids binary, q_ids binary, q_values binary, visit_leaf binary, visit_q binary",
     )
+    asked = asked.withColumn("cell", F.explode(F.sequence("first", "last"))).drop("first", "last")
     found = cells.join(asked, "cell").transform(small_batches).mapInArrow(_visited(k), "uid long, query_id long, vec_id long, score double")
     order = Window.partitionBy("uid").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -68,3 +68,40 @@ def test_few_rows(spark, rows):
     df = usable(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), "vec_id", "embedding", nonzero=True)
     got = sorted((q, r, i) for q, r, i, _ in search(df, df.filter("id = 0"), k=5).collect())
     assert got == [(0, r + 1, i) for r, (i, _) in enumerate(rows[1:])]
+
+
+def test_outlying_queries_get_all_rows(spark):
+    """Tight groups of equal vectors and a few far away, whose leaves hold nobody else."""
+    draw = np.random.default_rng(5)
+    rows = [(14 * g + i, draw_centre.tolist()) for g, draw_centre in enumerate(draw.normal(size=(400, 6))) for i in range(14)]
+    far = [(10_000 + i, (draw.normal(size=6) * 50).tolist()) for i in range(6)]
+    df = usable(spark.createDataFrame([(*r, "x", 1) for r in rows + far], SCHEMA), "vec_id", "embedding", nonzero=True)
+    asked = [r for r in rows if r[0] % 140 == 0] + far
+    queries = df.filter("id % 140 = 0 and id < 10000 or id >= 10000")
+    got = [tuple(r) for r in search(df, queries).collect()]
+    want = brute(rows + far, asked, 10)
+    assert len(got) == len(want) == 10 * len(asked)
+    outliers = [r for r in want if r[0] >= 10_000]
+    scores = {}
+    for q, _, _, d in got:
+        scores.setdefault(q, []).append(d)
+    for q, _ in asked:  # by distance, as equal vectors are as good as one another
+        mine, best = sorted(scores[q]), [r[3] for r in want if r[0] == q]
+        assert sum(abs(a - b) < 1e-9 for a, b in zip(mine, best, strict=True)) >= (9 if q < 10_000 else 0)
+    assert recall(got, outliers) >= 0.3
+
+
+def test_own_rows_do_not_count(spark):
+    """Many rows of the query's id in its leaf: others have to be opened."""
+    rows = [(7, [1.0, 0.0])] * 300 + [(i, [float(i), 5.0]) for i in range(100, 200)]
+    df = usable(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), "vec_id", "embedding", nonzero=True)
+    got = search(df, df.filter("id = 150"), k=5).count()
+    assert got == 5
+    assert search(df, df.filter("id = 7").limit(1), k=5).count() == 5
+
+
+def test_large_leaves_are_ranges_of_cells(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(5000)] + [(5000 + i, [float(i), -3.0]) for i in range(50)]
+    df = usable(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), "vec_id", "embedding", nonzero=True)
+    got = sorted((r.rank, r.vec_id) for r in search(df, df.filter("id = 4000"), k=5, cell_rows=16).collect())
+    assert got == [(i + 1, i) for i in range(5)]

@@ -10,8 +10,8 @@ query leave a group of blocks.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component,
 take no part, nor do rows without an id; vectors of other lengths are filled up
-with zeros; quantised components lie within +-2**24 (larger ones become that).
-Rows with the query's id count as its own row.  A query that is there twice is
+with zeros; quantised components beyond +-2**62, and scores among a query's best
+that a long cannot hold, are an error.  Rows with the query's id count as its own row.  A query that is there twice is
 answered twice.  With fewer than k candidates all are returned; an empty table
 gives no rows.
 """
@@ -32,14 +32,18 @@ from inkveil.llm.vectors import best, gathered, usable, widened
 
 SCALE, K, QUERY_EVERY = 64, 20, 20
 BLOCK_ROWS, QUERY_ROWS = 8192, 1024
-LARGEST = 2**24
+LARGEST, LONG = 2**62, 2**63 - 1
 _BLOCK = "block int, width int, bits int, least long, ids binary, slices binary"
 _QUERIES = "part int, q_width int, q_ids binary, q_values binary"
 _FOUND = "uid long, query_id long, vec_id long, score long"
 
 
 def quantised(x: np.ndarray, scale: float = SCALE) -> np.ndarray:
-    return np.clip(np.floor(scale * x), -LARGEST, LARGEST).astype(np.int64)
+    with np.errstate(over="ignore"):
+        out = np.floor(scale * x)
+    if len(out) and np.abs(out).max(initial=0) > LARGEST:
+        raise ValueError(f"components of more than {LARGEST / scale:g} have no scores that fit a long")
+    return out.astype(np.int64)
 
 
 def sliced(values: np.ndarray) -> tuple[int, int, np.ndarray]:
@@ -137,11 +141,16 @@ class Block:
         rows = rows_of(sure)
         rows = np.concatenate((rows, rows_of(tied)[: k - len(rows)]))
         at, bit = rows >> 6, (rows & 63).astype(np.uint64)
-        scores = np.full(len(rows), self.least * int(query.sum()) - ((1 << self.bits) - 1) * int(size[query < 0].sum()))
+        base = self.least * sum(query.tolist()) - ((1 << self.bits) - 1) * sum(size[query < 0].tolist())
+        # Sums that might leave 63 bits are Python's integers.
+        exact = max(len(total), abs(base).bit_length()) > 61
+        scores = np.full(len(rows), base, object if exact else np.int64)
         for w, piece in enumerate(total):
             if piece is not None:
-                scores += (piece[at] >> bit & np.uint64(1)).astype(np.int64) << w
-        return rows, scores
+                scores += (piece[at] >> bit & np.uint64(1)).astype(scores.dtype) << w
+        if exact and any(not -LONG < s < LONG for s in scores.tolist()):
+            raise ValueError("a score among the best does not fit a long")
+        return rows, scores.astype(np.int64)
 
 
 def _indexed(scale: float):

@@ -16,8 +16,7 @@ def plain(rows, every, k, scale=64):
     out = []
     for q in (i for i, _ in rows if i % every == 0):
         def inner(i, q=q):
-            n = min(len(values[q]), len(values[i]))
-            return int(values[q][:n] @ values[i][:n])
+            return sum(a * b for a, b in zip(values[q].tolist(), values[i].tolist(), strict=False))
         order = sorted((-inner(i), i) for i, _ in rows if i != q)
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(order[:k])]
     return sorted(out)
@@ -60,3 +59,23 @@ def test_repeated_rows(spark):
     df = usable(spark.createDataFrame([(0, [1.0], "", 0), (0, [1.0], "", 0), (1, [2.0], "", 0), (1, [2.0], "", 0)], SCHEMA), "vec_id", "embedding")
     got = sorted(map(tuple, search(df, df.filter("id = 0"), k=3).collect()))
     assert got == [(0, 1, 1, 8192)] * 2 + [(0, 2, 1, 8192)] * 2
+
+
+def test_large_components(spark):
+    rows = [(1, [1.0, 1.0]), (2, [300_000.0, 0.5]), (3, [500_000.0, -1.0]), (4, [400_000.0, 0.0]), (20, [1000.0, 7.0]), (40, [-2.0**30, 3.0])]
+    df = usable(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), "vec_id", "embedding")
+    assert sorted(map(tuple, search(df, df.filter("id % 20 = 0"), k=4).collect())) == plain(rows, 20, 4)
+
+
+def test_what_no_long_can_hold_is_an_error(spark):
+    def found(*vectors):
+        df = usable(spark.createDataFrame([(i, list(x), "x", 1) for i, x in enumerate(vectors)], SCHEMA), "vec_id", "embedding")
+        return search(df, df.filter("id = 0"), k=1).collect()
+
+    big = 2.0**31  # quantised 2**37
+    assert found([2.0**18], [2.0**31])[0].score == 2**61
+    for vectors in ([[big], [big]], [[1e300], [1.0]]):
+        with pytest.raises(Exception, match="fit a long"):
+            found(*vectors)
+    # One that is not among the best does no harm.
+    assert found([big], [-big], [1.0])[0].score == 2**43

@@ -59,8 +59,8 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"\A{_BYTE}(?:\.{_BYTE}){{3}}\z"
 
 #: Rounds over the graph; the confidence and the different known identifiers of a pattern that may discover;
-#: the fewest digits and characters of what it discovers; characters before a word that are looked at.
-ROUNDS, SURE, SEEDS, DIGITS, LENGTH, REACH = 3, 0.5, 5, 2, 4, 64
+#: the fewest digits and characters of what it discovers; characters before a word that are looked at first.
+ROUNDS, SURE, SEEDS, DIGITS, LENGTH, NEAR = 3, 0.5, 5, 2, 4, 64
 
 
 def _matches(text: Column, pattern: str, possible: Column) -> Column:
@@ -75,7 +75,9 @@ def _matches(text: Column, pattern: str, possible: Column) -> Column:
 def _tokens(text: Column) -> Column:
     """Words that may be identifiers, with the word before."""
     def before(gap: Column) -> Column:
-        return F.lower(F.regexp_extract(F.substr(gap, F.lit(-REACH)), r"(\S+)\s+\z", 1))
+        # The end of the gap settles it where it holds all of the word; a longer word, or one before many blanks, is looked for in all of it.
+        near = F.nullif(F.regexp_extract(F.substr(gap, F.lit(-NEAR)), r"\s(\S++)\s++\z", 1), F.lit(""))
+        return F.lower(F.coalesce(near, F.regexp_extract(gap, r"(?<!\S)(\S++)\s++\z", 1)))
 
     pairs = F.zip_with(
         F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), F.split(text, _TOKEN, -1),
@@ -135,7 +137,9 @@ def candidates(rows: DataFrame, base: DataFrame) -> DataFrame:
     in_order = Window.partitionBy("uid").orderBy("start")
     is_base = F.col("identifier").isNull()
     over = F.max(F.when(is_base, F.col("end"))).over(in_order.rangeBetween(Window.unboundedPreceding, 0))
-    begun = F.min(F.when(is_base, F.col("start"))).over(in_order.rangeBetween(0, Window.unboundedFollowing))
+    # From behind, as a frame that reaches to the end is worked out anew for every row.
+    from_behind = Window.partitionBy("uid").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    begun = F.min(F.when(is_base, F.col("start"))).over(from_behind)
     seed = F.coalesce(over > F.col("start"), F.lit(False)) | F.coalesce(begun < F.col("end"), F.lit(False))
     return both.withColumn("seed", seed).filter(~is_base)
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter, defaultdict
 
-from inkveil.llm.pii import KINDS, PLAIN, private_data_of_documents, scanned
+from inkveil.llm.pii import DIGITS, KINDS, LENGTH, PLAIN, ROUNDS, SEEDS, SURE, private_data_of_documents, scanned
 
 DATA = "/root/testdata/sf0.01"
 
@@ -116,3 +119,80 @@ def test_a_pattern_does_not_vouch_for_itself(spark):
     rows = [(i, "please write to member: me@mail.example.org soon") for i in range(50)]
     rows += [(100 + i, f"please write to member: Q77{i:03}-Z soon") for i in range(40)]
     assert not any(discovered_in(spark, rows).values())
+
+
+def plain_discovery(rows):
+    """The bootstrapping as loops over lists: (doc_id, start, end) of what is discovered."""
+    words, totals = [], Counter()
+    for doc_id, text in rows:
+        spans, before, end = plain(text), "", 0
+        totals.update(text.lower().split())
+        for m in re.finditer(r"\S+", text, re.A):
+            if not re.search("[0-9@]", m[0]):
+                continue
+            gap = text[end : m.start()].split()
+            before, end = gap[-1].lower() if gap else "", m.end()
+            core = re.sub(r"^[\"'(\[<{]+|[\"')\]>},;:.!?]+$", "", m[0])
+            lead = len(m[0]) - len(re.sub(r"^[\"'(\[<{]+", "", m[0]))
+            if core:
+                a, b = m.start() + lead, m.start() + lead + len(core)
+                words.append((doc_id, a, b, core, before, any(s < b and a < e for s, _, e in spans)))
+    edges, seeds = defaultdict(lambda: [0, False]), set()
+    for _, _, _, core, before, seed in words:
+        if before:
+            edge = edges[before, core]
+            edge[0], edge[1] = edge[0] + 1, edge[1] or seed
+            if seed:
+                seeds.add(core)
+    score = dict.fromkeys(seeds, 1.0)
+    confidence = {}
+    for _ in range(ROUNDS):
+        believed = defaultdict(float)
+        for (pattern, core), (n, _) in edges.items():
+            if core in score:
+                believed[pattern] += n * score[core]
+        confidence = {p: min(1.0, b / totals[p]) for p, b in believed.items()}
+        doubts = defaultdict(float)
+        for pattern, core in edges:
+            if pattern in confidence:
+                doubts[core] += math.log(max(1e-9, 1 - confidence[pattern]))
+        score = {c: 1.0 if c in seeds else 1 - math.exp(d) for c, d in doubts.items()}
+    known = Counter()
+    for pattern, core in edges:
+        if pattern in confidence:
+            others = doubts[core] - math.log(max(1e-9, 1 - confidence[pattern]))
+            known[pattern] += core in seeds or 1 - math.exp(others) >= SURE
+    sure = {p for p, c in confidence.items() if c >= SURE and known[p] >= SEEDS}
+    likely = re.compile(rf"(.*[0-9]){{{DIGITS}}}|.*@", re.S)
+    return sorted((d, a, b) for d, a, b, core, before, seed in words if not seed and before in sure and likely.match(core) and len(core) >= LENGTH)
+
+
+def test_discovery_against_loops(spark):
+    draw = random.Random(12)
+    contexts = ["mail", "Mail", "to", "id:", "ref", "x" * 70, "number", "(see", "é"]
+    known = [f"u{i}@site.org" for i in range(8)] + [f"+49 30 1234{i:04}" for i in range(6)] + [f"AB-{i:05}" for i in range(20)] + ["77", "a1", "9" * 5]
+    rows = []
+    for i in range(400):
+        part = [f"{draw.choice(contexts[:4] if j % 2 else contexts)}{draw.choice([' ', '  ', chr(10), ' ' * 90])}{draw.choice(known[:14] if i % 2 else known)}{draw.choice(['', ',', ').'])}" for j in range(draw.randrange(5))]
+        rows.append((i, " and ".join(part)))
+    got = sorted((r.doc_id, s.start, s.end) for r in scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s.kind == 4)
+    want = plain_discovery(rows)
+    assert got == want and len(want) > 50
+
+
+def test_patterns_are_whole_words(spark):
+    for word, blanks in (("x" * 70 + ":", " "), ("member:", " " * 70)):
+        rows = [(i, f"write to {word}{blanks}u{i}x@mail.example.org soon") for i in range(20)]
+        rows += [(100 + i, f"write to {word}{blanks}Q77{i:03}-Z soon") for i in range(5)]
+        assert all(discovered_in(spark, rows)[100 + i] == [f"Q77{i:03}-Z"] for i in range(5))
+
+
+def test_many_words_in_one_text_take_linear_time(spark):
+    def seconds(n):
+        docs = spark.createDataFrame([(1, " ".join(f"a{i} b" for i in range(n)) + " me@site.org")], "doc_id long, text string")
+        start = time.perf_counter()
+        assert [len(r.spans) for r in scanned(docs).collect()] == [1]
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(500_000) < 60

@@ -9,7 +9,28 @@ import string
 
 import numpy as np
 
-from inkveil.llm.secret_scan import ACCESS, ASSIGN, HEX, _Patterns, base_spans, cuts, hide, judged, learn_cuts, scanned, secrets_of_documents, without_secrets
+import pytest
+
+from inkveil.llm.secret_scan import (
+    ACCESS,
+    ASSIGN,
+    ENCODINGS,
+    HEX,
+    LEVELS,
+    MOST,
+    Cuts,
+    _Patterns,
+    base_spans,
+    candidates,
+    encoding_of,
+    hide,
+    judged,
+    learn_cuts,
+    scanned,
+    secrets_of_documents,
+    without_secrets,
+)
+
 DATA = "/root/testdata/sf0.01"
 
 
@@ -54,16 +75,55 @@ def test_p_values_of_random_tokens_are_about_uniform():
 
 
 def test_structured_tokens_have_small_p():
-    for t in ["aaaaaaaaaaaaaaaa1111111111111111", "the_quick_brown_fox_jumps_over_2", "0123456789abcdef0123456789abcdef", "CamelCaseNamesOfClassesInCode2024Edition"]:
+    for t in ["aaaaaaaaaaaaaaaa1111111111111111", "the_quick_brown_fox_jumps_over_2", "0123456789abcdef0123456789abcdef", "CamelCaseNamesOfClassesInCode2024Edition", "path/to/file-name_2021/index"]:
         assert judged(t)[2] < 0.05
 
 
 def test_cuts_follow_the_share_of_false_discoveries():
+    even = np.full(40, 10.0)
+    words, many = even.copy(), even.copy()
+    words[:2] += 500
+    many[:10] += 500
+    got = Cuts({("a", 0): even, ("b", 0): words, ("c", 0): many})
+    assert got.of("a", 0) == 0 and got.of("b", 0) == 0.05 and got.of("c", 0) == MOST
+
+
+def test_thin_classes_are_pooled():
     even = np.full(40, 10.0)
     words = even.copy()
-    words[:10] += 500
-    got = cuts({("a", 0): even, ("b", 0): words, ("c", 0): np.eye(40)[0] * 100})
-    assert got["a", 0] == 0 and got["b", 0] >= 0.25 and ("c", 0) not in got
+    words[:2] += 500
+    one = np.zeros(40)
+    one[10] = 1
+    got = Cuts({("a", 0): words, ("a", 3): one, ("b", 0): one, ("b", 3): one, ("c", 5): even})
+    assert got.of("a", 3) == got.of("a", 0) == got.of("b", 0) == 0.05
+    assert got.of("b", 3) == 0.05  # with all
+    assert Cuts({("b", 3): one}).of("b", 3) == LEVELS[-1] and Cuts().of("b", 0) == LEVELS[0]
+
+
+@pytest.mark.parametrize("name", sorted(ENCODINGS))
+@pytest.mark.parametrize("length", [22, 30, 36, 48, 80])
+def test_a_secret_alone_in_its_class_is_found(name, length):
+    """Nearly always: a random token's p-value is even."""
+    draw, patterns, limits = random.Random(f"{name}{length}"), _Patterns(), Cuts()
+    some = [t for t in tokens(draw, ENCODINGS[name], length, 400) if encoding_of(t) == name and candidates(t, patterns) == [(0, len(t))]]
+    found = [t for t in some if judged(t)[2] >= limits.of(*judged(t)[:2])]
+    assert len(some) > 20 and len(found) >= 0.85 * len(some)
+
+
+def test_one_secret_among_names(spark):
+    """Two hundred structured tokens, and one random token in each of some classes."""
+    draw, patterns = random.Random(9), _Patterns()
+    secret = {}
+    for name in ("base62", "base64url", "base64any", "base36", "letters"):
+        for length in (24, 40, 64):
+            some = tokens(draw, ENCODINGS[name], length, 200)
+            secret[name, length] = next(t for t in some if encoding_of(t) == name and candidates(t, patterns) == [(0, length)] and judged(t)[2] > 0.15)
+    names = [f"path/to/some-module_{i}/version-{i % 7}/index" for i in range(200)] + [f"CustomerAccountManager{i}Factory" for i in range(200)]
+    rows = [(i, f"see {n} here") for i, n in enumerate(names)] + [(1000 + i, f"key {t} end") for i, t in enumerate(secret.values())]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: [(s.start, s.end) for s in r.spans] for r in scanned(docs, learn_cuts(docs), ["id"]).collect()}
+    assert all(got[1000 + i] == [(4, 4 + len(t))] for i, t in enumerate(secret.values()))
+    assert not any(got[i] for i in range(len(names)))
 
 
 def test_unseen_secrets_are_found_and_names_left(spark):
@@ -78,7 +138,7 @@ def test_unseen_secrets_are_found_and_names_left(spark):
     assert all(s.start == 6 for i, *_ in rows for s in got[i].spans)
     assert got[900].spans == got[901].spans == []
     empty = docs.filter("id < 0")
-    assert learn_cuts(empty) == {} and scanned(empty, {}, ["id"]).count() == 0
+    assert learn_cuts(empty).own == {} and scanned(empty, Cuts(), ["id"]).count() == 0
 
 
 def test_long_texts():

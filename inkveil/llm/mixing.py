@@ -8,9 +8,14 @@ pseudorandom permutation of the source's block numbers per round turns slot
 numbers into block numbers, and a join by block number says how often each
 block, and so each document's words, are taken.
 
-Nothing but sizes is shuffled.  Positions of documents within a source come
-from sums over buckets of documents, so a source of any size is spread over
-many tasks.  The driver holds one line per source.
+Nothing but sizes is shuffled to find out what is taken.  Positions of documents
+within a source, and of slots, come from running totals over stretches, so a
+source of any size is spread over many tasks.  The driver holds one line per
+source.
+
+What comes out is the mix itself: ``placements`` (which block fills which slot
+of which shard), ``packed`` (the words of the blocks in their slots) and
+``mix_corpus`` (the documents made of the word ranges that were taken).
 
 Defined cases: a null text has size 0; documents without words are taken 0
 times; a null source is a source of its own, the last one; sources without
@@ -32,11 +37,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkveil.llm.common import table, written
+from inkveil.llm.common import named, table, written
+from inkveil.operators.numbering import running_total
 
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
 BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS, SEED = 32, 4096, 1024, 11
+#: Words of a block where blocks become texts; slots filled by one task.
+STAGE_WORDS, SLOTS_AT_ONCE = 128, 200_000
 #: Beyond so many sources their lines are not broadcast by force.
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,23 +126,33 @@ def _drawn(sources: list[Source], shards: int, seed: int):
                 n = int(open_slots) + int(draw.random() < open_slots - int(open_slots))
                 counts = sure + (draw.multinomial(n, rest / open_slots) if n else 0)
                 some = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": shard, "source_at": some.astype(np.int32), "n": counts[some].astype(np.int64)})
+                n = counts[some].astype(np.int64)
+                yield pd.DataFrame({"shard": shard, "source_at": some.astype(np.int32), "n": n, "first": n.cumsum() - n})
 
     return run
 
 
 def _slots(sources: list[Source], seed: int):
-    """Runs of slot numbers of a source to block numbers; slots past the last allowed round stay empty."""
+    """Runs of slot numbers of a source to block numbers; slots past the last allowed round stay empty.
+
+    All runs of a source in a batch go through its permutation together.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for at, start, n in zip(part["source_at"].tolist(), part["start"].tolist(), part["n"].tolist(), strict=True):
+            for at, runs in part.groupby("source_at"):
                 source = sources[at]
-                slot = np.arange(start, min(start + n, MOST_TIMES * source.blocks))
-                for turn in np.unique(slot // source.blocks).tolist():
-                    places = slot[slot // source.blocks == turn] % source.blocks
-                    found = permuted(places, source.blocks, f"{seed}/{source.name is None}/{source.name}/{turn}")
-                    yield pd.DataFrame({"source_at": np.int32(at), "block": found})
+                start, n = runs["start"].to_numpy(), runs["n"].to_numpy()
+                n = np.clip(MOST_TIMES * source.blocks - start, 0, n)
+                shard = np.repeat(runs["shard"].to_numpy(), n)
+                within = np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+                slot = np.repeat(start, n) + within
+                turn, place = slot // source.blocks, slot % source.blocks
+                block = np.empty(len(slot), np.int64)
+                for t in np.unique(turn).tolist():
+                    block[turn == t] = permuted(place[turn == t], source.blocks, f"{seed}/{source.name is None}/{source.name}/{t}")
+                slot_in_shard = np.repeat(runs["first"].to_numpy(), n) + within
+                yield pd.DataFrame({"shard": shard, "slot": slot_in_shard, "source_at": np.int32(at), "block": block})
 
     return run
 
@@ -148,40 +166,74 @@ def placed(sized: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     buckets = max(1, sized.count() // bucket_rows)
     rows = sized.filter(F.col("size") > 0).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     per_bucket = rows.groupBy("source_at", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source_at").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.select("source_at", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    per_bucket = running_total(per_bucket, ["source_at"], "bucket", "words", "base").drop("words")
     within = Window.partitionBy("source_at", "bucket").orderBy("doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("size").over(within), F.lit(0))
     return rows.withColumn("inside", inside).join(per_bucket, ["source_at", "bucket"]).withColumn("start", F.col("base") + F.col("inside"))
 
 
-def mixed(
+@dataclass(frozen=True)
+class Mix:
+    """``rows`` (uid, doc_id, source, size, source_at, source_size, target), the sources, and the parameters."""
+
+    rows: DataFrame
+    sources: list[Source]
+    block_words: int
+    shard_slots: int
+    seed: int
+
+    def placements(self) -> DataFrame:
+        """(shard, slot, source_at, block): which block fills each slot of each shard.
+
+        A shard's slots are numbered by source; shuffle them by (seed, shard,
+        slot) to read a shard in a random order.
+        """
+        spark, sources = self.rows.sparkSession, self.sources
+        slots = sum(s.slots for s in sources)
+        shards = max(1, math.ceil(slots / self.shard_slots))
+        counts = spark.range(shards).mapInPandas(_drawn(sources, shards, self.seed), "shard long, source_at int, n long, first long")
+        runs = running_total(counts, ["source_at"], "shard", "n", "start")
+        # So many parts that each fills about as many slots; runs are small rows, and Spark would put all into one.
+        runs = runs.repartition(max(1, math.ceil(slots / SLOTS_AT_ONCE)), "shard", "source_at")
+        return runs.mapInPandas(_slots(sources, self.seed), "shard long, slot long, source_at int, block long")
+
+    def pieces(self) -> DataFrame:
+        """(uid, source_at, block, first, words): the words of each document, from ``first`` on, that lie in each block."""
+        size = self.block_words
+        spot = placed(self.rows)
+        start, end = F.col("start"), F.col("start") + F.col("size")
+        blocks = F.sequence(F.floor(start / size), F.floor((end - 1) / size))
+        cut = spot.select("uid", "source_at", start.alias("start"), end.alias("end"), F.explode(blocks).alias("block"))
+        first, last = F.greatest(F.col("start"), F.col("block") * size), F.least(F.col("end"), (F.col("block") + 1) * size)
+        return cut.select("uid", "source_at", "block", (first - F.col("start")).alias("first"), (last - first).alias("words"))
+
+    def taken(self) -> DataFrame:
+        """``pieces`` that are taken, with how many ``times``."""
+        times = self.placements().groupBy("source_at", "block").agg(F.count("*").alias("times"))
+        return self.pieces().join(times, ["source_at", "block"])
+
+
+def mix_of(
     sized: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
     seed: int = SEED,
-) -> DataFrame:
-    """``sized`` (uid, doc_id, source, size) with source_size, target and taken."""
-    spark = sized.sparkSession
+) -> Mix:
+    """The mix of ``sized`` (uid, doc_id, source, size)."""
     sources = sources_of(sized, weights, block_words)
     known_lines = [(i, s.name, s.size, s.target) for i, s in enumerate(sources)]
-    known = spark.createDataFrame(known_lines, "source_at int, name string, source_size long, target double")
+    known = sized.sparkSession.createDataFrame(known_lines, "source_at int, name string, source_size long, target double")
     narrow = F.broadcast(known) if len(sources) <= BROADCAST_SOURCES else known
     rows = sized.join(narrow, sized["source"].eqNullSafe(known["name"])).drop("name")
-    shards = max(1, math.ceil(sum(s.slots for s in sources) / shard_slots))
-    counts = spark.range(shards).mapInPandas(_drawn(sources, shards, seed), "shard long, source_at int, n long")
-    before = Window.partitionBy("source_at").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    runs = runs.repartition("source_at", "shard")  # a large source's slots are many tasks' work
-    times = runs.mapInPandas(_slots(sources, seed), "source_at int, block long").groupBy("source_at", "block").agg(F.count("*").alias("times"))
-    spot = placed(rows)
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
-    pieces = spot.select("uid", "source_at", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    pieces = pieces.select("uid", "source_at", "block", overlap.alias("words"))
-    taken = pieces.join(times, ["source_at", "block"]).groupBy("uid").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
-    return rows.join(taken, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("source_at")
+    return Mix(rows, sources, block_words, shard_slots, seed)
+
+
+def mixed(sized: DataFrame, **parameters) -> DataFrame:
+    """``sized`` (uid, doc_id, source, size) with source_size, target and taken."""
+    mix = mix_of(sized, **parameters)
+    taken = mix.taken().groupBy("uid").agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
+    return mix.rows.join(taken, "uid", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop("source_at")
 
 
 def mix_of_documents(spark: SparkSession, directory: str) -> DataFrame:
@@ -191,18 +243,56 @@ def mix_of_documents(spark: SparkSession, directory: str) -> DataFrame:
     return mixed(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix_corpus(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their columns.
+def _rows_and_mix(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, Mix]:
+    """The documents (uid, row: all their columns, text, size) written, and their mix."""
+    held = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.col("doc_id"), F.col("source"), F.col("text"))
+    rows = written(held.withColumn("size", words_in(F.col("text"))).withColumn("uid", F.monotonically_increasing_id()), "mixed")
+    return rows, mix_of(rows.select("uid", "doc_id", "source", "size"), block_words=block_words, seed=seed)
+
+
+#: A word with the blanks behind it (the first one with those before it too).
+_WORD_AND_BLANKS = r"(?:\A[\x20\x09-\x0D]++)?+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 
-    A document comes taken / size times; what is left over decides by a hash of
-    its id.  Documents without words stay once.
+
+def packed(docs: DataFrame, block_words: int = STAGE_WORDS, seed: int = SEED) -> DataFrame:
+    """(shard, slot, part, doc_id, first, words, text): the words of every slot's block, document after document.
+
+    ``part`` orders the pieces of a block; ``first`` is the place of a piece's
+    first word in its document.  Blocks and slots meet by block number.
+    """
+    rows, mix = _rows_and_mix(docs, block_words, seed)
+    pieces = mix.pieces()
+    of_doc = pieces.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("block", "first", "words", "source_at"))).alias("pieces"))
+    cut = rows.select("uid", "doc_id", F.regexp_extract_all("text", F.lit(_WORD_AND_BLANKS), F.lit(0)).alias("w")).join(of_doc, "uid")
+    texts = F.transform("pieces", lambda p: F.struct(p["block"].alias("block"), p["source_at"].alias("source_at"), p["first"].alias("first"), p["words"].alias("words"), F.array_join(F.slice("w", (p["first"] + 1).cast("int"), p["words"].cast("int")), "").alias("text")))
+    each = cut.select("uid", "doc_id", F.inline(texts))
+    met = mix.placements().join(each, ["source_at", "block"])
+    part = F.row_number().over(Window.partitionBy("shard", "slot").orderBy("doc_id", F.length("text"), "uid"))
+    return met.withColumn("part", part).select("shard", "slot", "part", "doc_id", "first", "words", "text")
+
+
+def mix_corpus(docs: DataFrame, block_words: int = STAGE_WORDS, seed: int = SEED) -> DataFrame:
+    """The documents as the mix takes them, with their columns.
+
+    Row number n of a document holds the words of its blocks that are taken n
+    times or more, in their order and with the blanks between them; whole
+    documents keep their text as it is.  ``n_chars``, where there is one,
+    follows the text.  Documents without words stay once.
     """
     names = docs.columns
-    rows = written(docs.withColumns({"__uid": F.monotonically_increasing_id(), "__size": words_in(F.col("text"))}), "mixed")
-    sized = rows.select(F.col("__uid").alias("uid"), "doc_id", "source", F.col("__size").alias("size"))
-    share = F.col("taken") / F.col("size")
-    luck = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(share) + (luck < share - F.floor(share)).cast("int")).cast("int")
-    copies = mixed(sized).select(F.col("uid").alias("__uid"), times.alias("__times")).filter(F.col("__times") > 0)
-    repeated = F.explode(F.array_repeat(F.lit(0), F.col("__times")))
-    return rows.join(copies, "__uid").withColumn("__again", repeated).select(*names)
+    rows, mix = _rows_and_mix(docs, block_words, seed)
+    ranges = mix.taken().groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("ranges"))
+    met = rows.join(ranges, "uid", "left").filter((F.col("size") == 0) | F.col("ranges").isNotNull())
+    most = F.coalesce(F.array_max(F.transform("ranges", lambda r: r["times"])), F.lit(1)).cast("int")
+    again = met.withColumn("turn", F.explode(F.sequence(F.lit(1), most)))
+    chosen = F.filter("ranges", lambda r: r["times"] >= F.col("turn"))
+    again = again.withColumn("chosen", chosen).withColumn("words", F.aggregate("chosen", F.lit(0).cast("long"), lambda n, r: n + r["words"]))
+    cut = F.regexp_extract_all("text", F.lit(_WORD_AND_BLANKS), F.lit(0))
+    joined = F.array_join(F.flatten(F.transform("chosen", lambda r: F.slice("w", (r["first"] + 1).cast("int"), r["words"].cast("int")))), "")
+    whole = (F.col("size") == 0) | (F.col("words") == F.col("size"))
+    again = again.withColumn("w", F.when(~whole, cut)).withColumn("new", F.when(whole, F.col("text")).otherwise(F.rtrim(joined)))
+    columns = {c: F.col("row").getField(c) for c in names}
+    columns["text"] = F.col("new")
+    if "n_chars" in names:
+        columns["n_chars"] = F.when(whole, columns["n_chars"]).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return again.select(*(columns[c].alias(c) for c in names))

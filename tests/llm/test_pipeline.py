@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -14,10 +15,15 @@ from inkveil.llm import queries as registered
 from inkveil.llm.bpe import load
 from inkveil.llm.secret_scan import _Patterns, base_spans
 from tests.llm.test_jaccard import plain
+from tests.llm.test_mixing import plain_targets
 
 DATA = "/root/testdata/sf0.01"
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -44,7 +50,7 @@ def test_quality_goes_by_the_labels(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     rows = [(r.doc_id, r.text) for r in stages[1].collect()]
-    want = {doc_id for doc_id, _, component in plain(rows) if doc_id == component}
+    want = {doc_id for doc_id, _, component in plain(rows, 5, 80) if doc_id == component}
     assert Counter(r.doc_id for r in stages[2].collect()) == Counter(want)
 
 
@@ -61,11 +67,30 @@ def test_secrets_are_hidden_and_clean_texts_stay(stages):
     assert hidden and sum(r != after[i] for i, r in before.items()) <= hidden + 2
 
 
-def test_mix_repeats_whole_documents(stages):
+def test_near_copies_between_both_thresholds_are_one(spark):
+    """Two changed words in a hundred: 0.81 of the five-word shingles, 0.88 of the three-word ones."""
+    words = [f"word{i}" for i in range(100)]
+    other = list(words)
+    other[30], other[60] = "new", "newer"
+    rows = [(1, " ".join(words), "en", "a", 1), (2, " ".join(other), "en", "a", 1), (3, "quite another text", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()) == [1, 3]
+
+
+def test_mix_is_made_of_taken_words(stages):
     texts = {r.doc_id: r.text for r in stages[3].collect()}
     rows = stages[4].collect()
-    assert all(texts[r.doc_id] == r.text for r in rows)
+    sizes, taken = Counter(), Counter()
+    for r in stages[3].collect():
+        sizes[r.source] += len(words_of(r.text))
+    for r in rows:
+        mine, all_ = words_of(r.text), iter(words_of(texts[r.doc_id]))
+        assert all(w in all_ for w in mine)  # in their order
+        taken[r.source] += len(mine)
     assert max(Counter(r.doc_id for r in rows).values()) <= 3
+    names = sorted(sizes)
+    for name, t in zip(names, plain_targets([sizes[n] for n in names]), strict=True):
+        assert taken[name] == pytest.approx(t, rel=0.05)
 
 
 def test_ids_decode_to_the_texts(stages):
@@ -77,7 +102,7 @@ def test_ids_decode_to_the_texts(stages):
 
 def test_extra_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns(
-        {c: F.lit(1) for c in ("score", "uid", "n", "size", "quality", "spans", "taken", "b")}
+        {c: F.lit(1) for c in ("score", "uid", "n", "size", "quality", "spans", "taken", "b", "a.b", "__text", "__uid", "__score", "__hidden", "__row", "x y")}
     )
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns

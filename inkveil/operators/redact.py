@@ -29,7 +29,7 @@ from inkveil.functions.regex import (
     to_java,
 )
 from inkveil.functions.sql import Sql, any_of, fenced, let, name, replace_all, string
-from inkveil.functions.text import has_content
+from inkveil.functions.text import has_content, strip
 from inkveil.operators.verdict import reason, whitelisted
 from inkveil.rules import DEFAULT_RULES, REST_OF_LINE, ContextRule, PatternRule, RuleSet
 from inkveil.rules.words import keyword_tag
@@ -169,6 +169,10 @@ def _pattern_step(rule: PatternRule, rules: RuleSet) -> Step:
     if rules.custom_whitelist:
         spares.append(lambda hit: whitelisted(hit, rules))
         doubts.append(lambda text: "true")
+    if rules.whitelist_column:
+        listed = name(rules.whitelist_column)
+        spares.append(lambda hit: f"array_contains({listed}, lower({strip(hit)}))")
+        doubts.append(lambda text: f"size({listed}) > 0")
     return Step(
         phase=PATTERN,
         ord=rule.ord,

@@ -23,8 +23,9 @@ class RuleSet:
     """The rules of a run; the defaults are the built-in ones.
 
     Rules travel to the tasks as literals inside the query plan, so a rule set
-    is meant to be hundreds of entries, not millions.  A large whitelist belongs
-    in a table and a join (``operators.tokens.drop_whitelisted``).
+    is meant to be hundreds of entries, not millions.  Larger lists are tables:
+    ``operators.rule_table`` for rules and keywords, ``operators.listed`` for a
+    whitelist.
     """
 
     patterns: tuple[PatternRule, ...] = PATTERN_RULES
@@ -37,6 +38,8 @@ class RuleSet:
     whitelist: tuple[str, ...] = WHITELIST
     # Words added by the user may equal a match, the built-in ones cannot.
     custom_whitelist: bool = False
+    # A column beside the text: an array of trimmed words in lower case that are spared in it.
+    whitelist_column: str = ""
     entropy_threshold: float = 3.5
     ocr_confidence: int = 40
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.masking import mask
 from inkveil.functions.sql import Sql, name
 from inkveil.functions.text import flatten_lines
+from inkveil.operators.numbering import numbered, placed
+from inkveil.sources.shared import written
 
 AUDIT_COLUMNS = ("timestamp", "file_name", "masked_original", "redacted_to", "reason")
 
@@ -55,6 +58,75 @@ def append_audit(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+def audit_entries(df: DataFrame, log: str, file_name: Sql, text: Sql) -> DataFrame:
+    """``audit_log`` with ``entry_key``, which names an entry for good.
+
+    It is a digest of the file's name, of its text before redaction and of the
+    entry's place in the log, so the same file redacted again gives the same
+    keys, and a changed one gives new ones.
+    """
+    content = f"sha2(coalesce({text}, ''), 256)"
+    exploded = df.selectExpr(
+        f"{file_name} AS file_name", f"{content} AS __content", f"posexplode({name(log)}) AS (__place, entry)"
+    )
+    key = "sha2(concat_ws('/', __content, __place, coalesce(file_name, '')), 256)"
+    return exploded.select(
+        F.expr(key).alias("entry_key"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        "file_name",
+        F.expr(masked("entry.original")).alias("masked_original"),
+        F.col("entry.tag").alias("redacted_to"),
+        F.col("entry.reason").alias("reason"),
+    )
+
+
+def append_audit_once(rows: DataFrame, path: str) -> None:
+    """Append those of ``audit_entries`` that are not in the table yet.
+
+    A repeated batch, or one that was cut short and is run again, adds only
+    what is missing.  Writers at the same time lose nothing, as each adds files
+    of its own; what two of them add at once is one entry in ``audit_table``.
+    """
+    rows = rows.dropDuplicates(["entry_key"])
+    known = _table(rows.sparkSession, path)
+    if known is not None:
+        rows = rows.join(known.select("entry_key"), "entry_key", "left_anti")
+    rows.select("entry_key", *AUDIT_COLUMNS).write.mode("append").parquet(path)
+
+
+def audit_table(spark: SparkSession, path: str) -> DataFrame:
+    """Every entry once, the earliest of those that came twice."""
+    known = _table(spark, path)
+    if known is None:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in AUDIT_COLUMNS))
+    first = F.min(F.struct(*AUDIT_COLUMNS)).alias("first")
+    return known.groupBy("entry_key").agg(first).select("first.*")
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    schema = ", ".join(f"{c} string" for c in ("entry_key", *AUDIT_COLUMNS))
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def audit_csv(table: DataFrame) -> DataFrame:
+    """(number, line): the table as lines of one CSV file, the header as line 0, then by time, file and key."""
+    def cell(column: str) -> Sql:
+        value = f"coalesce({name(column)}, '')"
+        quoted = f"concat('\"', replace({value}, '\"', '\"\"'), '\"')"
+        return f"if({value} RLIKE '[\",\\r\\n]', {quoted}, {value})"
+
+    line = f"concat_ws(',', {', '.join(map(cell, AUDIT_COLUMNS))})"
+    rows = written(placed(table, [F.col(c) for c in AUDIT_COLUMNS]), "rows")
+    body = numbered(rows, [], "number").selectExpr("number", f"{line} AS line")
+    header = table.sparkSession.range(1).selectExpr("0L AS number", f"'{','.join(AUDIT_COLUMNS)}' AS line")
+    return header.unionByName(body)
+
+
 def counted(log: Sql) -> Sql:
     """Number of replacements of a text that its summary reports.
 

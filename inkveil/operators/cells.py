@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, IntegralType
 
 from inkveil.functions.sql import name
+from inkveil.operators.numbering import numbered, placed
 from inkveil.operators.redact import ALL_PHASES, PATTERN_PHASES, redact
 from inkveil.rules import DEFAULT_RULES, RuleSet
 from inkveil.rules.reports import SHEET_HEADING
+from inkveil.sources.shared import written
 
 # Spelled with digits, points and signs alone.
 _LETTERLESS = (IntegralType, DecimalType, DateType)
@@ -73,16 +75,47 @@ def rows_to_lines(df: DataFrame, keys: Sequence[str], separator: str = "\t") ->
     return df.select(*keys, F.concat_ws(separator, *cells).alias("line"))
 
 
+def aligned_lines(df: DataFrame, order: Sequence[str], missing: str = "NaN") -> DataFrame:
+    """A table as an aligned block: (number, line), the header first.
+
+    Rows are numbered from 0 in the given order.  Cells keep their spelling and
+    stand at the right, two blanks apart; row numbers stand at the left.  The
+    widths are one row of maxima, taken in part by every task.
+    """
+    cells = {c: F.coalesce(F.col(name(c)).cast("string"), F.lit(missing)) for c in df.columns}
+    at = [f"__order_{n}" for n in range(len(order))]
+    texts = df.select(*[F.col(name(c)).alias(o) for c, o in zip(order, at, strict=True)], *[v.alias(c) for c, v in cells.items()])
+    ordered = written(placed(texts, [F.col(o) for o in at]), "rows")
+    longest = [F.max(F.char_length(name(c))).alias(f"w{n}") for n, c in enumerate(df.columns)]
+    widths = ordered.agg(F.count("*").alias("rows"), *longest).first()
+    numbers = len(str(max(widths["rows"] - 1, 0)))
+
+    def spread(values: Sequence[Column]) -> list[Column]:
+        sizes = [max(len(c), widths[f"w{n}"] or 0) for n, c in enumerate(df.columns)]
+        return [part for v, size in zip(values, sizes, strict=True) for part in (F.lit("  "), F.lpad(v, size, " "))]
+
+    header = df.sparkSession.range(1).select(
+        F.lit(0).cast("long").alias("number"),
+        F.concat(F.lit(" " * numbers), *spread([F.lit(c) for c in df.columns])).alias("line"),
+    )
+    body = numbered(ordered, [], "number")
+    row = F.concat(F.rpad((F.col("number") - 1).cast("string"), numbers, " "), *spread([F.col(name(c)) for c in df.columns]))
+    return header.unionByName(body.select("number", row.alias("line")))
+
+
 def workbook_lines(
     rows: DataFrame, file: str, sheet_number: str, sheet: str, row_number: str, line: str
 ) -> DataFrame:
     """The rows of all sheets of a file as one run of numbered lines.
 
     Each sheet starts with its heading and ends with an empty line.  Sheets and
-    rows come in the order of their numbers, whatever these are.  Only the row
-    counts of the sheets are put in order; the rows themselves are joined to them.
+    rows come in the order of their numbers, whatever these are.  Rows are put
+    in order over all tasks, so that a sheet of any size is many tasks' work;
+    only row counts are added up.
     """
-    counts = rows.groupBy(file, sheet_number).agg(F.count("*").alias("__rows"))
+    in_order = placed(rows, [F.col(name(c)) for c in (file, sheet_number, row_number)])
+    in_order = written(in_order, "rows")
+    counts = in_order.groupBy(file, sheet_number).agg(F.count("*").alias("__rows"))
     earlier = Window.partitionBy(file).orderBy(sheet_number).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -90,10 +123,7 @@ def workbook_lines(
     offsets = counts.withColumn(
         "__offset", F.coalesce(F.sum(F.col("__rows") + 2).over(earlier), F.lit(0))
     )
-    in_sheet = Window.partitionBy(file, sheet_number).orderBy(row_number)
-    placed = rows.join(offsets, [file, sheet_number]).withColumn(
-        "__place", F.row_number().over(in_sheet)
-    )
+    placed_rows = numbered(in_order, [file, sheet_number], "__place").join(offsets, [file, sheet_number])
     at = F.col("__offset") + F.col("__place")
     own = F.struct(at.alias("number"), F.col(line).alias("line"))
     heading = F.struct(
@@ -108,7 +138,7 @@ def workbook_lines(
             F.when(F.col("__place") == F.col("__rows"), closing),
         )
     )
-    return placed.select(file, F.inline(lines))
+    return placed_rows.select(file, F.inline(lines))
 
 
 def lines_to_text(lines: DataFrame, file: str, number: str, line: str) -> DataFrame:

@@ -55,7 +55,8 @@ def placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
 def numbered(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
     """Rows of ``placed`` (written, its order led by the keys) with their number in the group, from 1.
 
-    What is added up is one line per group and part.
+    What is added up is one line per group and part; without keys all rows are
+    one group.
     """
     at = [F.col(name(k)) for k in keys]
     lines = df.groupBy(*at, "__part").agg(F.count("*").alias("__rows"), F.min("__at").alias("__first"))

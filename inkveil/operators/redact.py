@@ -46,6 +46,8 @@ EMPTY_LOG = f"CAST(array() AS {LOG_TYPE})"
 
 # Steps of one projection at most; longer chains resolve slowly.
 _SEGMENT_SIZE = 8
+# Steps, times columns, whose code is compiled as one method at most.
+_METHOD_SIZE = 24
 _FACTS, _WORK, _WORDS = "__facts_", "__work_", "__words_"
 
 Test = Callable[[Sql], Sql]
@@ -299,13 +301,15 @@ def redact(
             f"{start} AS {name(_WORK + target)}",
         ]
 
-    def run(segment: Segment, target: str) -> Sql:
+    def run(segment: Segment, target: str, apart: bool) -> Sql:
         work, f = name(_WORK + target), name(_FACTS + target) + ".of"
         may = segment.may(f)
         if segment.steps[0].phase == KEYWORD:
             may = f"(({name(_WORDS + target)} OR {f}.folded) AND {may})"
         changed = segment.on_state(work) if log else segment.on_text(work)
-        return f"if({may}, {changed}, {work}) AS {work}"
+        result = f"if({may}, {changed}, {work})"
+        # A projection with a lambda is not compiled together with its neighbours.
+        return f"{let('done', result, 'done') if apart else result} AS {work}"
 
     def look_again(target: str) -> Sql:
         work = name(_WORK + target)
@@ -314,12 +318,16 @@ def redact(
 
     staged = df.selectExpr(*kept, *[c for t in targets for c in look(t)])
     found = [name(_FACTS + t) for t in targets]
+    compiled = 0
     for segment in _segments(rules, phases):
+        compiled += len(segment.steps) * len(targets)
+        apart = compiled > _METHOD_SIZE and len(targets) > 1
+        compiled = 0 if apart else compiled
         if segment.steps[0].phase == KEYWORD and name(_WORDS + targets[0]) not in found:
             work = [name(_WORK + t) for t in targets]
             staged = staged.selectExpr(*kept, *found, *work, *map(look_again, targets))
             found += [name(_WORDS + t) for t in targets]
-        staged = staged.selectExpr(*kept, *found, *[run(segment, t) for t in targets])
+        staged = staged.selectExpr(*kept, *found, *[run(segment, t, apart) for t in targets])
 
     def finish(target: str) -> dict[str, Sql]:
         work, eligible = name(_WORK + target), name(_FACTS + target) + ".eligible"

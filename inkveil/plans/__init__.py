@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = ("redaction", "audit", "words", "reporting", "showcase", "lists")
+_MODULES = ("redaction", "audit", "words", "reporting", "showcase", "lists", "stores")
 
 
 def _merged(attribute: str) -> dict:

@@ -26,6 +26,9 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
 
 BSD_3_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 
+_CLAUSES = BSD_2.split("\n\n")
+BSD_3 = "\n\n".join([*_CLAUSES[:3], BSD_3_CLAUSE, *_CLAUSES[3:]])
+
 ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
@@ -56,7 +59,7 @@ FULL = {
     "MIT": MIT,
     "ISC": ISC,
     "BSD-2-Clause": BSD_2,
-    "BSD-3-Clause": BSD_3_CLAUSE,
+    "BSD-3-Clause": BSD_3,
     "Zlib": ZLIB,
     "Apache-2.0": APACHE_2,
     "GPL-3.0": GPL,

@@ -1,25 +1,34 @@
 """Licences in texts, by the Dice coefficient over word bigrams.
 
 Everything is built-in expressions.  A text is taken apart into lines,
-paragraphs of several lines, and, where there are several paragraphs, the text
-as a whole.  Such a unit and a template are normalised alike (letters A-Z
+paragraphs of several lines, sentences (which may begin and end inside a line,
+or go over several) and, where there are several paragraphs, the text as a
+whole.  Such a unit and a template are normalised alike (letters A-Z
 lower-cased, everything but letters a-z and digits a blank) and compared as
 sets of word bigrams: twice the shared ones over the sum of both sizes.
 
 A coefficient of t needs sizes within a factor of (2 - t) / t, so a unit only
 meets templates of such sizes, and units that fit no template are dropped
-before their bigrams are listed.  Bigrams meet those of the templates in a hash
-join with the fixed, small table of template bigrams; only matches are counted
-and shuffled.
+before their bigrams are listed.  It also leaves at most a share of
+(2 - 2t) / (2 - t) of a template's bigrams unmatched.  So some words are chosen
+such that more of every template's bigrams than that hold one of them; what
+holds none of these words is like no template, and goes before anything else is
+done with it.  Bigrams meet those of the templates in a hash join with the
+fixed, small table of template bigrams; only matches are counted and shuffled.
 
 Defined cases: a null text counts as empty; units with fewer than two words
-match nothing; the best template of a unit counts, ties go to the first by name
-and part; repeated documents give their matches each; documents without a match
-give no rows.  Columns besides the named ones are not read.
+match nothing; a sentence that is a whole line is a line only; the best template
+of a unit counts, ties go to the first by name and part; repeated documents give
+their matches each; documents without a match give no rows.  Columns besides the
+named ones are not read.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +38,7 @@ from inkveil.llm.license_texts import FULL, NAMED, SENTENCES
 LEAST = 0.9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OTHER, _GAP = "[^a-z0-9]+", r"\n[ \t\r]*\n"
+_STOP = r"([.!?])[ \t\r\n]+"
 
 
 def templates() -> list[tuple[str, int, str]]:
@@ -67,18 +77,50 @@ def with_bigrams(df: DataFrame) -> DataFrame:
     return once(several, "b", pairs("w")).drop("w")
 
 
-def units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, uid, unit, number and text of lines, paragraphs and whole texts."""
+def telling_words(texts: list[str], least: float) -> list[str]:
+    """Words of which every unit with a coefficient of ``least`` or more holds one.
+
+    Chosen greedily; long words first, as those are rarer.
+    """
+    kinds = []
+    for text in texts:
+        w = re.sub(_OTHER, " ", text.translate(str.maketrans(_UPPER, _LOWER))).split()
+        kinds.append(set(zip(w, w[1:], strict=False)))
+    open_ = [(b, (2 - 2 * least) / (2 - least) * len(b) + 1e-9) for b in kinds if b]
+    out: list[str] = []
+    while open_:
+        gain: Counter = Counter()
+        for bigrams, spare in open_:
+            held = Counter(w for pair in bigrams for w in set(pair))
+            for w, n in held.items():
+                gain[w] += min(n, spare + 1) * (1 if len(w) > 5 else 0.15)
+        out.append(min(gain, key=lambda w: (-gain[w], w)))
+        left = [({p for p in b if out[-1] not in p}, spare, len(b)) for b, spare in open_]
+        open_ = [(b, spare - (n - len(b))) for b, spare, n in left if spare >= n - len(b)]
+    return [w for w in out if not any(o != w and o in w for o in out)]
+
+
+def _holds(text: Column, some: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in some), F.lit(False))
+
+
+def units(docs: DataFrame, some: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, uid, unit, number and text of lines, paragraphs, sentences and whole texts that hold one of these words."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("uid", F.monotonically_increasing_id())
+    rows = once(rows, "low", F.lower("t")).filter(_holds(F.col("low"), some)).drop("low")
+    rows = once(rows, "lines", F.split("t", "\n", -1))
 
-    def parts(unit: str, pattern: str) -> DataFrame:
-        cut = rows.select("doc_id", "uid", F.posexplode(F.split("t", pattern, -1)).alias("number", "text"))
-        return cut.select("doc_id", "uid", F.lit(unit).alias("unit"), "number", "text")
+    def listed(unit: str, parts: Column) -> Column:
+        return F.transform(parts, lambda x, i: F.struct(F.lit(unit).alias("unit"), i.alias("number"), x.alias("text")))
 
-    gaps = F.col("t").rlike(_GAP)
-    whole = rows.filter(gaps).select("doc_id", "uid", F.lit("text").alias("unit"), F.lit(0).alias("number"), F.col("t").alias("text"))
-    several = parts("paragraph", _GAP).filter(F.col("text").contains("\n"))
-    return parts("line", "\n").unionAll(several).unionAll(whole)
+    paragraphs = F.filter(listed("paragraph", F.split("t", _GAP, -1)), lambda x: F.contains(x["text"], F.lit("\n")))
+    cut = F.split(F.regexp_replace("t", _STOP, "$1\x01"), f"\x01|{_GAP}", -1)
+    sentences = F.filter(listed("sentence", cut), lambda x: ~F.array_contains("lines", x["text"]))
+    whole = F.when(F.col("t").rlike(_GAP), listed("text", F.array("t")))
+    none = F.array().cast("array<struct<unit:string,number:int,text:string>>")
+    every = F.concat(listed("line", F.col("lines")), paragraphs, sentences, F.coalesce(whole, none))
+    each = rows.select("doc_id", "uid", F.inline(every))
+    return once(each, "low", F.lower("text")).filter(_holds(F.col("low"), some)).drop("low")
 
 
 def known(spark: SparkSession, texts: list[tuple[str, int, str]]) -> DataFrame:
@@ -98,10 +140,11 @@ def _fits(sizes: list[int], factor: float) -> Column:
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST, texts: list[tuple[str, int, str]] | None = None) -> DataFrame:
     """doc_id, unit, number, licence, part and score of every unit that is a licence text."""
     spark = docs.sparkSession
-    wanted = known(spark, templates() if texts is None else texts)
+    texts = templates() if texts is None else texts
+    wanted = known(spark, texts)
     factor = (2 - least) / least
     sizes = sorted({r["m"] for r in wanted.select("m").distinct().collect()})  # as many as templates
-    rows = with_bigrams(units(docs, key, text)).withColumn("n", F.size("b")).filter(_fits(sizes, factor))
+    rows = with_bigrams(units(docs, telling_words([t for *_, t in texts], least), key, text)).withColumn("n", F.size("b")).filter(_fits(sizes, factor))
     rows = rows.select("doc_id", "uid", "unit", "number", "n", F.explode("b").alias("bigram"))
     # The templates are a fixed list, so their table is small whatever the documents are.
     met = rows.join(F.broadcast(wanted), "bigram").filter((F.col("n") * factor >= F.col("m")) & (F.col("n") <= F.col("m") * factor))
@@ -134,6 +177,9 @@ u AS (
   UNION ALL
   SELECT * FROM (SELECT uid, doc_id, 'paragraph', unnest(range(len(p))), unnest(p) AS t FROM p) WHERE contains(t, chr(10))
   UNION ALL
+  SELECT uid, doc_id, unit, number, t FROM (SELECT uid, doc_id, 'sentence' AS unit, l, unnest(range(len(s))) AS number, unnest(s) AS t
+    FROM (SELECT *, regexp_split_to_array(regexp_replace(t, '{_STOP}', '\\1' || chr(1), 'g'), chr(1) || '|{_GAP}') AS s FROM p)) WHERE NOT list_contains(l, t)
+  UNION ALL
   SELECT uid, doc_id, 'text', 0, t FROM p WHERE len(p) > 1
 ),
 uw AS (SELECT uid, doc_id, unit, number, string_split({normal.format("t")}, ' ') AS w FROM u),

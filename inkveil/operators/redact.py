@@ -77,12 +77,13 @@ class Step:
     spare_if: Test | None = field(default=None, compare=False)
     ends: str = ""
 
-    def replaced(self, text: Sql) -> Sql:
+    def replaced(self, text: Sql, f: Sql) -> Sql:
+        """``f`` are the facts of the text; a search to its end is made only where a match is possible."""
         if not self.ends:
             return self._replaced(text)
         rest = "substring(body, char_length(head) + 1)"
         parts = let("head", self._head("body"), f"concat({self._replaced('head')}, {rest})")
-        return let("body", text, parts)
+        return let("body", text, f"if({self.may(f)}, {parts}, body)")
 
     def _head(self, text: Sql) -> Sql:
         return f"regexp_extract({text}, {string(rf'(?s)\A.*(?:{self.ends})')}, 0)"
@@ -241,19 +242,19 @@ class Segment:
     def may(self, f: Sql) -> Sql:
         return any_of(dict.fromkeys(step.may(f) for step in self.steps))
 
-    def on_text(self, text: Sql) -> Sql:
+    def on_text(self, text: Sql, f: Sql) -> Sql:
         for step in self.steps:
-            text = step.replaced(text)
+            text = step.replaced(text, f)
         return text
 
-    def on_state(self, out: Sql) -> Sql:
+    def on_state(self, out: Sql, f: Sql) -> Sql:
         """The same on struct(text, log), with an entry for each replacement."""
         for step in self.steps:
             logged = f"named_struct('text', new, 'log', concat(s.log, {step.entries('s.text')}))"
             out = let(
                 "s",
                 out,
-                let("new", step.replaced("s.text"), f"if(new = s.text, s, {logged})"),
+                let("new", step.replaced("s.text", f), f"if(new = s.text, s, {logged})"),
             )
         return out
 
@@ -306,7 +307,7 @@ def redact(
         may = segment.may(f)
         if segment.steps[0].phase == KEYWORD:
             may = f"(({name(_WORDS + target)} OR {f}.folded) AND {may})"
-        changed = segment.on_state(work) if log else segment.on_text(work)
+        changed = segment.on_state(work, f) if log else segment.on_text(work, f)
         result = f"if({may}, {changed}, {work})"
         # A projection with a lambda is not compiled together with its neighbours.
         return f"{let('done', result, 'done') if apart else result} AS {work}"

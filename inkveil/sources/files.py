@@ -30,6 +30,29 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def _scanned(files: DataFrame) -> DataFrame:
+    name_ = F.element_at(F.split("path", "/"), -1)
+    return files.select(name_.alias("file_name"), "path", "length", F.col("modificationTime").alias("modified"))
+
+
+def scan_files(spark: SparkSession, directory: str, names: str = "*", nested: bool = False) -> DataFrame:
+    """The files of a directory as a scan, for directories of any size; contents are not read.
+
+    Spark lists large trees by tasks and hands the rows to tasks.  As for all
+    its readers, names that begin with "_" or "." are not there;
+    ``list_files`` shows those.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", names)
+    return _scanned(reader.option("recursiveFileLookup", nested).load(directory))
+
+
+def stream_files(spark: SparkSession, directory: str, names: str = "*", at_once: int = 1000) -> DataFrame:
+    """``scan_files`` as a stream: every file once, ``at_once`` of them in a batch."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", names)
+    return _scanned(reader.option("maxFilesPerTrigger", at_once).load(directory))
+
+
 def suffix(file_name: Sql) -> Sql:
     """Lower-case suffix with its dot; empty without one.
 

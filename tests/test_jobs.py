@@ -20,7 +20,7 @@ from inkveil.plans.redaction import spans_of, tagged as tag_texts
 from inkveil.rules import DEFAULT_RULES, PatternRule, RuleSet
 from inkveil.rules.files import CLEANSERS, FILE_LABELS
 from inkveil.sources.files import (
-    accepted, list_files, read_table, read_whitelist, route, skipped, stem, write_table,
+    accepted, list_files, read_table, read_whitelist, route, scan_files, skipped, stem, stream_files, write_table,
 )
 from inkveil.sources.reports import read_report_files, read_reports, write_reports
 from inkveil.streaming.corpus import redact_available
@@ -67,6 +67,30 @@ def test_listing_and_routing(spark, tmp_path):
     assert rows(names.selectExpr(stem("n"))) == [("a.b",), (".png",), ("c",)]
 
 
+def test_scanned_and_streamed_files(spark, tmp_path):
+    inbox = tmp_path / "in"
+    (inbox / "sub").mkdir(parents=True)
+    for name, text in (("a.txt", "aa"), ("b.PDF", "bbb"), ("c d.csv", "x"), ("_hidden.txt", "h")):
+        (inbox / name).write_text(text)
+    (inbox / "sub" / "e.txt").write_text("eeee")
+    found = scan_files(spark, str(inbox))
+    assert sorted((r.file_name, r.length) for r in found.collect()) == [("a.txt", 2), ("b.PDF", 3), ("c d.csv", 1)]
+    assert scan_files(spark, str(inbox), "*.txt", nested=True).count() == 2
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+
+    def batch():
+        query = (
+            stream_files(spark, str(inbox)).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state")
+            .trigger(availableNow=True).start(f"{tmp_path}/out")
+        )
+        query.awaitTermination()
+        return sorted(r.file_name for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    assert batch() == ["a.txt", "b.PDF", "c d.csv"]
+    (inbox / "new.txt").write_text("n")
+    assert batch() == ["a.txt", "b.PDF", "c d.csv", "new.txt"]
+
+
 def test_tables_keep_their_spelling(spark, tmp_path):
     source = tmp_path / "in.csv"
     source.write_text('id,note,n\n007,"mail a@b.example.com\nnow",1.50\n8,,\n')

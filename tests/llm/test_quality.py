@@ -31,6 +31,49 @@ def test_traversal_equals_walking():
     assert ((got > 0.5) == y).mean() > 0.95
 
 
+def plain_fit(x, y, s):
+    """Margins of the rows after boosting with trees that are grown by trying every feature and cut on the rows themselves."""
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, s.bins + 1)[1:-1]))) for f in range(x.shape[1])]
+    share = (y.sum() + 1) / (len(y) + 2)
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(s.trees):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = y - p, np.maximum(p * (1 - p), 1e-6)
+
+        def worth(rows):
+            return grad[rows].sum() ** 2 / (hess[rows].sum() + s.ridge)
+
+        def grown(rows, depth):
+            if depth == s.depth:
+                margin[rows] += s.rate * grad[rows].sum() / (hess[rows].sum() + s.ridge)
+                return
+            best = (1e-9, None, None)
+            for f, edges in enumerate(cuts):
+                for cut in edges:
+                    left, right = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                    if min(len(left), len(right)) >= s.least_rows:
+                        gain = worth(left) + worth(right) - worth(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, left, right)
+            if best[1] is None:
+                grown(rows, s.depth)
+                return
+            grown(best[1], depth + 1)
+            grown(best[2], depth + 1)
+
+        grown(np.arange(len(y)), 0)
+    return margin
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fit_equals_trying_every_cut(seed):
+    draw = np.random.default_rng(seed)
+    x = np.round(draw.normal(size=(150, 3)), 1)
+    y = (x[:, 0] * x[:, 1] + draw.normal(size=150) * 0.3 > 0.1).astype(float)
+    s = Settings(trees=4, depth=3, bins=12, least_rows=6)
+    assert np.allclose(fit(x, y, s).margin(x), plain_fit(x, y, s), atol=1e-9)
+
+
 @pytest.mark.parametrize("y", [[], [1.0] * 30, [0.0, 1.0]])
 def test_little_to_learn_from(y):
     x = np.zeros((len(y), len(NAMES)))

@@ -14,12 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkveil.functions.sql import matches, string
+from inkveil.functions.regex import EDGE, WORD
+from inkveil.functions.sql import Sql, let, matches, name, string
 from inkveil.operators.containment import contained
 
 #: Rules without any required characters, which every text has to try.
 MOST_WITHOUT_LITERAL = 1000
 
+#: Keywords that are part of a tag.
+MOST_IN_TAGS = 1000
+#: Signs with a meaning in patterns, or in replacements; a backslash goes before them.
+_SPECIAL, _DOLLAR, _QUOTED = r"([^\p{L}\p{N}_\p{Z}\s])", r"([\\$])", r"\\$1"
+
 _QUANTIFIER = re.compile(r"[?*+]|\{(\d+)(,\d*)?\}")
 
 
@@ -146,3 +152,50 @@ def keyword_table_hits(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
     listed = keywords.select("category", "keyword", F.lower("keyword").alias("__word")).distinct()
     met = contained(folded, ["token"], "__low", listed, "__word")
     return met.join(listed, "__word").select("token", "category", "keyword")
+
+
+def _folded(text: Sql) -> Sql:
+    """Equal for texts that a pattern takes for equal when it ignores case."""
+    # Letters whose lower case is not that of their capital.
+    return f"translate(lower(translate({text}, 'İ', 'i')), 'ſıςµ', 'siσμ')"
+
+
+def redact_keyword_table(df: DataFrame, key: str, column: str, keywords: DataFrame, tag: str = "tag") -> DataFrame:
+    """Replace the keywords of a table (ord, keyword, tag) that stand by themselves, in their order.
+
+    What the keyword phase of ``redact`` does with the few of a rule set, for
+    lists of any length: a text meets only the keywords that it holds, and these
+    are replaced one after another within its row.  A keyword may stand in a tag
+    that was put in before; such keywords are few, as they are part of a tag,
+    and are tried on every text in which another one is found.  Keywords with a
+    "<" are passed over.  ``key`` is unique in ``df``.
+    """
+    text = name(column)
+    listed = keywords.select("ord", "keyword", F.col(tag).alias("tag")).where("keyword <> '' AND NOT contains(keyword, '<')")
+    listed = listed.withColumn("__word", F.expr(_folded("keyword")))
+    own = F.col(name(key))
+    low = df.select(own.alias("__key"), F.expr(_folded(text)).alias("__low")).where("__low IS NOT NULL")
+    met = contained(low, ["__key"], "__low", listed, "__word").select("__key", "__word")
+    tags = listed.select(F.expr(_folded("tag")).alias("__low")).distinct()
+    inside = contained(tags, ["__low"], "__low", listed, "__word").select("__word").distinct()
+    inside = inside.limit(MOST_IN_TAGS + 1).collect()
+    if len(inside) > MOST_IN_TAGS:
+        raise ValueError(f"more than {MOST_IN_TAGS} keywords are part of a tag")
+    if inside:
+        always = F.explode(F.array(*(F.lit(r[0]) for r in inside)))
+        met = met.union(met.select("__key").distinct().select("__key", always)).distinct()
+    # The keywords of a text are bounded by the text.
+    entry = F.struct("ord", "keyword", "tag")
+    found = met.join(listed, "__word").groupBy("__key").agg(F.array_sort(F.collect_list(entry)).alias("__found"))
+    pattern = f"concat({string(EDGE + '(?iu)')}, regexp_replace(k.keyword, {string(_SPECIAL)}, {string(_QUOTED)}), {string(EDGE)})"
+    literal = f"regexp_replace(k.tag, {string(_DOLLAR)}, {string(_QUOTED)})"
+    # Most keywords are only part of a word; a look at the words of the text, and of the tags, settles that for those that are one word.
+    # (One that begins or ends with a sign can set its neighbour free.)
+    word, sign = string(f"\\A[{WORD}]+\\z"), string(f"\\A[^{WORD}]|[^{WORD}]\\z")
+    tags_too = f"concat_ws(' ', {text}, transform(__found, k -> k.tag))"
+    words = f"split({_folded(tags_too)}, {string(f'[^{WORD}]+')})"
+    likely = f"filter(__found, k -> NOT k.keyword RLIKE {word} OR array_contains(own, {_folded('k.keyword')}))"
+    chosen = f"if(exists(__found, k -> k.keyword RLIKE {sign}), __found, {let('own', words, likely)})"
+    done = f"aggregate({chosen}, {text}, (t, k) -> regexp_replace(t, {pattern}, {literal}))"
+    met_rows = df.join(found, own == F.col("__key"), "left").withColumn("__done", F.expr(f"if(__found IS NULL, {text}, {done})"))
+    return met_rows.select(*[F.col("__done").alias(c) if c == column else F.col(name(c)) for c in df.columns])

@@ -15,7 +15,7 @@ finished chunks of a text are put together again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.sql import let, name
 from inkveil.operators.entities import redactable
+from inkveil.operators.redact import redact
 from inkveil.rules import DEFAULT_RULES, RuleSet
 from inkveil.sources.shared import written
 
@@ -161,6 +162,19 @@ def redact_entity_table(df: DataFrame, key: str, column: str, spans: DataFrame,
     return put_in(df, key, column, chosen)
 
 
+def redact_with_span_table(
+    df: DataFrame,
+    key: str,
+    column: str,
+    tagger: Callable[[DataFrame], DataFrame],
+    rules: RuleSet = DEFAULT_RULES,
+) -> DataFrame:
+    """The full cascade; ``tagger`` gives the table of spans of the texts after the patterns."""
+    before = written(redact(df, column, rules, ("context", "pattern")), "patterns")
+    done = redact_entity_table(before, key, column, tagger(before), rules)
+    return redact(done, column, rules, ("keyword", "merge"))
+
+
 def entity_audit(chosen: DataFrame, log: str = "entry") -> DataFrame:
     """(key, entry) of every span put in, in the form of a log (``redact.LOG_TYPE``'s elements)."""
     entry = (

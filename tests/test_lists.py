@@ -14,7 +14,7 @@ from inkveil.operators.entities import redact_entities
 from inkveil.operators.listed import redact_with_whitelist
 from inkveil.operators.pieces import cut_text, redact_in_pieces
 from inkveil.operators.redact import redact
-from inkveil.operators.rule_table import MOST_WITHOUT_LITERAL, first_rules, keyword_table_hits, required_literal, rule_hits
+from inkveil.operators.rule_table import MOST_WITHOUT_LITERAL, first_rules, keyword_table_hits, redact_keyword_table, required_literal, rule_hits
 from inkveil.operators.span_table import chosen_spans, entity_audit, put_in, redact_entity_table
 from inkveil.rules import DEFAULT_RULES, RuleSet
 from inkveil.rules.patterns import PatternRule
@@ -70,6 +70,21 @@ def test_keyword_table(spark):
     assert got == {("xHDFCx", "bank", "hdfc"), ("xHDFCx", "bank", "HDFC"), ("Zebra", "animal", "ebr"), ("Zebra", "letter", "B"), ("b", "letter", "B")}
 
 
+def test_keyword_table_equals_the_keyword_phase(spark):
+    """Keywords that are words, phrases, parts of tags, and signs beside words."""
+    words = {"banks": ("SBI", "Axis Bank", "bank", "C++", ".net", "é", "kſ"), "locations": ("location", "sa", "corp-db01", "x"), "projects": ("Project Titan", "a<b")}
+    rules = RuleSet(keywords=words, redacted_categories=tuple(words))
+    rng = random.Random(51)
+    pool = ["SBI", "sbi", "Axis  Bank", "axis bank", "asp.net", ".NET", "C++", "c+", "bank", "banks", "É", "é", "KS", "kſ", "location", "sa", "sap", "x", "corp-db01", "project titan", "a<b", "-", ".", " ", " ", "\n"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(1, 10))) + " end" for _ in range(400)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(4)
+    keywords = spark.createDataFrame([(n, w, f"<{c[:-1]}>") for n, (c, w, _) in enumerate(rules.keyword_rows())], "ord int, keyword string, tag string")
+    got = {r.i: r.t for r in redact_keyword_table(df, "i", "t", keywords).collect()}
+    want = {r.i: r.t for r in redact(df, "t", rules, phases=("keyword",)).collect()}
+    assert [(texts[i], got[i], t) for i, t in want.items() if got[i] != t] == []
+    assert sum(texts[i] != t for i, t in want.items()) > 100
+
+
 # ------------------------------------------------------------------- rules
 
 LITERALS = {

@@ -79,8 +79,9 @@ def aligned_lines(df: DataFrame, order: Sequence[str], missing: str = "NaN") ->
     """A table as an aligned block: (number, line), the header first.
 
     Rows are numbered from 0 in the given order.  Cells keep their spelling and
-    stand at the right, two blanks apart; row numbers stand at the left.  The
-    widths are one row of maxima, taken in part by every task.
+    stand at the right with two blanks before the longest, names with one; row
+    numbers stand at the left.  The widths are one row of maxima, taken in part
+    by every task.
     """
     cells = {c: F.coalesce(F.col(name(c)).cast("string"), F.lit(missing)) for c in df.columns}
     at = [f"__order_{n}" for n in range(len(order))]
@@ -91,8 +92,8 @@ def aligned_lines(df: DataFrame, order: Sequence[str], missing: str = "NaN") ->
     numbers = len(str(max(widths["rows"] - 1, 0)))
 
     def spread(values: Sequence[Column]) -> list[Column]:
-        sizes = [max(len(c), widths[f"w{n}"] or 0) for n, c in enumerate(df.columns)]
-        return [part for v, size in zip(values, sizes, strict=True) for part in (F.lit("  "), F.lpad(v, size, " "))]
+        sizes = [max(len(c), (widths[f"w{n}"] or 0) + 1) for n, c in enumerate(df.columns)]
+        return [part for v, size in zip(values, sizes, strict=True) for part in (F.lit(" "), F.lpad(v, size, " "))]
 
     header = df.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("number"),

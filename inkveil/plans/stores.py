@@ -94,9 +94,9 @@ QUERIES = {
 
 def _aligned_sql(name: str, order: str, columns: list[str]) -> str:
     cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'NaN') AS {c}" for c in columns)
-    widths = ", ".join(f"greatest(max(length({c})), {len(c)}) AS w_{c}" for c in columns)
-    header = " || ".join(f"'  ' || lpad('{c}', w_{c}::INTEGER, ' ')" for c in columns)
-    body = " || ".join(f"'  ' || lpad({c}, w_{c}::INTEGER, ' ')" for c in columns)
+    widths = ", ".join(f"greatest(max(length({c})) + 1, {len(c)}) AS w_{c}" for c in columns)
+    header = " || ".join(f"' ' || lpad('{c}', w_{c}::INTEGER, ' ')" for c in columns)
+    body = " || ".join(f"' ' || lpad({c}, w_{c}::INTEGER, ' ')" for c in columns)
     return (
         f"WITH c AS (SELECT row_number() OVER (ORDER BY {order}) AS number, {cells} FROM (SELECT * FROM {name}) t),"
         f" w AS (SELECT length((count(*) - 1)::VARCHAR)::INTEGER AS w, {widths} FROM c)"

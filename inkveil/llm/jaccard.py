@@ -301,23 +301,23 @@ def size_class(n: Column, percent: int) -> Column:
 
 
 def _entries(nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, n, element): the elements in a node's places that other nodes have too.
+    """(node, n, element): the elements in a node's places that other nodes may have too.
 
-    Elements that compete for places are counted first, in part by every task;
-    those of one set alone take places, but no list.  Common elements (of copies
-    and boilerplate) have as many entries as documents, so entries meet their
-    counts in a join, which Spark splits where a key is hot, and never a window.
+    Elements that compete for places are counted first; those of one set alone
+    take places, but no list.  Common elements (of copies and boilerplate, as
+    the survey of all documents found them) do not compete: they have their
+    places for sure, so they are not counted, and no list that is counted here
+    is long.
     """
-    every = F.concat(F.transform("listed", lambda x: F.struct(x.alias("element"), F.lit(False).alias("sure"))),
-                     F.transform("sure", lambda x: F.struct(x.alias("element"), F.lit(True).alias("sure"))))
-    lists = nodes.select("node", "n", F.size("listed").alias("competing"), F.explode(every).alias("e")).select("node", "n", "competing", "e.*")
-    counts = lists.groupBy("element").agg(F.count("*").alias("sets")).filter("sets > 1")
-    shared = lists.join(counts, "element")
-    of_node = Window.partitionBy("node", "sure")
+    sure = nodes.select("node", "n", F.explode("sure").alias("element"))
+    lists = nodes.select("node", "n", F.size("listed").alias("competing"), F.explode("listed").alias("element"))
+    shared = lists.withColumn("sets", F.count("*").over(Window.partitionBy("element"))).filter("sets > 1")
+    of_node = Window.partitionBy("node")
     places = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     taken = F.col("competing") - F.count("*").over(of_node)  # by elements of this set alone
     rank = F.row_number().over(of_node.orderBy("sets", "element"))
-    return shared.withColumns({"taken": taken, "rank": rank}).filter(F.col("sure") | (F.col("rank") + F.col("taken") <= places)).select("node", "n", "element")
+    ranked = shared.withColumns({"taken": taken, "rank": rank}).filter(F.col("rank") + F.col("taken") <= places)
+    return ranked.select("node", "n", "element").unionAll(sure)
 
 
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:

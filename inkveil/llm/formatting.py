@@ -10,9 +10,10 @@ piece is found by rendering the prefix once more with a sentinel for the text:
 what stands before and behind the sentinel is the template's.
 
 Whole prefixes of a long conversation would cost the square of its length, and
-hold it in memory.  A template may say how many turns it looks back at most
-(``reach``); then only so many turns before the last one are rendered.  That is
-checked against whole prefixes on the first turns of every conversation.
+hold it in memory.  Prefixes are whole up to WHOLE_TURNS turns and WHOLE_CHARS
+characters; beyond, where a template says how many turns it looks back at most
+(``reach``), they begin at a later turn, never within reach.  What it says is
+checked on the first turns of every conversation and wherever the beginning moves.
 
 Defined cases: null roles and texts are empty; rows of one turn come by role,
 then text, null turns first; a null conversation id is one conversation; an
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -40,6 +40,8 @@ from inkveil.llm.turns import in_order, streamed
 SENTINEL = "\ufdd0"
 #: Turns of every conversation on which a template's reach is checked.
 CHECKED_TURNS = 16
+#: Turns, and characters of their texts, that a prefix holds before its beginning may move.
+WHOLE_TURNS, WHOLE_CHARS = 64, 1 << 20
 LEARNED_ROLE = "assistant"
 
 Turns = list[tuple[str, str]]
@@ -137,29 +139,43 @@ def _pieces(template: Template) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
     """Rows (conv_id, turn, role, text) to rows of PIECES."""
     reach, render = template.reach, template.render
 
+    def added(was: str, now: str) -> tuple[int, str]:
+        """How much of the output before goes, and what comes in its place."""
+        same = in_common(was, now)
+        return len(was) - same, now[same:]
+
     def of_one(conv_id, rows: Iterator[tuple]) -> Iterator[tuple]:
-        window: deque = deque(maxlen=None if reach is None else reach + 1)
-        first: Turns = []
-        length = text_end = 0  # of the whole output so far, and of its last text
-        whole = ""
+        turns: Turns = []  # the prefix
+        was = ""  # its output
+        length = text_end = chars = 0  # of the whole output so far, of its last text, and of the prefix
         for place, (_, _, role, text) in enumerate(rows):
-            before = list(window)[-reach:] if reach else ([] if reach == 0 else list(window))
-            was, now = render(before) if place else "", render([*before, (role, text)])
-            same = in_common(was, now)
-            stands, piece = length - (len(was) - same), now[same:]
-            probe = render([*before, (role, SENTINEL)])
-            at, behind = probe.find(SENTINEL), len(probe) - probe.rfind(SENTINEL) - 1
+            now = render([*turns, (role, text)])
+            back, piece = added(was, now)
+            same, stands = len(was) - back, length - back
+            probe = render([*turns, (role, SENTINEL)])
+            # Texts before may hold the sentinel.
+            new = min(same, in_common(was, probe))
+            at, behind = probe.find(SENTINEL, new), len(probe) - probe.rfind(SENTINEL) - 1
             start = end = None
-            if at >= same and probe.count(SENTINEL) == 1:
+            if at >= same and probe.count(SENTINEL, new) == 1:
                 start, end = stands + at - same, stands + len(piece) - behind
             yield (conv_id, place, role, stands, piece, start, end, stands < text_end)
-            window.append((role, text))
-            length, text_end = stands + len(piece), end if end is not None else text_end
-            if reach is not None and place < CHECKED_TURNS:
-                first.append((role, text))
-                whole = whole[:stands] + piece
-                if render(first) != whole:
+            chars += len(role) + len(text)
+            moves = reach is not None and len(turns) > reach and (len(turns) >= WHOLE_TURNS or chars > WHOLE_CHARS)
+            if reach is not None and (place < CHECKED_TURNS or moves):
+                near = turns[-reach:] if reach else []
+                if added(render(near) if place else "", render([*near, (role, text)])) != (back, piece):
                     raise ValueError(f"the template looks back further than {reach} turns")
+            turns.append((role, text))
+            was = now
+            length, text_end = stands + len(piece), end if end is not None else text_end
+            if moves:
+                gone = 0
+                while len(turns) - gone > max(reach, 1) and (len(turns) - gone > WHOLE_TURNS // 2 or chars > WHOLE_CHARS // 2):
+                    chars -= len(turns[gone][0]) + len(turns[gone][1])
+                    gone += 1
+                del turns[:gone]
+                was = render(turns)
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         for conv_id, found in groupby(rows, key=itemgetter(0)):

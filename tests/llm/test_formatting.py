@@ -112,6 +112,30 @@ def test_reach():
         pieces(turns, counted)
 
 
+def test_prefixes_are_rendered_whole():
+    turns = [("user" if i % 2 else "assistant", f"t{i}" + "\ufdd0" * (i == 3)) for i in range(60)]
+
+    def late(turns):
+        """Counts from the twentieth turn on, and closes the last one."""
+        return "".join(f"{i if i >= 20 else ''}[{r}]{t}\n" for i, (r, t) in enumerate(turns)) + "</s>"
+
+    seen = []
+    rows = pieces(turns, Template(lambda t: seen.append(len(t)) or late(t), 0))
+    assert whole(rows) == late(turns) and rows == pieces(turns, Template(late))
+    assert set(seen) >= set(range(1, 61))
+    assert [whole(rows)[r[5] : r[6]] for r in rows] == [t for _, t in turns]
+
+
+def test_beginnings_move_out_of_reach_only(monkeypatch):
+    turns = [("user" if i % 3 else "assistant", f"t{i} " * 9) for i in range(300)]
+    assert pieces(turns, Template(numbered, 1)) == pieces(turns, Template(numbered, 100)) == pieces(turns, Template(numbered))
+    late = Template(lambda turns: "".join(f"{i if i > 20 else ''}{t}\n" for i, (_, t) in enumerate(turns)), 2)
+    with pytest.raises(ValueError, match="further than 2"):
+        pieces(turns, late)
+    monkeypatch.setattr("inkveil.llm.formatting.WHOLE_CHARS", 100)
+    assert pieces(turns, Template(numbered, 1)) == pieces(turns, Template(numbered)) and pieces(turns, MARKED) == pieces(turns, Template(marked_turns))
+
+
 def test_long_conversations_take_linear_time():
     def seconds(n):
         start = time.perf_counter()

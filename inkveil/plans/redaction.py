@@ -11,7 +11,7 @@ from inkveil.operators.cells import redact_cells
 from inkveil.operators.entities import redact_entity_arrays, redact_with_entity_arrays
 from inkveil.operators.redact import PATTERN_PHASES, merge_tags, redact
 from inkveil.plans import oracle
-from inkveil.plans.tables import documents, table
+from inkveil.plans.tables import documents, spread, table
 from inkveil.rules import DEFAULT_RULES, RuleSet
 
 # Keywords that do occur in the documents.
@@ -73,12 +73,12 @@ def redact_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def redact_full_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    records = table(spark, sf, "customer").selectExpr("c_custkey", f"{CUSTOMER_RECORD} AS text")
+    records = spread(table(spark, sf, "customer")).selectExpr("c_custkey", f"{CUSTOMER_RECORD} AS text")
     return redact(records, "text").withColumnRenamed("text", "redacted")
 
 
 def contextual_rules(spark: SparkSession, sf: str) -> DataFrame:
-    records = table(spark, sf, "orders").selectExpr("o_orderkey", f"{ORDER_RECORD} AS text")
+    records = spread(table(spark, sf, "orders")).selectExpr("o_orderkey", f"{ORDER_RECORD} AS text")
     done = redact(records, "text", phases=("context",))
     return done.withColumnRenamed("text", "redacted")
 
@@ -183,7 +183,7 @@ def cells(name: str, key: str):
     """All cells through all phases; the key is copied beside them first."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = table(spark, sf, name).withColumn("row_key", F.col(key))
+        rows = spread(table(spark, sf, name)).withColumn("row_key", F.col(key))
         return redact_cells(rows, keep=["row_key"])
 
     return query

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from inkveil.operators import audit
 from inkveil.operators.redact import redact
 from inkveil.plans import oracle
-from inkveil.plans.tables import table
+from inkveil.plans.tables import spread, table
 from inkveil.rules import DEFAULT_RULES, REST_OF_LINE
 
 # Six and four digits that differ from row to row; the text is valid in both engines.
@@ -46,7 +46,7 @@ RECORD = f"concat({_one_of(_TRIGGERS)}, chr(10), {_one_of(_SHAPES)}, chr(10), {_
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").selectExpr("o_orderkey", f"{RECORD} AS text")
+    return spread(table(spark, sf, "orders")).selectExpr("o_orderkey", f"{RECORD} AS text")
 
 
 def all_rules(spark: SparkSession, sf: str) -> DataFrame:

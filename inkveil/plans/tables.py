@@ -17,3 +17,13 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, directory: str, *columns: str) -> DataFrame:
     return table(spark, directory, "documents").select("doc_id", *columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the session's shuffle partitions.
+
+    A file of few row groups is read by few tasks, however many rows it has;
+    this is for narrow tables whose rows are a lot of work each.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts)

@@ -24,6 +24,7 @@ MOST_WITHOUT_LITERAL = 1000
 #: Keywords that are part of a tag.
 MOST_IN_TAGS = 1000
 #: Signs with a meaning in patterns, or in replacements; a backslash goes before them.
+_PLAIN = r"\A[a-z0-9]\z"
 _SPECIAL, _DOLLAR, _QUOTED = r"([^\p{L}\p{N}_\p{Z}\s])", r"([\\$])", r"\\$1"
 
 _QUANTIFIER = re.compile(r"[?*+]|\{(\d+)(,\d*)?\}")
@@ -157,7 +158,9 @@ def keyword_table_hits(tokens: DataFrame, keywords: DataFrame) -> DataFrame:
 def _folded(text: Sql) -> Sql:
     """Equal for texts that a pattern takes for equal when it ignores case."""
     # Letters whose lower case is not that of their capital.
-    return f"translate(lower(translate({text}, 'İ', 'i')), 'ſıςµ', 'siσμ')"
+    # ``translate`` is slow, and most texts hold none of them (a capital sigma becomes either of the small ones).
+    folded = f"translate(lower(translate({text}, 'İ', 'i')), 'ſıςµ', 'siσμ')"
+    return f"if({matches(text, '[İſıςµΣ]')}, {folded}, lower({text}))"
 
 
 def redact_keyword_table(df: DataFrame, key: str, column: str, keywords: DataFrame, tag: str = "tag") -> DataFrame:
@@ -187,7 +190,10 @@ def redact_keyword_table(df: DataFrame, key: str, column: str, keywords: DataFra
     # The keywords of a text are bounded by the text.
     entry = F.struct("ord", "keyword", "tag")
     found = met.join(listed, "__word").groupBy("__key").agg(F.array_sort(F.collect_list(entry)).alias("__found"))
-    pattern = f"concat({string(EDGE + '(?iu)')}, regexp_replace(k.keyword, {string(_SPECIAL)}, {string(_QUOTED)}), {string(EDGE)})"
+    # The first letter is looked at first, as in ``starting_with``.
+    alike = "CASE c WHEN 's' THEN '\u017f' WHEN 'k' THEN '\u212a' WHEN 'i' THEN '\u0130\u0131' ELSE '' END"
+    look = let("c", "lower(left(k.keyword, 1))", f"if({matches('c', _PLAIN)}, concat('(?=[', c, upper(c), {alike}, '])'), '')")
+    pattern = f"concat({look}, {string(EDGE + '(?iu)')}, regexp_replace(k.keyword, {string(_SPECIAL)}, {string(_QUOTED)}), {string(EDGE)})"
     literal = f"regexp_replace(k.tag, {string(_DOLLAR)}, {string(_QUOTED)})"
     # Most keywords are only part of a word; a look at the words of the text, and of the tags, settles that for those that are one word.
     # (One that begins or ends with a sign can set its neighbour free.)

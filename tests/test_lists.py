@@ -270,3 +270,36 @@ def test_spans_of_nobody(spark):
     assert redact_entity_table(df, "doc_id", "t", other).collect() == df.collect()
 
 
+
+
+# ------------------------------------------------- needles told to the tasks
+
+
+def test_few_needles_meet_texts_without_a_shuffle(spark, monkeypatch):
+    from inkveil.operators import containment
+
+    rng = random.Random(8)
+    texts = [*strings(rng, 300, 12, "abé😀 ßΣ"), None, "", "ab"]
+    needles = [*strings(rng, 60, 4, "abé😀 ßΣ"), None, "", "a", "ab", "zz"]
+    df = spark.createDataFrame([(i % 250, t) for i, t in enumerate(texts)], "`a.b` long, t string").repartition(5)
+    listed = spark.createDataFrame([(n,) for n in needles], "n string")
+    want = sorted({(i % 250, t, n) for i, t in enumerate(texts) for n in needles if t and n and n in t})
+
+    got = containment.contained(df.distinct().localCheckpoint(), ["a.b", "t"], "t", listed, "n")
+    assert "Exchange" not in plan(got) and "Join" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(containment, "MOST_LISTED", 3)
+    monkeypatch.setattr(containment, "MOST_COUNTED", 2)
+    longer = containment.contained(df.distinct(), ["a.b", "t"], "t", listed, "n")
+    assert "Join" in plan(longer)
+    assert sorted(map(tuple, longer.collect())) == want
+
+
+def test_folded_letters(spark):
+    from inkveil.operators.rule_table import _folded
+
+    letters = "".join(map(chr, (0x130, 0x131, 0x17F, 0xB5, 0x3BC, 0x3A3, 0x3C2, 0x3C3, 0x212A))) + "aZ ß"
+    texts = ["plain Text", "ΟΔΟΣ", "", *strings(random.Random(4), 300, 6, letters)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    always = "translate(lower(translate(t, '\u0130', 'i')), '\u017f\u0131\u03c2\u00b5', 'si\u03c3\u03bc')"
+    assert df.where(f"NOT {_folded('t')} <=> {always}").count() == 0

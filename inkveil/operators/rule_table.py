@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from inkveil.functions.regex import EDGE, WORD
 from inkveil.functions.sql import Sql, let, matches, name, string
 from inkveil.operators.containment import contained
+from inkveil.sources.shared import written
 
 #: Rules without any required characters, which every text has to try.
 MOST_WITHOUT_LITERAL = 1000
@@ -121,7 +122,7 @@ def rule_hits(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     MOST_WITHOUT_LITERAL) and are tried within the rows.
     """
     rules = rules.select("ord", "tag", "pattern", _literals("pattern").alias("__literal"))
-    distinct = texts.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct()
+    distinct = written(texts.select(F.col(text).alias("text")).where("text IS NOT NULL").distinct(), "texts")
     folded = distinct.withColumn("__low", F.lower("text"))
     told = rules.where("__literal IS NOT NULL")
     met = contained(folded, ["text"], "__low", told, "__literal").join(told, "__literal")

@@ -295,6 +295,15 @@ def test_few_needles_meet_texts_without_a_shuffle(spark, monkeypatch):
     assert sorted(map(tuple, longer.collect())) == want
 
 
+def test_words_are_told_once(spark):
+    """The different texts are worked out once, however many rules meet them."""
+    df = spark.createDataFrame([("ab",), ("ab",), ("x1",)], "t string")
+    rules = spark.createDataFrame([(1, "<1>", "ab"), (2, "<2>", "[0-9]")], "ord long, tag string, pattern string")
+    hits = rule_hits(df, "t", rules)
+    assert "FileScan" in plan(hits) or "Scan parquet" in plan(hits)
+    assert sorted(map(tuple, hits.collect())) == [("ab", 1, "<1>"), ("x1", 2, "<2>")]
+
+
 def test_folded_letters(spark):
     from inkveil.operators.rule_table import _folded
 

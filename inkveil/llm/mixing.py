@@ -157,6 +157,15 @@ def _slots(sources: list[Source], seed: int):
     return run
 
 
+def unfolded(placements: DataFrame) -> DataFrame:
+    """What comes of ``placements``, to be joined by a merge.
+
+    Spark judges it by the runs of slots, which are few small rows, and would
+    send the blocks of the whole mix to the driver to broadcast them.
+    """
+    return placements.hint("merge")
+
+
 def placed(sized: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``sized`` with ``start``: the words before the document in its source.
 
@@ -210,7 +219,7 @@ class Mix:
     def taken(self) -> DataFrame:
         """``pieces`` that are taken, with how many ``times``."""
         times = self.placements().groupBy("source_at", "block").agg(F.count("*").alias("times"))
-        return self.pieces().join(times, ["source_at", "block"])
+        return self.pieces().join(unfolded(times), ["source_at", "block"])
 
 
 def mix_of(
@@ -266,7 +275,7 @@ def packed(docs: DataFrame, block_words: int = STAGE_WORDS, seed: int = SEED) ->
     cut = rows.select("uid", "doc_id", F.regexp_extract_all("text", F.lit(_WORD_AND_BLANKS), F.lit(0)).alias("w")).join(of_doc, "uid")
     texts = F.transform("pieces", lambda p: F.struct(p["block"].alias("block"), p["source_at"].alias("source_at"), p["first"].alias("first"), p["words"].alias("words"), F.array_join(F.slice("w", (p["first"] + 1).cast("int"), p["words"].cast("int")), "").alias("text")))
     each = cut.select("uid", "doc_id", F.inline(texts))
-    met = mix.placements().join(each, ["source_at", "block"])
+    met = unfolded(mix.placements()).join(each, ["source_at", "block"])
     part = F.row_number().over(Window.partitionBy("shard", "slot").orderBy("doc_id", F.length("text"), "uid"))
     return met.withColumn("part", part).select("shard", "slot", "part", "doc_id", "first", "words", "text")
 

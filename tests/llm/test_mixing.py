@@ -111,6 +111,16 @@ def test_taken_against_a_walk_over_blocks(spark):
     assert {r.uid: r.taken for r in mixed(docs, block_words=size, shard_slots=64).collect()} == {uid: walked[uid] for uid in range(800)}
 
 
+def test_blocks_of_the_mix_are_not_broadcast(spark):
+    """Few runs of slots unfold into all blocks, so their size says nothing of what a broadcast would hold."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'a' AS source", "40L AS size", "id AS uid").localCheckpoint()
+    texts = docs.selectExpr("doc_id", "source", "repeat('w ', 40) AS text")
+    for df in (mix_of(docs, block_words=2).taken(), packed(texts, block_words=2)):
+        assert len(df.collect()) >= 50_000
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Join" in x and "block" in x]
+        assert joins and not any("Broadcast" in x for x in joins)
+
+
 def test_blocks_are_packed_with_their_words(spark):
     rows = [(i, " ".join(f"d{i}w{j}" for j in range(i * 7 % 60)), f"s{i % 3}") for i in range(120)] + [(500, "\n lead  and\ttail \n", "s0"), (501, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")

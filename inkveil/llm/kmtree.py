@@ -273,7 +273,7 @@ def _asked(tree: Tree, visits: int, k: int, counts: np.ndarray, first: np.ndarra
         base = TaskContext.get().partitionId() << 32
         for cell, start, end in zip(cells.tolist(), starts.tolist(), [*starts[1:].tolist(), len(leaf)], strict=True):
             used, at = np.unique(q[start:end], return_inverse=True)
-            columns = ((used + base).astype(np.int64), ids[used], x[used], leaf[start:end], at.astype(np.int32))
+            columns = (used.astype(np.int64) + base, ids[used], x[used], leaf[start:end], at.astype(np.int32))
             row = {n: c.tobytes() for n, c in zip(names, columns, strict=True)}
             last = cell + int(number[leaf[start:end]].max()) - 1
             yield pa.RecordBatch.from_pylist([{"first": cell, "last": last, "q_width": x.shape[1], **row}], schema)
@@ -338,7 +338,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, recall: float = R
         "first long, last long, q_width int, uids binary, q_ids binary, q_values binary, visit_leaf binary, visit_q binary",
     )
     asked = asked.withColumn("cell", F.explode(F.sequence("first", "last"))).drop("first", "last")
-    found = cells.join(asked, "cell").transform(small_batches).mapInArrow(_visited(k), "uid long, query_id long, vec_id long, score double")
+    # Spark judges the questions by the queries, and a query is in many of them: by a merge, nothing is broadcast.
+    # Its right side is held for a key; that is one row of a cell.
+    found = asked.hint("merge").join(cells, "cell").transform(small_batches).mapInArrow(_visited(k), "uid long, query_id long, vec_id long, score double")
     order = Window.partitionBy("uid").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

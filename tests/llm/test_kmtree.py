@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from inkveil.llm import kmtree
 from inkveil.llm.kmtree import cells_of, fit_tree, neighbours_of_embeddings, search
 from inkveil.llm.vectors import usable
 from tests.conftest import DATA
@@ -105,3 +106,18 @@ def test_large_leaves_are_ranges_of_cells(spark):
     df = usable(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), "vec_id", "embedding", nonzero=True)
     got = sorted((r.rank, r.vec_id) for r in search(df, df.filter("id = 4000"), k=5, cell_rows=16).collect())
     assert got == [(i + 1, i) for i in range(5)]
+
+
+def test_queries_of_many_parts(spark, monkeypatch):
+    """Queries are dealt over parts, and meet the cells by a merge: what a query's cells hold of it is no small table."""
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.normal(size=6).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").localCheckpoint()
+    queries = df.filter("id % 5 = 0")
+    queries = queries.unionByName(queries.filter("id < 100"))
+    whole = sorted(map(tuple, search(df, queries, k=4, cell_rows=64).collect()))
+    monkeypatch.setattr(kmtree, "QUERY_ROWS", 30)
+    dealt = search(df, queries, k=4, cell_rows=64)
+    assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 4 * 200
+    joins = [x for x in dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Join" in x and "cell" in x]
+    assert joins and not any("Broadcast" in x for x in joins)

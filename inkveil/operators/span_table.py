@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.functions.sql import let, name
+from inkveil.functions.sql import let, name, strings
 from inkveil.operators.entities import redactable
 from inkveil.operators.redact import redact
 from inkveil.rules import DEFAULT_RULES, RuleSet
@@ -32,26 +32,31 @@ from inkveil.sources.shared import written
 STRETCH, CHUNK = 1 << 16, 1024
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows of one (text, stretch) after another from sorted batches."""
-    held: list[pa.RecordBatch] = []
-    key = None
+def _firsts(part: pa.Table) -> np.ndarray:
+    """Where another (text, stretch) begins."""
+    key, stretch = part.column(0).combine_chunks(), part.column(1).to_numpy()
+    if pa.types.is_nested(key.type):
+        told = key.to_pylist()
+        other = np.fromiter((a != b for a, b in zip(told[1:], told[:-1], strict=True)), bool, len(told) - 1)
+    else:
+        other = np.diff(key.dictionary_encode().indices.to_numpy()) != 0
+    return np.flatnonzero(np.concatenate(([True], other | (np.diff(stretch) != 0))))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows in parts of whole (text, stretch) groups, and where in a part each group begins."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts, stretches = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        pairs = list(zip(texts, stretches, strict=True))
-        start = 0
-        for i in range(1, len(pairs) + 1):
-            if i == len(pairs) or pairs[i] != pairs[start]:
-                if held and key != pairs[start]:
-                    yield key, pa.Table.from_batches(held)
-                    held = []
-                key = pairs[start]
-                held.append(batch.slice(start, i - start))
-                start = i
-    if held:
-        yield key, pa.Table.from_batches(held)
+        part = pa.Table.from_batches([batch])
+        held = part if held is None else pa.concat_tables([held, part])
+        first = _firsts(held)
+        if len(first) > 1:
+            yield held.slice(0, first[-1]), first[:-1]
+            held = held.slice(first[-1])
+    if held is not None:
+        yield held, _firsts(held)
 
 
 def _next(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -62,55 +67,82 @@ def _next(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per stretch: (up_to, ends): beginning at ``up_to[i]`` or before, the last kept span ends at ``ends[i]``."""
     schema = None
-    for (_, stretch), part in _groups(batches):
-        starts, ends = (part.column(c).to_numpy() for c in (2, 3))
-        after, last = _next(starts, ends), ends.copy()
-        for i in range(len(starts) - 1, -1, -1):
-            if after[i] < len(starts):
-                last[i] = last[after[i]]
-        turns = np.flatnonzero(np.append(last[1:] != last[:-1], True))
-        schema = schema or pa.schema([part.schema.field(0), ("stretch", pa.int64()), ("up_to", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0).slice(0, 1).combine_chunks(), pa.array([stretch], pa.int64()), pa.array([starts[turns]], pa.list_(pa.int64())),
-             pa.array([last[turns]], pa.list_(pa.int64()))],
-            schema=schema,
-        )
+    for part, first in _whole(batches):
+        for at, to in zip(first.tolist(), [*first[1:].tolist(), part.num_rows], strict=True):
+            group = part.slice(at, to - at)
+            starts, ends = (group.column(c).to_numpy() for c in (2, 3))
+            after, last = _next(starts, ends), ends.copy()
+            for i in range(len(starts) - 1, -1, -1):
+                if after[i] < len(starts):
+                    last[i] = last[after[i]]
+            turns = np.flatnonzero(np.append(last[1:] != last[:-1], True))
+            schema = schema or pa.schema([part.schema.field(0), ("stretch", pa.int64()), ("up_to", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+            yield pa.RecordBatch.from_arrays(
+                [group.column(0).slice(0, 1).combine_chunks(), group.column(1).slice(0, 1).combine_chunks(),
+                 pa.array([starts[turns]], pa.list_(pa.int64())), pa.array([last[turns]], pa.list_(pa.int64()))],
+                schema=schema,
+            )
+
+
+#: More than any position; sets groups apart that are searched together.
+_APART = 1 << 32
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, stretch, start, end, begin) to (text, start) of the kept ones."""
-    for _, part in _groups(batches):
-        starts, ends = (part.column(c).to_numpy() for c in (2, 3))
-        after, chosen = _next(starts, ends), []
-        at = int(np.searchsorted(starts, part.column(4)[0].as_py()))
-        while at < len(starts):
-            chosen.append(at)
-            at = int(after[at])
+    """Rows (text, stretch, start, end, begin, label_at) to (text, start, end, label_at) of the kept ones."""
+    for part, first in _whole(batches):
+        starts, ends, begin = (part.column(c).to_numpy() for c in (2, 3, 4))
+        group = np.zeros(len(starts), np.int64)
+        group[first[1:]] = 1
+        apart = group.cumsum() * _APART
+        after = _next(starts + apart, ends + apart).tolist()
+        begins = np.searchsorted(starts + apart, begin[first] + apart[first]).tolist()
+        chosen = []
+        for at, to in zip(begins, [*first[1:].tolist(), len(starts)], strict=True):
+            while at < to:
+                chosen.append(at)
+                at = after[at]
         rows = pa.array(chosen, pa.int64())
-        key = part.column(0).combine_chunks()
-        yield pa.RecordBatch.from_arrays([key.take(rows), part.column(2).combine_chunks().take(rows)], names=["key", "start_char"])
+        for batch in part.select([0, 2, 3, 5]).take(rows).combine_chunks().to_batches():
+            yield pa.RecordBatch.from_arrays(batch.columns, names=["key", "start_char", "end_char", "label_at"])
 
 
-def chosen_spans(df: DataFrame, key: str, column: str, spans: DataFrame, rules: RuleSet = DEFAULT_RULES, stretch: int = STRETCH) -> DataFrame:
-    """(key, start_char, end_char, label, text, tag) of the spans that are put in.
+def _labels(rules: RuleSet) -> list[tuple[str, str]]:
+    """Labels that have a tag, with it, in Spark's order of strings."""
+    return sorted(((k, v) for k, v in rules.entity_tags.items() if v), key=lambda pair: pair[0].encode())
 
-    ``spans`` has the key, start_char, end_char, label and text; ``df``, read
-    for the lengths of its texts, has one row per key.
+
+def _longest(df: DataFrame, key: str, column: str, spans: DataFrame, rules: RuleSet, stretch: int, texts: bool) -> DataFrame:
+    """(key, stretch, start_char, end_char, label_at, far): of the spans that start at one place the longest inside the text.
+
+    Of equally long ones the first by label stands, then by text, which is
+    carried along only where it is asked for.  ``far`` tells texts of more than
+    one stretch.
     """
-    lengths = df.select(F.col(name(key)).alias("key"), F.char_length(name(column)).alias("__length"))
-    placed = redactable(spans, rules).select(F.col(name(key)).alias("key"), "start_char", "end_char", "label", "text", "tag")
+    labels = _labels(rules)
+    lengths = df.groupBy(F.col(name(key)).alias("key")).agg(F.max(F.char_length(name(column))).alias("__length"))
+    label_at = F.expr(f"array_position(array({strings(k for k, _ in labels)}), label) - 1")
+    placed = redactable(spans, rules).select(F.col(name(key)).alias("key"), "start_char", "end_char", label_at.alias("label_at"), "text")
     inside = placed.join(lengths, "key").where("start_char >= 0 AND start_char < end_char AND end_char <= __length")
-    best = F.struct((-F.col("end_char")).cast("long").alias("back"), "label", "tag", "text")
-    longest = inside.groupBy("key", F.col("start_char").cast("long").alias("start_char")).agg(F.min(best).alias("__best"))
-    every = longest.select(
-        "key", F.expr(f"start_char DIV {stretch}").alias("stretch"), "start_char", (-F.col("__best.back")).alias("end_char"),
-        "__best.label", "__best.tag", "__best.text",
+    # The end and the label in one number, the farthest end first.
+    rank = F.expr(f"bigint(-end_char) * {len(labels)} + label_at")
+    best, told = (F.min(F.struct(rank.alias("rank"), "text")), "best.rank") if texts else (F.min(rank), "best")
+    longest = inside.groupBy("key", F.col("start_char").cast("long").alias("start_char")).agg(
+        best.alias("best"), F.max("__length").alias("length")
+    )
+    return longest.selectExpr(
+        "key", f"start_char DIV {stretch} AS stretch", "start_char", f"-(({told} - pmod({told}, {len(labels)})) DIV {len(labels)}) AS end_char",
+        f"int(pmod({told}, {len(labels)})) AS label_at", f"length > {stretch} AS far", *["best.text AS text"] * texts,
     )
-    every = written(every, "spans")
 
+
+def _chosen(every: DataFrame) -> DataFrame:
+    """(key, start_char, end_char, label_at) of the kept ones among ``every`` (``_longest``, written)."""
     kind = every.schema["key"].dataType.simpleString()
-    narrow = every.select("key", "stretch", "start_char", "end_char")
-    sorted_ = narrow.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "start_char")
+    narrow = ["key", "stretch", "start_char", "end_char"]
+    # The first stretch of a text begins at its beginning, so only texts of several are chained.
+    far = every.where("far").select(*narrow)
+    sorted_ = far.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "start_char")
     exits = sorted_.mapInArrow(_exits, f"key {kind}, stretch long, up_to array<long>, ends array<long>")
     # One line per stretch of a text: its length bounds them.
     lines = exits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("stretch", "up_to", "ends"))).alias("lines"))
@@ -122,10 +154,33 @@ def chosen_spans(df: DataFrame, key: str, column: str, spans: DataFrame, rules:
         " array(named_struct('stretch', l.stretch, 'begin', acc.begin)))), acc -> acc.out)"
     )
     begins = lines.select("key", F.expr(f"inline({chained})"))
-    begun = narrow.join(begins, ["key", "stretch"]).repartition("key", "stretch")
-    begun = begun.sortWithinPartitions("key", "stretch", "start_char").select("key", "stretch", "start_char", "end_char", "begin")
-    kept = begun.mapInArrow(_kept, f"key {kind}, start_char long")
-    return every.join(kept, ["key", "start_char"]).select("key", "start_char", "end_char", "label", "text", "tag")
+    columns = [*narrow, "begin", "label_at"]
+    begun = every.where("far").join(begins, ["key", "stretch"]).select(*columns)
+    begun = begun.unionByName(every.where("NOT far").withColumn("begin", F.lit(0).cast("long")).select(*columns))
+    begun = begun.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "start_char")
+    return begun.mapInArrow(_kept, f"key {kind}, start_char long, end_char long, label_at int")
+
+
+def _told(rules: RuleSet, field: int) -> str:
+    """The label (0) or the tag (1) of ``label_at``."""
+    return f"array({strings(pair[field] for pair in _labels(rules))})[label_at]"
+
+
+def chosen_spans(df: DataFrame, key: str, column: str, spans: DataFrame, rules: RuleSet = DEFAULT_RULES, stretch: int = STRETCH) -> DataFrame:
+    """(key, start_char, end_char, label, text, tag) of the spans that are put in.
+
+    ``spans`` has the key, start_char, end_char, label and text; ``df``, read
+    for the lengths of its texts, has one row per key.
+    """
+    every = written(_longest(df, key, column, spans, rules, stretch, texts=True), "spans")
+    met = every.select("key", "start_char", "text").join(_chosen(every), ["key", "start_char"])
+    return met.selectExpr("key", "start_char", "end_char", f"{_told(rules, 0)} AS label", "text", f"{_told(rules, 1)} AS tag")
+
+
+def chosen_tags(df: DataFrame, key: str, column: str, spans: DataFrame, rules: RuleSet = DEFAULT_RULES, stretch: int = STRETCH) -> DataFrame:
+    """The same without label and text, (key, start_char, end_char, tag): what ``put_in`` needs."""
+    every = written(_longest(df, key, column, spans, rules, stretch, texts=False), "spans")
+    return _chosen(every).selectExpr("key", "start_char", "end_char", f"{_told(rules, 1)} AS tag")
 
 
 def put_in(df: DataFrame, key: str, column: str, chosen: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -149,7 +204,8 @@ def put_in(df: DataFrame, key: str, column: str, chosen: DataFrame, chunk: int =
         f"if(spans IS NULL, chunk, concat(array_join(transform(spans, (s, i) -> concat({gap}, s.tag)), ''),"
         " substring(chunk, element_at(spans, -1).last + 1)))"
     )
-    finished = chunks.join(of_chunk, ["key", "n"], "left").selectExpr("key", "n", f"{done} AS chunk")
+    # Spark judges lists by their columns, not by how long they are.
+    finished = chunks.join(of_chunk.hint("merge"), ["key", "n"], "left").selectExpr("key", "n", f"{done} AS chunk")
     texts = finished.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "chunk"))).alias("__chunks"))
     texts = texts.selectExpr("key AS __key", "array_join(transform(__chunks, c -> c.chunk), '') AS __new")
     met = df.join(texts, F.col(name(key)) == F.col("__key"), "left")
@@ -158,7 +214,7 @@ def put_in(df: DataFrame, key: str, column: str, chosen: DataFrame, chunk: int =
 
 def redact_entity_table(df: DataFrame, key: str, column: str, spans: DataFrame, rules: RuleSet = DEFAULT_RULES) -> DataFrame:
     """Replace the spans of a table by their tags; ``key`` is unique in ``df``, which is read twice."""
-    chosen = written(chosen_spans(df, key, column, spans, rules), "chosen")
+    chosen = written(chosen_tags(df, key, column, spans, rules), "chosen")
     return put_in(df, key, column, chosen)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.functions.sql import let
+from inkveil.functions.sql import let, strings
 from inkveil.functions.text import chunks, cut
 from inkveil.operators.cells import redact_cells
 from inkveil.operators.entities import redact_entity_arrays, redact_with_entity_arrays
@@ -107,23 +107,37 @@ def merge_tags_query(spark: SparkSession, sf: str) -> DataFrame:
 _LABELS = ("PERSON", "ORG", "GPE", "LOC", "DATE", "MONEY", "CARDINAL", "FAC", "PRODUCT", "NORP")
 
 
+_START, _WIDTH = "k * 40 + doc_id % 20", "2 + k % 7"
+_LABEL = f"array({strings(_LABELS)})[int((k + doc_id) % {len(_LABELS)})]"
+
+
 def tagged(texts: DataFrame) -> DataFrame:
     """Made-up entity spans beside (doc_id, text), as many as the text has room for."""
-    labels = ", ".join(f"'{label}'" for label in _LABELS)
-    start, width = "k * 40 + doc_id % 20", "2 + k % 7"
     span = (
-        f"named_struct('start_char', {start}, 'end_char', {start} + {width},"
-        f" 'label', array({labels})[int((k + doc_id) % {len(_LABELS)})],"
-        f" 'text', {cut('pieces', start, f'{start} + {width}')})"
+        f"named_struct('start_char', {_START}, 'end_char', {_START} + {_WIDTH}, 'label', {_LABEL},"
+        f" 'text', {cut('pieces', _START, f'{_START} + {_WIDTH}')})"
     )
-    places = f"filter(sequence(0L, size DIV 40), k -> {start} + {width} <= size)"
+    places = f"filter(sequence(0L, size DIV 40), k -> {_START} + {_WIDTH} <= size)"
     spans = let("pieces", chunks("text"), f"transform({places}, k -> {span})")
     return texts.withColumn("spans", F.expr(let("size", "char_length(text)", spans)))
 
 
+#: Characters of a piece of text whose spans are cut out of it, and of the longest span.
+_PIECE, _WIDEST = 1024, 8
+
+
 def spans_of(texts: DataFrame) -> DataFrame:
-    """The same as rows; cut out of the text first, so that no row carries it along."""
-    return tagged(texts).selectExpr("doc_id", "inline(spans)")
+    """The same as rows; each is cut out of the piece of text that it starts in, in compiled code."""
+    pieces = f"transform(sequence(0L, size DIV {_PIECE}), n -> substring(text, int(n * {_PIECE}) + 1, {_PIECE + _WIDEST}))"
+    sized = texts.selectExpr("doc_id", "text", "char_length(text) AS size")
+    cut_up = sized.selectExpr("doc_id", "size", f"posexplode({pieces}) AS (n, piece)")
+    first = f"if(n = 0, 0L, (bigint(n) * {_PIECE} - doc_id % 20 + 39) DIV 40)"
+    last = f"((bigint(n) + 1) * {_PIECE} - 1 - doc_id % 20) DIV 40"
+    each = cut_up.selectExpr("doc_id", "size", "n", "piece", f"explode(sequence({first}, {last})) AS k")
+    span = f"substring(piece, int({_START} - bigint(n) * {_PIECE}) + 1, int({_WIDTH}))"
+    return each.where(f"{_START} + {_WIDTH} <= size").selectExpr(
+        "doc_id", f"{_START} AS start_char", f"{_START} + {_WIDTH} AS end_char", f"{_LABEL} AS label", f"{span} AS text"
+    )
 
 
 def spans_sql(source: str) -> str:

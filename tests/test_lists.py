@@ -15,7 +15,9 @@ from inkveil.operators.listed import redact_with_whitelist
 from inkveil.operators.pieces import cut_text, redact_in_pieces
 from inkveil.operators.redact import redact
 from inkveil.operators.rule_table import MOST_WITHOUT_LITERAL, first_rules, keyword_table_hits, redact_keyword_table, required_literal, rule_hits
-from inkveil.operators.span_table import chosen_spans, entity_audit, put_in, redact_entity_table
+from inkveil.operators.span_table import chosen_spans, chosen_tags, entity_audit, put_in, redact_entity_table
+from inkveil.plans import lists
+from inkveil.plans.redaction import spans_of, tagged
 from inkveil.rules import DEFAULT_RULES, RuleSet
 from inkveil.rules.patterns import PatternRule
 from tests.test_redact import FRAGMENTS, fuzz
@@ -242,6 +244,42 @@ def test_span_table_equals_arrays(spark, stretch):
     assert len(chosen.collect()) > 100
 
 
+@pytest.mark.parametrize("stretch", [7, 1 << 16])
+def test_chosen_tags_equal_chosen_spans(spark, stretch):
+    """Without label and text the same spans stand, whatever the key is and wherever batches end."""
+    rng = random.Random(43)
+    texts = [(f"k{i}", "ab <é😀" * rng.randrange(1, 60)) for i in range(60)]
+    spans = spans_for(rng, texts, 90)
+    spans += [(i, s, e, label, t) for i, s, e, _, t in spans[::3] for label in ("ORG", "GPE", "PERSON")] + [(None, 0, 4, "ORG", "some")]
+    for kind, of in (("string", str), ("struct<a:string,b:string>", lambda k: (k, "x"))):
+        df = spark.createDataFrame([(of(i), t) for i, t in texts], f"k {kind}, t string")
+        table = spark.createDataFrame([(i and of(i), *r) for i, *r in spans], f"k {kind}, start_char int, end_char int, label string, text string")
+        held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            whole = chosen_spans(df, "k", "t", table, stretch=stretch).collect()
+            narrow = chosen_tags(df, "k", "t", table, stretch=stretch).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+        assert len(whole) > 300 and Counter(map(tuple, narrow)) == Counter((r.key, r.start_char, r.end_char, r.tag) for r in whole)
+
+
+def test_made_up_spans_as_rows_equal_arrays(spark):
+    rng = random.Random(47)
+    texts = [(i, "".join(rng.choices("ab é😀\n", k=rng.choice([0, 1, 30, 90, 1023, 1024, 1025, 1100, 5000])))) for i in range(90)]
+    df = spark.createDataFrame([*texts, (None, "x" * 99), (900, None)], "doc_id long, text string")
+    got, want = spans_of(df), tagged(df).selectExpr("doc_id", "inline(spans)")
+    assert got.schema == want.schema
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    both = spans_of(df).unionByName(spans_of(df).selectExpr(*lists._WIDE.split(", ")))
+    assert Counter(map(tuple, lists.overlapping_spans(df).collect())) == Counter(map(tuple, both.collect()))
+
+
+def test_texts_under_a_span_table_are_redacted_once(spark):
+    done = lists.entity_table_redaction(spark, "/root/testdata/sf0.001")
+    assert "redacted" in done.columns and "regexp_replace" not in plan(done) and "RLIKE" not in plan(done)
+
+
 def test_very_many_spans_of_one_text(spark):
     """Overlapping chains over all stretches, which many tasks share."""
     n = 400_000

@@ -168,6 +168,39 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def paired_distances(q: np.ndarray, x: np.ndarray, who: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """``distances(q, x)[who, what]``, only these worked out."""
+    width = max(q.shape[1], x.shape[1])
+    q, x = widened(q, width), widened(x, width)
+    out = np.empty(len(who))
+    step = max(1, 1_000_000 // max(1, width))
+    with np.errstate(over="ignore"):
+        for at in range(0, len(who), step):
+            d = q[who[at : at + step]] - x[what[at : at + step]]
+            out[at : at + step] = np.sqrt(np.einsum("nd,nd->n", d, d))
+    return out
+
+
+def nearest(q: np.ndarray, x: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of q, row of x) among the allowed ones, with all that may be among a row's k nearest.
+
+    Squares by way of a product are off by a known bound at most: what is
+    farther than k others by more than that is left out, so whatever
+    ``distances`` gives, its k least and all that equal them are here.
+    """
+    width = max(q.shape[1], x.shape[1])
+    q, x = widened(q, width), widened(x, width)
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (q * q).sum(1)[:, None] + (x * x).sum(1)
+        near = size - 2 * (q @ x.T)
+        # Of either way to work it out, of the root, and of numbers too small for full precision.
+        off = size * ((8 * width + 64) * 2.0**-53) + 1e-290
+        sure = np.isfinite(near) & np.isfinite(off)
+        farthest = np.where(sure & allowed, near + off, np.inf)
+        bound = np.partition(farthest, k - 1, axis=1)[:, k - 1 : k] if len(x) >= k else np.inf
+        return np.nonzero(allowed & (~sure | (near - off <= bound)))
+
+
 def true_neighbours(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """q (number of the query), vec_id, leaf, score: exact, by a scan of all rows (a bounded set of queries)."""
 
@@ -293,18 +326,14 @@ def _visited(k: int):
                 uids, q_ids = np.frombuffer(r["uids"], np.int64), np.frombuffer(r["q_ids"], np.int64)
                 queries = np.frombuffer(r["q_values"]).reshape(len(uids), r["q_width"])
                 visit_leaf, visit_q = np.frombuffer(r["visit_leaf"], np.int32), np.frombuffer(r["visit_q"], np.int32)
-                found = []
-                for leaf in np.unique(visit_leaf).tolist():
-                    start, end = np.searchsorted(leaves, (leaf, leaf + 1))
-                    if start == end:
-                        continue
-                    who, own = visit_q[visit_leaf == leaf], ids[start:end]
-                    d = distances(queries[who], x[start:end])
-                    row, column = np.nonzero(q_ids[who][:, None] != own[None])
-                    found.append((who[row], d[row, column], own[column]))
-                if not found:
+                held, at = np.unique(leaves, return_inverse=True)
+                visited = np.zeros((len(uids), len(held)), bool)
+                some = np.isin(visit_leaf, held)
+                visited[visit_q[some], np.searchsorted(held, visit_leaf[some])] = True
+                who, what = nearest(queries, x, visited[:, at] & (q_ids[:, None] != ids[None]), k)
+                if not len(who):
                     continue
-                who, d, own = (np.concatenate(a) for a in zip(*found, strict=True))
+                d, own = paired_distances(queries, x, who, what), ids[what]
                 order = np.lexsort((own, d, who))
                 who, d, own = who[order], d[order], own[order]
                 starts = np.searchsorted(who, who)

@@ -121,3 +121,34 @@ def test_queries_of_many_parts(spark, monkeypatch):
     assert sorted(map(tuple, dealt.collect())) == whole and len(whole) == 4 * 200
     joins = [x for x in dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Join" in x and "cell" in x]
     assert joins and not any("Broadcast" in x for x in joins)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e-160, 1e155, 1e200])
+def test_nearest_holds_whatever_is_among_the_least(scale):
+    """Against all distances: ties, near ties, far offsets, and numbers that overflow or lose precision."""
+    draw = np.random.default_rng(11)
+    for offset, width in ((0.0, 5), (1e6, 64), (3.0, 1)):
+        x = draw.normal(size=(400, width))
+        x[200:300] = x[:100]
+        x[300:350] = np.nextafter(x[:50], 9)
+        x, q = (x + offset) * scale, (np.concatenate((x[:20], draw.normal(size=(30, width)))) + offset) * scale
+        allowed = draw.random((50, 400)) < 0.6
+        allowed[7] = False
+        allowed[8, 5:] = False
+        d = kmtree.distances(q, x)
+        who, what = kmtree.nearest(q, x, allowed, 10)
+        assert (kmtree.paired_distances(q, x, who, what) == d[who, what]).all()
+        pairs = set(zip(who.tolist(), what.tolist(), strict=True))
+        for i in range(50):
+            mine = np.where(allowed[i], d[i], np.inf)
+            need = np.flatnonzero(allowed[i] & (mine <= np.sort(mine)[9]))
+            assert {(i, j) for j in need.tolist()} <= pairs and all(allowed[p] for p in pairs)
+        if scale == 1.0 and not offset:
+            assert len(who) < 50 * 40
+
+
+def test_vectors_of_several_widths_are_paired():
+    draw = np.random.default_rng(12)
+    q, x = draw.normal(size=(4, 3)), draw.normal(size=(30, 7))
+    who, what = kmtree.nearest(q, x, np.ones((4, 30), bool), 2)
+    assert len(who) == 8 and (kmtree.paired_distances(q, x, who, what) == kmtree.distances(q, x)[who, what]).all()

@@ -264,6 +264,23 @@ def test_chosen_tags_equal_chosen_spans(spark, stretch):
         assert len(whole) > 300 and Counter(map(tuple, narrow)) == Counter((r.key, r.start_char, r.end_char, r.tag) for r in whole)
 
 
+def test_spans_are_put_in_beside_short_texts_and_by_chunk(spark):
+    """Texts up to some length take their spans in one row, longer ones and those of one key by chunk."""
+    rng = random.Random(53)
+    texts = [(i, "".join(rng.choices("ab <é😀\n", k=rng.randrange(3000 if i % 9 == 0 else 300)))) for i in range(80)] + [(900, None), (901, ""), (902, "abc"), (None, "abc")]
+    df = spark.createDataFrame([(i, t, i) for i, t in texts], "key long, t string, other long")
+    table = spark.createDataFrame(spans_for(rng, texts[:80], 90), "key long, start_char int, end_char int, label string, text string")
+    want = {r.key: (r.t, r.other) for r in redact_entities(df, "key", "t", table).collect()}
+    chosen = chosen_tags(df, "key", "t", table).localCheckpoint()
+    for row_chars in (0, 200, 1 << 16):
+        got = put_in(df, "key", "t", chosen, chunk=16, row_chars=row_chars)
+        assert got.columns == df.columns and {r.key: (r.t, r.other) for r in got.collect()} == want
+    short = plan(put_in(df, "key", "t", chosen))
+    assert "posexplode" not in short and short.split("Initial Plan")[0].count("SortMergeJoin") == 1
+    twice = put_in(df.unionByName(df.where("key = 3")), "key", "t", chosen).collect()
+    assert len(twice) == len(texts) + 1 and {r.key: (r.t, r.other) for r in twice if r.key != 3} == {k: v for k, v in want.items() if k != 3}
+
+
 def test_made_up_spans_as_rows_equal_arrays(spark):
     rng = random.Random(47)
     texts = [(i, "".join(rng.choices("ab é😀\n", k=rng.choice([0, 1, 30, 90, 1023, 1024, 1025, 1100, 5000])))) for i in range(90)]
